@@ -138,5 +138,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(FILE))
 
 
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the pieces of every document and their slots."""
+    return pack(docs, public_tokenizers.path(FILE))
+
+
 QUERIES = {"op5_packing": op5_packing}
 ORACLE: dict[str, str] = {}
