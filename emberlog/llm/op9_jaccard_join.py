@@ -26,7 +26,7 @@ from .shared import stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Sets in a bucket that are compared at once; larger buckets are split, at most LEVELS times, then dealt out with pivots.
-BUCKET, LEVELS, PIVOTS, CHILDREN = 1024, 3, 16, 3
+BUCKET, LEVELS, PIVOTS, CHILDREN = 4096, 2, 16, 2
 #: Min-hashes in a set's sketch, and how many must agree for two sets to be candidates (similarity 0.8 falls short once in a million).
 SKETCH, AGREE = 32, 14
 #: Sets in a tile of the exact comparison.
@@ -139,10 +139,10 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.
 def _labels(near: np.ndarray) -> np.ndarray:
     """The smallest index of each index's connected component, from a symmetric matrix."""
     n = len(near)
-    labels = np.arange(n)
+    labels = np.arange(n, dtype=np.int32)
     near = near | np.eye(n, dtype=bool)
     while True:
-        new = np.where(near, labels[None, :], n).min(1)
+        new = np.concatenate([np.where(near[i : i + 512], labels[None, :], np.int32(n)).min(1) for i in range(0, n, 512)])
         new = new[new]
         if (new == labels).all():
             return labels
@@ -177,29 +177,34 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _candidates(sets: DataFrame, bucket: int, levels: int) -> DataFrame:
-    """Edges (a, b) that connect all sets which met in a bucket and whose sketches agree."""
+    """Edges (a, b) that connect all sets which met in a bucket and whose sketches agree.
+
+    Only paths and keys are dealt to find the buckets; sketches and the sets' other paths join what shares a bucket.
+    """
     spark = sets.sparkSession
-    rows = sets.select("key", "sketch", "paths", F.explode("paths").alias("p"))
+    rows = sets.select("key", F.explode("paths").alias("p"))
+    sketches = sets.select("key", "sketch")
     found = None
     for level in range(levels + 1):
         counts = stored(rows.groupBy("p").count().where("count > 1"), "buckets")
-        small = rows.join(counts.where(F.col("count") <= bucket).select("p"), "p").select("p", F.lit(0).alias("part"), "key", "sketch")
+        met = stored(rows.join(counts, "p"), "met")
+        small = met.where(F.col("count") <= bucket).select("p", F.lit(0).alias("part"), "key").join(sketches, "key")
         found = small if found is None else found.unionByName(small)
-        large = counts.where(F.col("count") > bucket)
-        if not large.limit(1).count():
+        hot = met.where(F.col("count") > bucket)
+        if not hot.limit(1).count():
             break
-        hot = rows.join(large, "p")
         if level < levels:
             order = F.slice(F.array_sort(F.transform(F.filter("paths", lambda q: q != F.col("p")), lambda q: F.xxhash64(F.col("p"), q))), 1, CHILDREN)
-            rows = stored(hot.select("key", "sketch", "paths", F.explode(order).alias("p")).distinct(), "split")
+            rows = stored(hot.join(sets.select("key", "paths"), "key").select("key", F.explode(order).alias("p")).distinct(), "split")
         else:
             # What never splits: parts of bounded size, each with the same few sets of every region of the bucket's keys.
-            pivots = hot.groupBy("p", "count", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("key", "sketch")).alias("x"))
+            pivots = hot.groupBy("p", "count", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("slot")).agg(F.min("key").alias("key"))
             parts = F.ceil(F.col("count") / bucket).cast("int")
-            dealt = hot.select("p", F.pmod(F.xxhash64("key", F.lit(7)), parts).cast("int").alias("part"), "key", "sketch")
-            copies = pivots.select("p", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "x.key", "x.sketch")
-            found = found.unionByName(dealt.union(copies).distinct())
+            dealt = hot.select("p", F.pmod(F.xxhash64("key", F.lit(7)), parts).cast("int").alias("part"), "key")
+            copies = pivots.select("p", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "key")
+            found = found.unionByName(dealt.union(copies).distinct().join(sketches, "key").select("key", "p", "part", "sketch"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = found.select("p", "part", "key", "sketch")
     return found.repartition(n, "p", "part").sortWithinPartitions("p", "part").mapInArrow(_stars, "a binary, b binary")
 
 
