@@ -13,7 +13,7 @@ from ..plans.filters import Filter, predicate
 
 Visible = Callable[[DataFrame], DataFrame]
 REQUEST_CAP = 2000
-_NEWEST = (F.desc("created_at"), F.desc("lev_id"))
+_NEWEST = ("created_at", "lev_id")
 
 
 def _all(df: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def run_filter(log: DataFrame, f: Filter, visible: Visible = _all) -> DataFrame:
         return log.where(F.lit(False))
     if f.search:
         return search_filter(log, f, visible)
-    return visible(log.where(predicate(f))).orderBy(*_NEWEST).limit(f.limit)
+    return visible(log.where(predicate(f))).orderBy(*_NEWEST, ascending=False).limit(f.limit)
 
 
 def run_group(log: DataFrame, filters: list[Filter], cap: int | None = REQUEST_CAP, visible: Visible = _all) -> DataFrame:
@@ -38,7 +38,7 @@ def run_group(log: DataFrame, filters: list[Filter], cap: int | None = REQUEST_C
     if len(filters) > 1 and all(f.search for f in filters):
         hits = reduce(DataFrame.unionByName, [run_filter(log, f, visible).withColumn("filter_idx", F.lit(i)) for i, f in enumerate(filters)])
         best = hits.groupBy("lev_id").agg(F.max_by(F.struct(*hits.columns), F.struct("score", -F.col("filter_idx"))).alias("x")).select("x.*")
-        ordered = best.orderBy(F.desc("score"), *_NEWEST)
+        ordered = best.orderBy("score", *_NEWEST, ascending=False)
         return ordered if cap is None else ordered.limit(cap)
     sent = []
     for i, f in enumerate(filters):

@@ -353,24 +353,23 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 
 
 # -- codecs
-_ADDRESS = F.concat((F.col("lev_id") * 100).cast("string"), F.lit(":"), F.when(F.col("lev_id") % 4 == 0, F.upper("pubkey")).otherwise(F.col("pubkey")), F.lit(":a:"), F.col("k"))
-
-
 def _addresses(s: SparkSession, d: str) -> DataFrame:
     kind, author, name = codec.address_parts(F.col("x"))
-    return source.events_log(s, d).select("lev_id", _ADDRESS.alias("x")).select("lev_id", kind.alias("kind"), author.alias("author"), name.alias("d"))
+    author_text = F.when(F.col("lev_id") % 4 == 0, F.upper("pubkey")).otherwise(F.col("pubkey"))
+    address = F.concat((F.col("lev_id") * 100).cast("string"), F.lit(":"), author_text, F.lit(":a:"), F.col("k"))
+    return source.events_log(s, d).select("lev_id", address.alias("x")).select("lev_id", kind.alias("kind"), author.alias("author"), name.alias("d"))
 
 
 _OK = "lev_id * 100 <= 65535 AND regexp_matches(x, '^[0-9]+:[0-9a-f]{64}:')"
 _add("address_parse", _addresses, f"WITH {LOG}, a AS (SELECT lev_id, k, pubkey, CAST(lev_id * 100 AS VARCHAR) || ':' || CASE WHEN lev_id % 4 = 0 THEN upper(pubkey) ELSE pubkey END || ':a:' || k AS x FROM log) SELECT lev_id, CASE WHEN {_OK} THEN lev_id * 100 END AS kind, CASE WHEN {_OK} THEN pubkey END AS author, CASE WHEN {_OK} THEN 'a:' || k END AS d FROM a")
 _add("relay_urls", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", codec.relay_url(F.concat(F.lit(" wss://"), F.upper("url"), F.lit("// "))).alias("relay")), "SELECT page_id, rtrim(lower(url), '/') AS relay FROM pages")
-_add("npub", lambda s, d: source.events_log(s, d).select("pubkey").distinct().select("pubkey", codec.npub_udf("pubkey").alias("npub")).withColumn("back", codec.decode_npub_udf("npub")))
-_add("canonical_json", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", codec.canonical_json_udf("props").alias("text")), "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS text FROM events")
+_add("npub", lambda s, d: source.events_log(s, d).select("pubkey").distinct().select("pubkey", codec.npub_column("pubkey").alias("npub")).withColumn("back", codec.decode_npub_column("npub")))
+_add("canonical_json", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", codec.canonical_json_column("props").alias("text")), "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS text FROM events")
 
 
 def _ids(s: SparkSession, d: str) -> DataFrame:
     rows = source.events_log(s, d).where("lev_id < 1000").select("lev_id", F.to_json(F.struct("pubkey", "created_at", "kind", "tags", "content")).alias("x"))
-    return rows.select("lev_id", codec.event_id_udf("x").alias("event_hash"))
+    return rows.select("lev_id", codec.event_id_column("x").alias("event_hash"))
 
 
 _add("event_id", lambda s, d: _ids(s, d), f"""WITH {LOG} SELECT lev_id, sha256('[0,"' || pubkey || '",' || created_at || ',' || kind || ',[' || CASE WHEN kind = 30023 THEN '["d","' || k || '"],' ELSE '' END || '["t","' || k || '"]],""]') AS event_hash FROM log WHERE lev_id < 1000""")
