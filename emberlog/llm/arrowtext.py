@@ -7,6 +7,8 @@ than the block size is a block of its own.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,13 @@ def _power(which: str, n: int) -> np.ndarray:
     return _powers[which][:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live long, and the allocator would keep the largest batch's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -68,6 +77,7 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         end = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1))
         yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

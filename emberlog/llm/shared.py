@@ -10,6 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of one Arrow batch: what a task holds of its input, on either side of the worker's pipe.
+BATCH_BYTES = 8 << 20
+#: Row groups of written tables: small, as a task holds one for each table it writes.
+ROW_GROUP_BYTES = 32 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,7 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size from here on: thousands of long texts in one batch would not fit a small worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
+    bounded_batches(spark)
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -28,9 +40,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: its lineage is cut and survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
