@@ -107,6 +107,7 @@ def _gather(docs: DataFrame, buckets: int, file: str) -> DataFrame:
                 rows.append((WINDOW, zlib.crc32(windows[0].tobytes()), 0, len(windows), None, None, np.stack(windows).tobytes()))
             if rows:
                 yield _rows(rows)
+            del parts, windows, rows, texts
         seen = np.flatnonzero(ids_seen)
         if len(seen):
             yield _rows([(IDS, i, 0, n, None, None, None) for i, n in zip(seen.tolist(), ids_seen[seen].tolist(), strict=True)])
@@ -204,7 +205,7 @@ def _score(docs: DataFrame, buckets: int, file: str, shared) -> DataFrame:
                 hit = at >= 0
                 known[first:last] = np.bincount(rows[hit], minlength=n)
                 sums[first:last] = np.bincount(rows[hit], logs[at[hit]], n)
-                asked.append(np.stack([words[~hit], (rows[~hit] + first).astype(np.uint64)]))
+                asked.append((words[~hit], (rows[~hit] + first).astype(np.uint32)))
             for first, ids, bounds in own.encode(texts):
                 n = len(bounds) - 1
                 ended = np.insert(ids.astype(np.int64), bounds[1:], END_ID)
@@ -214,14 +215,17 @@ def _score(docs: DataFrame, buckets: int, file: str, shared) -> DataFrame:
             none = np.array([d is None for d in names], np.float64)
             rows = [(DOCS, 0, base, len(names), doc_ids.tobytes(), np.stack([held, tokens, known, sums, scores, none]).tobytes(), None)]
             if asked:
-                words, row = np.concatenate(asked, axis=1)
+                words, row = (np.concatenate(x) for x in zip(*asked, strict=True))
                 order = np.argsort(words, kind="stable")
-                words, row = words[order], row[order].astype(np.uint32)
+                words, row = words[order], row[order]
                 numbers, edge = _bucket_cuts(words, buckets)
                 for b, s, e in zip(numbers.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     distinct, many = np.unique(words[s:e], return_counts=True)
                     rows.append((REQUEST, b, base, len(names), distinct.tobytes(), many.astype(np.uint32).tobytes(), row[s:e].astype(np.uint16 if len(names) <= 1 << 16 else np.uint32).tobytes()))
+                del words, row, order
+            del asked
             yield _rows(rows)
+            del rows
             base += 1
 
     return docs.select("doc_id", "text").mapInArrow(score, _PACKED)
