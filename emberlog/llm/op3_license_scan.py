@@ -7,6 +7,8 @@ priority is dropped. Everything is DataFrame expressions; no shuffle, no Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,9 +23,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: A text without any of these, case aside, has no detection: every rule's keyword and base phrase holds one.
-GATE = ["licen", "copyright", "spdx", "warrant", "public", "gpl", "apache", "mozilla", "creative", "permission", "redistrib", "eclipse", "unlicense", "rights", "cc0", "wtfpl"]
-GATE_REGEX = "(?i)" + "|".join(GATE) + r"|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
+#: A text without any of these, case aside, has no detection: every spelling of every rule and base phrase holds one, or cc before by.
+GATE = ["licen", "copyright", "warrant", "public", "gpl", "apache", "creative", "permission", "redistrib", "rights", "cc0", "wtfpl", "attribution", "clause", "mpl", "epl", "cddl", "boost", "eclipse", "foundation", "documentation"]
 
 _VERSION = r"(?: v| version| ver)?"
 #: Licenses: label, pattern of its name in normalised text, a keyword that every such name contains, and whether
@@ -60,21 +61,15 @@ def rules() -> list[tuple[str, str, str, int, float]]:
     """(label, regex over normalised text, keyword, priority, confidence), in order; a few hundred."""
     out = [(label, form.format(name=name), keyword, priority, sure) for form, keyword, priority, sure in FORMS for label, name, _, _ in LICENSES]
     out += [(label, pattern, keyword, 2, sure) for label, pattern, keyword, sure in SENTENCES]
-    bare = {"cc": "c", "l": "l"}
-    for label, name, keyword, alone in LICENSES:
-        if alone:
-            keys = [keyword] if len(keyword) > 2 else [k for k in GATE_WORDS if k in _flat(name)] or list(bare.values())
-            out += [(label, name, k, 3, 0.6) for k in keys]
+    # Names with several spellings have no keyword of their own.
+    out += [(label, name, keyword if len(keyword) > 2 else " ", 3, 0.6) for label, name, keyword, alone in LICENSES if alone]
     return [(label, rf"(?<= )(?:{pattern})(?= )", keyword, priority, float(sure)) for label, pattern, keyword, priority, sure in out]
 
 
-#: Keywords of bare names with several spellings; a name that has one of them is met by one rule for each.
-GATE_WORDS = ["general public license", "gpl", "mozilla public", " mpl ", "eclipse public", " epl ", "common development", "cddl", " cc by ", "creative commons", "cc0", "wtfpl", "public license"]
-
-
-def _flat(pattern: str) -> str:
-    """The pattern's literal words, with spaces around each spelling."""
-    return " " + pattern.replace("(?:", " ").replace("|", " | ").replace(")?", " ").replace(")", " ").replace("  ", " ") + " by "
+def _gate(text: Column) -> Column:
+    """Over a lower-cased text. Lower-casing can only add matches: it leaves no ASCII letter another one."""
+    cc = F.contains(text, F.lit("cc")) & text.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(stem)) for stem in GATE]) | cc
 
 
 def _rule_array() -> Column:
@@ -97,7 +92,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     added = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "detections", "score")
     kept = [c for c in docs.columns if c not in added]
     text = F.coalesce(F.col("text"), F.lit(""))
-    one = docs.select(*kept, F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(text.rlike(GATE_REGEX), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))).alias("__s"))
+    low = docs.select(*kept, text.alias("__t"), F.lower(text).alias("__low"))
+    text = F.col("__t")
+    one = low.select(*kept, F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(_gate(F.col("__low")), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), GAP, " ")), F.lit(" "))).alias("__s"))
     parts = [F.split("__s", rf"(?<= ){phrase}(?= )", -1).alias(f"__p{i}") for i, (phrase, _) in enumerate(BASE)]
     two = one.select(*kept, "n_words", "__s", *parts)
     counts = [F.coalesce(F.size(F.col(f"__p{i}")) - 1, F.lit(0)) for i in range(len(BASE))]
