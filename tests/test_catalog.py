@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables; the others run."""
 
 import os
+import time
 
 import duckdb
 import pytest
@@ -53,4 +54,10 @@ def test_streams(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed.coalesce(1).write.parquet(f"{tmp_path}/timed")
     limited = live.rate_limited(live.file_log(spark, f"{tmp_path}/timed", timed.schema), "pubkey", 0.0001, 3)
-    assert {tuple(r) for r in catalog._run(spark, limited, "limited").collect()} == {tuple(r) for r in live.rate_limited_batch(timed, "pubkey", 0.0001, 3).collect()}
+    # State with a time to live always wants another batch, so the stream is stopped once it has read everything.
+    q = limited.writeStream.format("memory").queryName("limited").outputMode("append").start()
+    deadline = time.time() + 90
+    while time.time() < deadline and spark.table("limited").count() < timed.count():
+        time.sleep(0.5)
+    q.stop()
+    assert {tuple(r) for r in spark.table("limited").collect()} == {tuple(r) for r in live.rate_limited_batch(timed, "pubkey", 0.0001, 3).collect()}
