@@ -26,21 +26,21 @@ BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2
 GATE = ["licen", "copyright", "warrant", "public", "gpl", "apache", "creative", "permission", "redistrib", "rights", "cc0", "wtfpl", "attribution", "clause", "mpl", "epl", "cddl", "boost", "eclipse", "foundation", "documentation"]
 
 _VERSION = r"(?: v| version| ver)?"
-#: Licenses: label, pattern of its name in normalised text, a keyword that every such name contains, and whether
-#: the bare name is enough.
+#: Licenses: label, pattern of its name in normalised text, keywords of which every such name has one, and whether the
+#: bare name is enough.
 LICENSES = [
-    ("mit", r"(?:mit|expat|x11)", "", False), ("mit-0", r"mit no attribution", "mit no attribution", True), ("mit-modern", r"modern mit", "modern mit", False),
+    ("mit", r"(?:mit|expat|x11)", " mit | expat | x11 ", False), ("mit-0", r"mit no attribution", "mit no attribution", True), ("mit-modern", r"modern mit", "modern mit", False),
     ("apache-1.1", rf"apache(?: software)? license{_VERSION} 1 1", "apache", True), ("apache-2", rf"apache(?: software)?(?: license)?{_VERSION} 2(?: 0)?", "apache", True), ("apache", r"apache(?: software)?", "apache", False),
-    ("gpl-1", rf"(?:gnu )?(?:general public license|gpl){_VERSION} 1(?: 0)?", "g", True), ("gpl-2", rf"(?:gnu )?(?:general public license|gpl){_VERSION} 2(?: 0)?", "g", True), ("gpl-3", rf"(?:gnu )?(?:general public license|gpl){_VERSION} 3(?: 0)?", "g", True), ("gpl", r"gnu (?:general public license|gpl)", "gnu g", True), ("gplv2", r"gplv2", "gplv2", True), ("gplv3", r"gplv3", "gplv3", True),
-    ("lgpl-2", rf"(?:gnu )?(?:library general public license|lgpl){_VERSION} 2 0", "l", True), ("lgpl-2.1", rf"(?:gnu )?(?:lesser general public license|lgpl){_VERSION} 2 1", "l", True), ("lgpl-3", rf"(?:gnu )?(?:lesser general public license|lgpl){_VERSION} 3(?: 0)?", "l", True), ("lgpl", r"gnu (?:lesser general public license|library general public license|lgpl)", "gnu l", True),
-    ("agpl-3", rf"(?:gnu )?(?:affero general public license|agpl){_VERSION} 3(?: 0)?", "a", True), ("agpl", r"gnu (?:affero general public license|affero gpl|agpl)", "gnu a", True), ("gfdl", rf"gnu free documentation license(?:{_VERSION} 1 \d)?", "gnu free documentation", True),
+    ("gpl-1", rf"(?:gnu )?(?:general public license|gpl){_VERSION} 1(?: 0)?", "general public license|gpl", True), ("gpl-2", rf"(?:gnu )?(?:general public license|gpl){_VERSION} 2(?: 0)?", "general public license|gpl", True), ("gpl-3", rf"(?:gnu )?(?:general public license|gpl){_VERSION} 3(?: 0)?", "general public license|gpl", True), ("gpl", r"gnu (?:general public license|gpl)", "gnu g", True), ("gplv2", r"gplv2", "gplv2", True), ("gplv3", r"gplv3", "gplv3", True),
+    ("lgpl-2", rf"(?:gnu )?(?:library general public license|lgpl){_VERSION} 2 0", "library general public|lesser general public|lgpl", True), ("lgpl-2.1", rf"(?:gnu )?(?:lesser general public license|lgpl){_VERSION} 2 1", "library general public|lesser general public|lgpl", True), ("lgpl-3", rf"(?:gnu )?(?:lesser general public license|lgpl){_VERSION} 3(?: 0)?", "library general public|lesser general public|lgpl", True), ("lgpl", r"gnu (?:lesser general public license|library general public license|lgpl)", "gnu l", True),
+    ("agpl-3", rf"(?:gnu )?(?:affero general public license|agpl){_VERSION} 3(?: 0)?", "affero general public|agpl", True), ("agpl", r"gnu (?:affero general public license|affero gpl|agpl)", "gnu a", True), ("gfdl", rf"gnu free documentation license(?:{_VERSION} 1 \d)?", "gnu free documentation", True),
     ("bsd-0", r"(?:0|zero) clause bsd", "clause bsd", True), ("bsd-2", r"(?:(?:2|two) clause bsd|bsd 2 clause|simplified bsd|freebsd)", "bsd", False), ("bsd-3", r"(?:(?:3|three) clause bsd|bsd 3 clause|(?:new|modified|revised) bsd)", "bsd", False), ("bsd-4", r"(?:(?:4|four) clause bsd|bsd 4 clause|original bsd)", "bsd", False), ("bsd", r"bsd(?: style)?", "bsd", False),
-    ("mpl-1.1", rf"(?:mozilla public license|mpl){_VERSION} 1 1", "m", True), ("mpl-2", rf"(?:mozilla public license|mpl){_VERSION} 2(?: 0)?", "m", True), ("mpl", r"mozilla public", "mozilla public", False),
-    ("epl-1", rf"(?:eclipse public license|epl){_VERSION} 1(?: 0)?", "e", True), ("epl-2", rf"(?:eclipse public license|epl){_VERSION} 2(?: 0)?", "e", True), ("epl", r"eclipse public", "eclipse public", False), ("edl", rf"eclipse distribution license(?:{_VERSION} 1(?: 0)?)?", "eclipse distribution", True),
-    ("cddl-1", rf"(?:common development and distribution license|cddl){_VERSION} 1(?: 0)?", "c", True), ("cpl", rf"common public license(?:{_VERSION} 1(?: 0)?)?", "common public", True), ("eupl", rf"european union public licen[cs]e(?:{_VERSION} 1 \d)?", "european union public", True),
-    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv\w*)", "c", True), ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", "c", True), ("cc-by-nc", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)", "c", True), ("cc-by-sa", r"(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)", "c", True), ("cc-by-nd", r"(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv\w*)", "c", True), ("cc-by", r"(?:cc|creative commons) (?:by|attribution)", "c", True), ("cc0", r"(?:cc0|creative commons zero)", "c", True), ("cc", r"creative commons", "creative commons", False),
+    ("mpl-1.1", rf"(?:mozilla public license|mpl){_VERSION} 1 1", "mozilla public| mpl ", True), ("mpl-2", rf"(?:mozilla public license|mpl){_VERSION} 2(?: 0)?", "mozilla public| mpl ", True), ("mpl", r"mozilla public", "mozilla public", False),
+    ("epl-1", rf"(?:eclipse public license|epl){_VERSION} 1(?: 0)?", "eclipse public| epl ", True), ("epl-2", rf"(?:eclipse public license|epl){_VERSION} 2(?: 0)?", "eclipse public| epl ", True), ("epl", r"eclipse public", "eclipse public", False), ("edl", rf"eclipse distribution license(?:{_VERSION} 1(?: 0)?)?", "eclipse distribution", True),
+    ("cddl-1", rf"(?:common development and distribution license|cddl){_VERSION} 1(?: 0)?", "common development|cddl", True), ("cpl", rf"common public license(?:{_VERSION} 1(?: 0)?)?", "common public", True), ("eupl", rf"european union public licen[cs]e(?:{_VERSION} 1 \d)?", "european union public", True),
+    ("cc-by-nc-nd", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:nd|no ?deriv\w*)", " cc by | cc attribution|creative commons", True), ("cc-by-nc-sa", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial) (?:sa|share ?alike)", " cc by | cc attribution|creative commons", True), ("cc-by-nc", r"(?:cc|creative commons) (?:by|attribution) (?:nc|non ?commercial)", " cc by | cc attribution|creative commons", True), ("cc-by-sa", r"(?:cc|creative commons) (?:by|attribution) (?:sa|share ?alike)", " cc by | cc attribution|creative commons", True), ("cc-by-nd", r"(?:cc|creative commons) (?:by|attribution) (?:nd|no ?deriv\w*)", " cc by | cc attribution|creative commons", True), ("cc-by", r"(?:cc|creative commons) (?:by|attribution)", " cc by | cc attribution|creative commons", True), ("cc0", r"(?:cc0|creative commons zero)", " cc0 |creative commons zero", True), ("cc", r"creative commons", "creative commons", False),
     ("artistic-1", rf"artistic license{_VERSION} 1(?: 0)?", "artistic license", True), ("artistic-2", rf"artistic license{_VERSION} 2(?: 0)?", "artistic license", True), ("boost", rf"boost software(?: license)?(?:{_VERSION} 1(?: 0)?)?", "boost software", True), ("isc", r"isc", "isc", False), ("zlib", r"(?:zlib|zlib libpng)", "zlib", False), ("libpng", r"libpng", "libpng", False),
-    ("unlicense", r"unlicense", "unlicense", True), ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "w", True), ("python", r"python software foundation(?: license)?", "python software foundation", True), ("postgresql", r"postgresql", "postgresql", False), ("php", rf"php license{_VERSION} 3(?: 0\d?)?", "php license", True), ("ruby", r"ruby", "ruby", False),
+    ("unlicense", r"unlicense", "unlicense", True), ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what the fuck", True), ("python", r"python software foundation(?: license)?", "python software foundation", True), ("postgresql", r"postgresql", "postgresql", False), ("php", rf"php license{_VERSION} 3(?: 0\d?)?", "php license", True), ("ruby", r"ruby", "ruby", False),
     ("openssl", r"openssl", "openssl", False), ("odbl", rf"open (?:data commons open )?database license(?:{_VERSION} 1(?: 0)?)?", "database license", True), ("odc-by", r"open data commons attribution", "open data commons attribution", False), ("pddl", r"public domain dedication and license", "public domain dedication", True), ("ofl-1.1", rf"(?:sil )?open font license(?:{_VERSION} 1 1)?", "open font license", True), ("ms-pl", r"microsoft public", "microsoft public", False), ("ms-rl", r"microsoft reciprocal", "microsoft reciprocal", False), ("osl-3", rf"open software license{_VERSION} 3(?: 0)?", "open software license", True), ("afl-3", rf"academic free license{_VERSION} 3(?: 0)?", "academic free license", True), ("upl", r"universal permissive", "universal permissive", False), ("vim", r"vim", "vim", False), ("sleepycat", r"sleepycat", "sleepycat", False), ("bsl-1.1", rf"business source license(?:{_VERSION} 1 1)?", "business source license", True), ("sspl-1", rf"server side public license(?:{_VERSION} 1)?", "server side public", True), ("elastic-2", rf"elastic license(?:{_VERSION} 2(?: 0)?)?", "elastic license", True), ("rail", r"(?:open)?rail(?: m)?", "rail", False), ("llama", r"llama \d community", "llama", False),
 ]
 #: How a name stands: pattern around it, keyword, priority (0 is best) and confidence.
@@ -56,13 +56,12 @@ SENTENCES = [
 ]
 
 
-def rules() -> list[tuple[str, str, str, int, float]]:
-    """(label, regex over normalised text, keyword, priority, confidence), in order; a few hundred."""
-    out = [(label, form.format(name=name), keyword, priority, sure) for form, keyword, priority, sure in FORMS for label, name, _, _ in LICENSES]
-    out += [(label, pattern, keyword, 2, sure) for label, pattern, keyword, sure in SENTENCES]
-    # Names with several spellings have no keyword of their own.
-    out += [(label, name, keyword if len(keyword) > 2 else " ", 3, 0.6) for label, name, keyword, alone in LICENSES if alone]
-    return [(label, rf"(?<= )(?:{pattern})(?= )", keyword, priority, float(sure)) for label, pattern, keyword, priority, sure in out]
+def rules() -> list[tuple[str, str, str, str, int, float]]:
+    """(label, regex over normalised text, text that must be in it, keywords of which one must be, priority, confidence), in order; about 300."""
+    out = [(label, form.format(name=name), need, keywords, priority, sure) for form, need, priority, sure in FORMS for label, name, keywords, _ in LICENSES]
+    out += [(label, pattern, keyword, "", 2, sure) for label, pattern, keyword, sure in SENTENCES]
+    out += [(label, name, "", keywords, 3, 0.6) for label, name, keywords, alone in LICENSES if alone]
+    return [(label, rf"(?<= )(?:{pattern})(?= )", need, keywords, priority, float(sure)) for label, pattern, need, keywords, priority, sure in out]
 
 
 def _gate(text: Column) -> Column:
@@ -72,8 +71,10 @@ def _gate(text: Column) -> Column:
 
 
 def _rule_array() -> Column:
-    fields = ("label", "pattern", "keyword", "priority", "sure")
-    return F.array(*[F.struct(*[F.lit(v).alias(f) for v, f in zip(r, fields, strict=True)]) for r in rules()])
+    one = lambda label, pattern, need, keywords, priority, sure: F.struct(
+        F.lit(label).alias("label"), F.lit(pattern).alias("pattern"), F.lit(need).alias("need"), F.array(*map(F.lit, keywords.split("|"))).alias("keywords"), F.lit(priority).alias("priority"), F.lit(sure).alias("sure")
+    )
+    return F.array(*[one(*r) for r in rules()])
 
 
 def _spaces(text: Column) -> Column:
@@ -119,7 +120,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
         )["out"]
         return F.transform(ends, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("minus_e"), r["priority"].alias("priority"), r["label"].alias("label"), r["sure"].alias("sure")))
 
-    detected = F.when(F.col("__s").isNotNull(), F.array_sort(F.flatten(F.transform(F.filter(_rule_array(), lambda r: F.contains(F.col("__s"), r["keyword"])), found))))
+    detected = F.when(F.col("__s").isNotNull(), F.array_sort(F.flatten(F.transform(F.filter(_rule_array(), lambda r: F.contains(F.col("__s"), r["need"]) & F.exists(r["keywords"], lambda k: F.contains(F.col("__s"), k))), found))))
     three = two.select(*kept, "n_words", total.alias("n_base"), F.least(*firsts).cast("long").alias("first_word"), F.greatest(*lasts).cast("long").alias("last_word"), base.alias("__base"), detected.alias("__d"))
     kinds = "array<struct<label:string,start:int,end:int,priority:int,sure:double>>"
     reach = [f"m{p}" for p in range(4)]

@@ -9,6 +9,15 @@ DOCS = [
 ]
 
 
+def test_keywords_lose_nothing():
+    """Without any keyword a rule finds the same."""
+    for _, t in DOCS:
+        s = " " + " ".join(words(t)) + " "
+        for label, pattern, need, keywords, _, _ in op.rules():
+            if len(s) < 10_000 and re.search(pattern, s):
+                assert need in s and any(k in s for k in keywords.split("|")), (label, s)
+
+
 def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
@@ -19,7 +28,7 @@ def brute(text):
     at = [(i, label) for phrase, label in op.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     base = sorted({label for _, label in at})
     s = " " + " ".join(w) + " "
-    found = [(m.start(), m.end(), p, label, sure) for label, pattern, keyword, p, sure in op.rules() if w and keyword in s for m in re.finditer(pattern, s)]
+    found = [(m.start(), m.end(), p, label, sure) for label, pattern, need, keywords, p, sure in op.rules() if w and need in s and any(k in s for k in keywords.split("|")) for m in re.finditer(pattern, s)]
     found.sort(key=lambda x: (x[0], -x[1], x[2], x[3], x[4]))
     stay = [x for i, x in enumerate(found) if not any(y[2] <= x[2] and y[1] >= x[1] for y in found[:i])]
     score = max([x[4] for x in stay] + [0.95 if base else 0.0])
@@ -39,8 +48,8 @@ def test_brute_force(spark):
 def test_rules():
     rules = op.rules()
     assert len(rules) > 250
-    for _, pattern, keyword, priority, sure in rules:
-        assert re.compile(pattern) and 0 <= priority <= 3 and 0 < sure <= 1 and keyword
+    for _, pattern, need, keywords, priority, sure in rules:
+        assert re.compile(pattern) and 0 <= priority <= 3 and 0 < sure <= 1 and need + keywords
     by_id = {d: brute(t)[5] for d, t in DOCS}
     assert by_id[8] == "gpl-3,license-mention" and by_id[10] == "mit" and by_id[11] == "bsd-3" and by_id[1] == "apache-2" and by_id[12] == "proprietary"
 
@@ -50,4 +59,4 @@ def test_gate_lets_every_spelling_through(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.text: r.labels for r in op.scan_licenses(docs).collect()}
     assert got == {t: brute(t)[5] for t in texts} and sum(map(bool, got.values())) >= 17
-    assert all(any(stem in pattern.lower() or stem in keyword for stem in op.GATE) or label.startswith("cc") for label, pattern, keyword, _, _ in op.rules())
+    assert all(any(stem in pattern.lower() or stem in need + keywords for stem in op.GATE) or label.startswith("cc") for label, pattern, need, keywords, _, _ in op.rules())
