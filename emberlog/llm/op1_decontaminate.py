@@ -225,5 +225,23 @@ def brute_force(text: str | None, items: list[tuple[object, str | None]], window
     return len(words), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: The same rows by joining every window's text.
+SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[j:j + n - 1], ' ') AS g
+       FROM (SELECT item_id, w, least({WINDOW}, len(w)) AS n, unnest(generate_series(1, len(w) - least({WINDOW}, len(w)) + 1)) AS j FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS g
+       FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS j FROM d JOIN (SELECT DISTINCT n FROM iw) ON len(w) >= n)),
+hit AS (SELECT dw.doc_id, dw.n, dw.j, iw.item_id FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(j, j + n - 1)) AS p FROM hit) GROUP BY doc_id),
+item AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN cover ON d.doc_id = cover.doc_id LEFT JOIN item ON d.doc_id = item.doc_id
+"""
+
 QUERIES = {"op1_decontaminate": op1_decontaminate}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op1_decontaminate": SQL}
