@@ -200,5 +200,22 @@ def brute_force(docs: list[tuple], width: int = WIDTH) -> list[tuple[int, int, s
     return out
 
 
+#: The same rows where doc_ids are distinct.
+SQL = """
+WITH u AS (SELECT doc_id, i, unit, trim(unit, E' \\t\\n\\x0B\\f\\r') AS line
+           FROM (SELECT doc_id, unnest(generate_series(1, len(p))) AS i, unnest(p) AS unit FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n]*?(?:\\n|[.!?] |$)') AS p FROM documents))
+           WHERE unit <> ''),
+l AS (SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM u WHERE line <> ''),
+w AS (SELECT a.doc_id, a.n, a.line || chr(10) || b.line || chr(10) || c.line AS g FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN l c ON a.doc_id = c.doc_id AND c.n = a.n + 2),
+later AS (SELECT doc_id, n FROM (SELECT doc_id, n, row_number() OVER (PARTITION BY g ORDER BY doc_id, n) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, n FROM (SELECT doc_id, unnest(generate_series(n, n + 2)) AS n FROM later)),
+x AS (SELECT l.doc_id, l.i FROM l JOIN gone ON l.doc_id = gone.doc_id AND l.n = gone.n),
+kept AS (SELECT u.doc_id, string_agg(u.unit, '' ORDER BY u.i) AS text FROM u LEFT JOIN x ON u.doc_id = x.doc_id AND u.i = x.i WHERE x.i IS NULL GROUP BY u.doc_id),
+counts AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, coalesce(k.text, '') AS text
+FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_id LEFT JOIN removed r ON d.doc_id = r.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 QUERIES = {"op4_line_dedup": op4_line_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_line_dedup": SQL}
