@@ -294,7 +294,7 @@ _MATCH = {
     "watermark_skip": (5, "kind = 1 AND lev_id > 5000"),
 }
 for _name, (_conn, _where) in _MATCH.items():
-    _add(_name, lambda s, d, c=_conn: subscriptions.match(tagged_log(s, d), subscriptions.subscription_table(s, _SUBS)).where(F.col("conn") == c), f"WITH {LOG} SELECT {_conn} AS conn, '{next(x.sub for x in _SUBS if x.conn == _conn)}' AS sub, lev_id FROM log WHERE lev_id > 0 AND ({_where})")
+    _add(_name, lambda s, d, c=_conn: subscriptions.match(tagged_log(s, d), subscriptions.subscription_table(s, _SUBS)).where(F.col("conn") == c), f"WITH {LOG} SELECT CAST({_conn} AS BIGINT) AS conn, '{next(x.sub for x in _SUBS if x.conn == _conn)}' AS sub, lev_id FROM log WHERE lev_id > 0 AND ({_where})")
 _ROUTES = {"up": parse_group([{"kinds": [1, 7]}]), "down": parse_group([{"#t": ["u1"]}, {"kinds": [0]}]), "never": parse_group([{"search": "x"}])}
 _add("router_groups", lambda s, d: subscriptions.router(tagged_log(s, d), _ROUTES), f"WITH {LOG} SELECT 'up' AS router_group, lev_id FROM log WHERE kind IN (1, 7) UNION ALL SELECT 'down', lev_id FROM log WHERE u = 'u1' OR kind = 0")
 _FOLDED = parse_filter({"&t": ["5", "u3"]})
@@ -398,7 +398,7 @@ def _stream(s: SparkSession, d: str) -> DataFrame:
     return _as_log(s.readStream.schema(_STREAM).option("pathGlobFilter", "events.parquet").parquet(d))
 
 
-_add("stream_match", lambda s, d: _run(s, live.live_matches(_stream(s, d), subscriptions.subscription_table(s, _SUBS[:1])), "matches"), f"WITH {LOG} SELECT 1 AS conn, 'authors' AS sub, lev_id FROM log WHERE lev_id > 0 AND ({_MATCH['match_by_author'][1]})")
+_add("stream_match", lambda s, d: _run(s, live.live_matches(_stream(s, d), subscriptions.subscription_table(s, _SUBS[:1])), "matches"), f"WITH {LOG} SELECT CAST(1 AS BIGINT) AS conn, 'authors' AS sub, lev_id FROM log WHERE lev_id > 0 AND ({_MATCH['match_by_author'][1]})")
 
 
 def _handed(s: SparkSession, d: str) -> DataFrame:
