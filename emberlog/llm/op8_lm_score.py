@@ -41,6 +41,8 @@ IDS_PER_WINDOW, ROUNDS, WORKERS = 1024, 3, 256
 _PACKED = "kind int, bucket bigint, base bigint, n bigint, words binary, counts binary, extra binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("base", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary())])
 WORDS, IDS, WINDOW, REQUEST, DOCS, ANSWER = range(6)
+#: Stands for the number of documents among the id counts.
+DOCUMENTS = -1
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -81,11 +83,12 @@ def _gather(docs: DataFrame, buckets: int, file: str) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker(file, "word")
-        ids_seen = np.zeros(own.library.get_vocab_size(), np.int64)
+        ids_seen, n_docs = np.zeros(own.library.get_vocab_size(), np.int64), 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             keep = np.flatnonzero([fold_of(d) != HELD_OUT for d in names])
             texts = batch.column(1).take(pa.array(keep))
+            n_docs += len(keep)
             parts = []
             for _, _, data, offsets in blocks(texts):
                 starts, ends, _ = spans(data, offsets, NONSPACE)
@@ -109,7 +112,8 @@ def _gather(docs: DataFrame, buckets: int, file: str) -> DataFrame:
                 yield _rows(rows)
             del parts, windows, rows, texts
         seen = np.flatnonzero(ids_seen)
-        if len(seen):
+        if n_docs:  # counted apart: a text may spell the end id's token
+            yield _rows([(IDS, DOCUMENTS, 0, n_docs, None, None, None)])
             yield _rows([(IDS, i, 0, n, None, None, None) for i, n in zip(seen.tolist(), ids_seen[seen].tolist(), strict=True)])
 
     return docs.select("doc_id", "text").mapInArrow(gather, _PACKED)
@@ -279,10 +283,10 @@ def score_documents(docs: DataFrame, file: str, rounds: int = ROUNDS, workers: i
     words = gathered.where(F.col("kind") == WORDS).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_word_table, _PACKED)
     words = stored(words, "words")
     total = words.agg(F.sum("base"), F.sum("n")).first()
-    n_docs = next(iter(gathered.where((F.col("kind") == IDS) & (F.col("bucket") == END_ID)).agg(F.sum("n")).first())) or 0
+    n_docs = next(iter(gathered.where((F.col("kind") == IDS) & (F.col("bucket") == DOCUMENTS)).agg(F.sum("n")).first())) or 0
     train_tokens, distinct = (total[0] or 0) + n_docs, (total[1] or 0) + (n_docs > 0)
     id_counts = np.zeros(worker(file, "word").library.get_vocab_size(), np.int64)
-    for r in gathered.where(F.col("kind") == IDS).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in gathered.where((F.col("kind") == IDS) & (F.col("bucket") != DOCUMENTS)).groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         id_counts[r.bucket] = r.n
     vocabulary = attention.Vocabulary(id_counts, START_ID)
     weights = _train(gathered.where(F.col("kind") == WINDOW), vocabulary, rounds, max(1, min(workers, buckets // 4)))
