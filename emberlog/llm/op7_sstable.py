@@ -124,10 +124,12 @@ class ShardReader:
         size = source.size()
         source.seek(size - FOOTER.size)
         index_at, n, bloom_at, bloom_size, self.docs, self.ids, self.width, crc, magic = FOOTER.unpack(source.read(FOOTER.size))
+        if magic != MAGIC or not index_at <= bloom_at <= bloom_at + bloom_size <= size:
+            raise ValueError("not a shard, or a damaged one")
         source.seek(index_at)
         tail = source.read(bloom_at - index_at + bloom_size)
-        if magic != MAGIC or zlib.crc32(tail) != crc:
-            raise ValueError("not a shard, or a damaged one")
+        if zlib.crc32(tail) != crc:
+            raise ValueError("a damaged shard")
         self.blocks, at = [], 0
         for _ in range(n):
             *entry, length = INDEX.unpack_from(tail, at)
