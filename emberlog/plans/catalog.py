@@ -368,7 +368,7 @@ _add("canonical_json", lambda s, d: s.read.parquet(f"{d}/events.parquet").select
 
 
 def _ids(s: SparkSession, d: str) -> DataFrame:
-    rows = source.events_log(s, d).where("lev_id < 1000").select("lev_id", F.to_json(F.struct("pubkey", "created_at", "kind", "tags", "content")).alias("x"))
+    rows = source.events_log(s, d).select("lev_id", F.to_json(F.struct("pubkey", "created_at", "kind", "tags", "content")).alias("x"))
     return rows.select("lev_id", codec.event_id_column("x").alias("event_hash"))
 
 

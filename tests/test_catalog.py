@@ -1,5 +1,8 @@
 """Every query with SQL gives DuckDB's rows on the smallest tables; the others run."""
 
+import datetime
+import hashlib
+import json
 import os
 import time
 
@@ -61,3 +64,17 @@ def test_streams(spark, tmp_path):
         time.sleep(0.5)
     q.stop()
     assert {tuple(r) for r in spark.table("limited").collect()} == {tuple(r) for r in live.rate_limited_batch(timed, "pubkey", 0.0001, 3).collect()}
+
+
+def test_event_id_hashes_every_event(spark, tmp_path):
+    """Ids from 1000 on too, against a plain loop."""
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=i), i % 7, ["view", "purchase"][i % 2], 1.0, f'{{"k": {i % 5}}}') for i in (0, 1, 999, 1000, 1001, 123_457)]
+    spark.createDataFrame(rows, catalog._STREAM).write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for i, ts, user, kind, _, props in rows:
+        k = str(json.loads(props)["k"])
+        tags = [["d", k], ["t", k]] if kind == "purchase" else [["t", k]]
+        at = int(ts.replace(tzinfo=datetime.UTC).timestamp())
+        text = json.dumps([0, hashlib.sha256(str(user).encode()).hexdigest(), at, 30023 if kind == "purchase" else 1, tags, ""], separators=(",", ":"))
+        want[i] = hashlib.sha256(text.encode()).hexdigest()
+    assert {r.lev_id: r.event_hash for r in catalog.queries()["event_id"](spark, str(tmp_path)).collect()} == want
