@@ -22,8 +22,11 @@ GAP_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: A text without any of these, case aside, has no detection: every spelling of every rule and base phrase holds one, or cc before by.
-GATE = ["licen", "copyright", "warrant", "public", "gpl", "apache", "creative", "permission", "redistrib", "rights", "cc0", "wtfpl", "attribution", "clause", "mpl", "epl", "cddl", "boost", "eclipse", "foundation", "documentation"]
+#: A text without any of these, case aside, has no detection: every spelling of every rule and base phrase holds one, or cc before by,
+#: or one of VERBS before under, by or with.
+GATE = ["licen", "copyright", "warrant", "public", "gpl", "apache", "creative", "permission", "redistrib", "rights", "cc0", "wtfpl", "attribution", "clause", "mpl", "epl", "cddl", "boost", "eclipse", "foundation", "documentation", "contributors"]
+#: Verbs of FORMS that hold no stem: before under, by or with they pass the gate too.
+VERBS = ["released", "distributed", "available", "published", "provided", "covered", "shared"]
 
 _VERSION = r"(?: v| version| ver)?"
 #: Licenses: label, pattern of its name in normalised text, keywords of which every such name has one, and whether the
@@ -43,15 +46,15 @@ LICENSES = [
     ("unlicense", r"unlicense", "unlicense", True), ("wtfpl", r"(?:wtfpl|do what the fuck you want to public license)", "wtfpl|do what the fuck", True), ("python", r"python software foundation(?: license)?", "python software foundation", True), ("postgresql", r"postgresql", "postgresql", False), ("php", rf"php license{_VERSION} 3(?: 0\d?)?", "php license", True), ("ruby", r"ruby", "ruby", False),
     ("openssl", r"openssl", "openssl", False), ("odbl", rf"open (?:data commons open )?database license(?:{_VERSION} 1(?: 0)?)?", "database license", True), ("odc-by", r"open data commons attribution", "open data commons attribution", False), ("pddl", r"public domain dedication and license", "public domain dedication", True), ("ofl-1.1", rf"(?:sil )?open font license(?:{_VERSION} 1 1)?", "open font license", True), ("ms-pl", r"microsoft public", "microsoft public", False), ("ms-rl", r"microsoft reciprocal", "microsoft reciprocal", False), ("osl-3", rf"open software license{_VERSION} 3(?: 0)?", "open software license", True), ("afl-3", rf"academic free license{_VERSION} 3(?: 0)?", "academic free license", True), ("upl", r"universal permissive", "universal permissive", False), ("vim", r"vim", "vim", False), ("sleepycat", r"sleepycat", "sleepycat", False), ("bsl-1.1", rf"business source license(?:{_VERSION} 1 1)?", "business source license", True), ("sspl-1", rf"server side public license(?:{_VERSION} 1)?", "server side public", True), ("elastic-2", rf"elastic license(?:{_VERSION} 2(?: 0)?)?", "elastic license", True), ("rail", r"(?:open)?rail(?: m)?", "rail", False), ("llama", r"llama \d community", "llama", False),
 ]
-#: How a name stands: pattern around it, keyword, priority (0 is best) and confidence.
+#: How a name stands: pattern around it, keyword (empty where no text is in every match), priority (0 is best) and confidence.
 FORMS = [
     (r"spdx license identifier {name}", "spdx license identifier", 0, 1.0),
-    (r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|dual licen[cs]ed|made available|shared)(?: to you)? (?:under|by|with)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?", "licen", 1, 0.95),
+    (r"(?:licen[cs]ed|released|distributed|available|published|provided|covered|dual licen[cs]ed|made available|shared)(?: to you)? (?:under|by|with)(?: the)?(?: terms of)?(?: the)? {name}(?: licen[cs]e)?", "", 1, 0.95),
     (r"{name} licen[cs]e", "licen", 2, 0.8),
 ]
 #: Sentences that only one license's text has: label, pattern, keyword, confidence.
 SENTENCES = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", 0.9), ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission to use", 0.9), ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", 0.85), ("bsd-3", r"neither the name of .{1,80}? nor the names of its contributors", "rights", 0.8), ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license", "license", 0.9), ("gpl", r"this program is free software you can redistribute it and or modify", "redistribute", 0.85), ("lgpl", r"this library is free software you can redistribute it and or modify", "redistribute", 0.85), ("mpl-2", r"this source code form is subject to the terms of the mozilla public license", "mozilla public", 0.95),
+    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted", 0.9), ("isc", r"permission to use copy modify and or distribute this software for any purpose", "permission to use", 0.9), ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use", 0.85), ("bsd-3", r"neither the name of .{1,80}? nor the names of its contributors", "names of its contributors", 0.8), ("apache-2", r"unless required by applicable law or agreed to in writing software distributed under the license", "license", 0.9), ("gpl", r"this program is free software you can redistribute it and or modify", "redistribute", 0.85), ("lgpl", r"this library is free software you can redistribute it and or modify", "redistribute", 0.85), ("mpl-2", r"this source code form is subject to the terms of the mozilla public license", "mozilla public", 0.95),
     ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors", "warranty", 0.8), ("unlicense", r"this is free and unencumbered software released into the public domain", "public domain", 0.95), ("boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy", "permission is hereby granted", 0.95), ("public-domain", r"(?:released into|placed in|dedicated to|in) the public domain", "public domain", 0.7), ("cc0", r"waived all copyright and related or neighboring rights", "copyright", 0.9), ("proprietary", r"all rights reserved", "rights reserved", 0.6), ("proprietary", r"(?:confidential and proprietary|proprietary and confidential) licen\w+", "licen", 0.7), ("copyright", r"copyright (?:c )?(?:19|20)\d\d", "copyright", 0.4), ("no-warranty", r"without warranty of any kind", "warranty", 0.3), ("license-mention", r"(?:this|the) (?:work|software|file|document|dataset|text) is licensed", "licensed", 0.3),
 ]
 
@@ -67,7 +70,9 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
 def _gate(text: Column) -> Column:
     """Over a lower-cased text. Lower-casing can only add matches: it leaves no ASCII letter another one."""
     cc = F.contains(text, F.lit("cc")) & text.rlike(r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by")
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(stem)) for stem in GATE]) | cc
+    any_of = lambda stems: reduce(lambda a, b: a | b, [F.contains(text, F.lit(stem)) for stem in stems])
+    verb = any_of(VERBS) & text.rlike(rf"(?:{'|'.join(VERBS)}){GAP}(?:to{GAP}you{GAP})?(?:under|by|with)")
+    return any_of(GATE) | cc | verb
 
 
 def _rule_array() -> Column:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from emberlog.llm import op3_license_scan as op
@@ -60,3 +61,50 @@ def test_gate_lets_every_spelling_through(spark):
     got = {r.text: r.labels for r in op.scan_licenses(docs).collect()}
     assert got == {t: brute(t)[5] for t in texts} and sum(map(bool, got.values())) >= 17
     assert all(any(stem in pattern.lower() or stem in need + keywords for stem in op.GATE) or label.startswith("cc") for label, pattern, need, keywords, _, _ in op.rules())
+
+
+def ungated(text):
+    """Labels by every rule's regex alone: no needed text, no keyword, no gate."""
+    w = words(text)
+    s = " " + " ".join(w) + " "
+    base = {label for phrase, label in op.BASE if f" {phrase} " in s}
+    found = [(m.start(), m.end(), p, label, sure) for label, pattern, _, _, p, sure in op.rules() if w for m in re.finditer(pattern, s)]
+    found.sort(key=lambda x: (x[0], -x[1], x[2], x[3], x[4]))
+    return ",".join(sorted(base | {x[3] for i, x in enumerate(found) if not any(y[2] <= x[2] and y[1] >= x[1] for y in found[:i])}))
+
+
+def spelling(nodes, rng):
+    """A text that a parsed regex matches."""
+    out = ""
+    for kind, a in nodes:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(a)
+        elif name == "ANY":
+            out += "x"
+        elif name == "BRANCH":
+            out += spelling(rng.choice(a[1]), rng)
+        elif name == "SUBPATTERN":
+            out += spelling(a[3], rng)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(spelling(a[2], rng) for _ in range(rng.randint(a[0], min(a[1], a[0] + 2))))
+        elif name == "IN":
+            one, value = rng.choice(a)
+            out += chr(value) if str(one) == "LITERAL" else "7"
+        else:
+            assert name == "ASSERT"
+    return out
+
+
+def test_filter_loses_nothing(spark):
+    """Spellings of every rule, and texts that hold no word license, get all labels that the regexes alone give."""
+    rng = random.Random(0)
+    texts = ["Released under MIT.", "Distributed under the BSD 3-Clause", "Provided to you\nby the terms of the ISC", "Made available WITH vim", "shared, under Ruby",
+        "Copyright 2020 X. Redistributions must keep this. Neither the name of X nor the names of its contributors may be used", "Neither the name of X nor\nthe names of its contributors may"]
+    for _, pattern, _, _, _, _ in op.rules():
+        texts += [spelling(re._parser.parse(pattern), rng) for _ in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in op.scan_licenses(docs).collect()}
+    want = {i: ungated(t) for i, t in enumerate(texts)}
+    assert all(want.values()) and "mit" in want[0] and "bsd-3" in want[1] and "bsd-3" in want[5]
+    assert got == want
