@@ -2,10 +2,10 @@
 
 Four jobs, all of packed arrays dealt by hash bucket:
 
-1. every training document's words are counted (each task adds up its own first), with its subword ids and one training
-   window for every 1024 ids of it;
+1. every training document's words are counted (each task adds up its own first), with its subword ids, which are
+   all training targets;
 2. bucket by bucket the counts become the word table; the frequent words, a bounded number, are broadcast;
-3. the attention model is trained by a few rounds of local steps over all windows, dealt to a bounded number of workers whose
+3. the attention model is trained by a few rounds of local steps over the windows of all ids, dealt to a bounded number of workers whose
    weights are averaged;
 4. every text is scored: the model's score and the frequent words' part in the task, other words as requests that meet
    their bucket of the word table; each bucket's answers are added up for each block of documents.
@@ -35,7 +35,7 @@ FILE, START_ID, END_ID = "word_bpe_49k.json", 49406, 49407
 FOLDS, HELD_OUT = 5, 1
 #: Frequent words that are broadcast (12 bytes each).
 FREQUENT = 65_536
-#: Ids for each training window of a document; rounds of training; workers of a round at the most (one for every four shuffle partitions).
+#: Ids for each window of _window; rounds of training; workers of a round at the most (one for every four shuffle partitions).
 IDS_PER_WINDOW, ROUNDS, WORKERS = 1024, 3, 256
 
 _PACKED = "kind int, bucket bigint, base bigint, n bigint, words binary, counts binary, extra binary"
@@ -78,8 +78,20 @@ def _window(ids: np.ndarray, doc_id) -> Iterator[np.ndarray]:
         yield full[at : at + attention.LENGTH + 1]
 
 
+def windows_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All training windows of documents whose ids (each ends with the end id) follow each other: every id is the target of one."""
+    lengths = lengths.astype(np.int64)
+    many = -(-lengths // attention.STEP)
+    at = np.concatenate([[0], np.cumsum(many * attention.STEP + attention.CONTEXT + 1)])
+    full = np.full(at[-1], -1, np.int32)
+    full[at[:-1] + attention.CONTEXT] = START_ID
+    full[np.arange(len(ids)) + np.repeat(at[:-1] + attention.CONTEXT + 1 - (np.cumsum(lengths) - lengths), lengths)] = ids
+    start = np.repeat(at[:-1], many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * attention.STEP
+    return full[start[:, None] + np.arange(attention.LENGTH + 1)]
+
+
 def _gather(docs: DataFrame, buckets: int, file: str) -> DataFrame:
-    """Packed rows of the training documents: word counts by bucket, id counts, windows."""
+    """Packed rows of the training documents: word counts by bucket, id counts, ids to train on (16 bits each)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker(file, "word")
@@ -100,17 +112,14 @@ def _gather(docs: DataFrame, buckets: int, file: str) -> DataFrame:
                 words, counts = _merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 numbers, edge = _bucket_cuts(words, buckets)
                 rows = [(WORDS, b, 0, e - s, words[s:e].tobytes(), counts[s:e].astype(np.uint32).tobytes(), None) for b, s, e in zip(numbers.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            windows = []
-            for first, ids, bounds in own.encode(texts):
+            for _, ids, bounds in own.encode(texts):
                 ids_seen += np.bincount(ids, minlength=len(ids_seen))
                 ids_seen[END_ID] += len(bounds) - 1
-                for i in range(len(bounds) - 1):
-                    windows += _window(np.append(ids[bounds[i] : bounds[i + 1]], END_ID), names[keep[first + i]])
-            if windows:
-                rows.append((WINDOW, zlib.crc32(windows[0].tobytes()), 0, len(windows), None, None, np.stack(windows).tobytes()))
+                ended, lengths = np.insert(ids.astype(np.uint16), bounds[1:], END_ID), (np.diff(bounds) + 1).astype(np.int32)
+                rows.append((WINDOW, zlib.crc32(ended.tobytes()), 0, len(ended), None, lengths.tobytes(), ended.tobytes()))
             if rows:
                 yield _rows(rows)
-            del parts, windows, rows, texts
+            del parts, rows, texts
         seen = np.flatnonzero(ids_seen)
         if n_docs:  # counted apart: a text may spell the end id's token
             yield _rows([(IDS, DOCUMENTS, 0, n_docs, None, None, None)])
@@ -167,15 +176,16 @@ def _train(windows: DataFrame, vocabulary: attention.Vocabulary, rounds: int, wo
             w, v = now.value
             n = 0
             for batch in batches:
-                for blob in batch.column(0):
-                    own = np.frombuffer(blob.as_buffer(), np.int32).reshape(-1, attention.LENGTH + 1)
+                for blob, lengths in zip(batch.column(0), batch.column(1), strict=True):
+                    own = windows_of(np.frombuffer(blob.as_buffer(), np.uint16), np.frombuffer(lengths.as_buffer(), np.int32))
+                    own = own[np.random.default_rng(len(own)).permutation(len(own))]  # a step's windows are of many documents
                     w, _ = attention.train(w, own, v)
                     n += len(own)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([w[x].ravel() for x in attention.NAMES]).tobytes()], pa.binary())], ["n", "weights"])
 
         part = windows.where(F.pmod("bucket", F.lit(rounds)) == k)
-        got = part.select("extra").repartition(workers).mapInArrow(local, "n bigint, weights binary").collect()
+        got = part.select("extra", "counts").repartition(workers).mapInArrow(local, "n bigint, weights binary").collect()
         if got:
             total = sum(r.n for r in got)
             flat = sum(np.frombuffer(bytes(r.weights), np.float32).astype(np.float64) * (r.n / total) for r in got)

@@ -75,3 +75,23 @@ def test_windows():
     for w in found:
         real = w[w >= 0]
         assert len(w) == attention.LENGTH + 1 and (np.diff(real[real != op.START_ID]) == 1).all()
+
+
+def test_every_training_id_is_a_target(spark):
+    """The windows that training takes hold each id of the training documents once as a target, with the ids before it."""
+    docs = spark.createDataFrame([(d, t) for d, t in [*DOCS, *((20 + i, "the red cat sat " * 70 * i) for i in range(10))]], "doc_id long, text string")
+    rows = op._gather(docs, 4, FILE).collect()
+    want, got = collections.Counter(), collections.Counter()
+    for r in rows:
+        if r.kind == op.IDS and r.bucket != op.DOCUMENTS:
+            want[r.bucket] += r.n
+    for r in rows:
+        if r.kind == op.WINDOW:
+            ids, lengths = np.frombuffer(bytes(r.extra), np.uint16), np.frombuffer(bytes(r.counts), np.int32)
+            windows, ends = op.windows_of(ids, lengths), np.cumsum(lengths)
+            targets = windows[:, attention.CONTEXT + 1 :]
+            assert targets[targets >= 0].tolist() == ids.tolist() and windows[0, attention.CONTEXT] == op.START_ID
+            got.update(ids.tolist())
+            plain = [[-1] * attention.CONTEXT + [op.START_ID, *ids[e - n : e].tolist()] + [-1] * attention.STEP for n, e in zip(lengths, ends, strict=True)]
+            assert windows.tolist() == [p[at : at + attention.LENGTH + 1] for p, n in zip(plain, lengths, strict=True) for at in range(0, n, attention.STEP)]
+    assert got == want and sum(got.values()) > 1000
