@@ -5,29 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import Scratch, join_hot, stored
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a, b: any type with an order); root is the component's smallest node.
+def _to_least(rows: DataFrame, key: str, other: str, total: int) -> DataFrame:
+    """``rows`` with m, the smallest of each key and its others; a key of very many rows does not gather them in a task."""
+    least = rows.groupBy(key).agg(F.min(other).alias("m"), F.count("*").alias("__n")).withColumn("m", F.least(key, "m"))
+    return join_hot(rows, least, key, "__n", total)
+
+
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a, b: bigint); root is the component's smallest node.
 
     Each round links nodes to the smallest node next to them and ends when nothing changes, after about the logarithm of the
-    longest path. A round writes its edges to the shared folder. Neighbour lists are never gathered, so a node may have
-    any number of neighbours. No edges: no rows. Edges with a null end are left out.
+    longest path; there is no bound on the rounds. A round writes its edges. Neighbour lists are never gathered and hubs are
+    not join keys, so a node may have any number of neighbours. No edges: no rows. Edges with a null end are left out.
     """
-    edges = stored(edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
+    write = scratch.write if scratch else stored
+    edges = write(edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+    mark, n = None, edges.count()
+    while n:
         # Large star: every neighbour that is larger than u links to the smallest of u and its neighbours.
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo != hi").distinct()
+        large = _to_least(both, "u", "v", 2 * n).where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        large = write(large, "large")
         # Small star: u and its smaller neighbours link to the smallest of them.
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select("m", F.explode(F.array("lo", "hi")).alias("v")).where("m != v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        edges = stored(small, "edges")
+        small = _to_least(large, "hi", "lo", n).select("m", F.explode(F.array("lo", "hi")).alias("v")).where("m != v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        edges = write(small, "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.countDistinct("hi")).first()
-        if now[0] == now[2] and now == mark or not now[0]:
+        if now[0] == now[2] and now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())

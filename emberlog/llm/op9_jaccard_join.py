@@ -3,34 +3,37 @@
 Texts become sets of five-word shingles; equal sets are one. In each run a set chooses each of its shingles with
 probability 1 / (threshold * size) by a hash that all sets share, so two sets that are similar enough choose a common shingle with
 probability over 1 - 1/e; runs repeat until the target recall. Sets that chose the same shingle share a bucket;
-buckets that are too large are split again on further shingles that their sets chose. Within small buckets all sketches
-are compared, and the connected candidates' whole sets are then compared exactly, all against all within
-a group, in tiles of bounded size. Pairs are never emitted: a bucket gives a spanning star, a tile the links' numbers.
+buckets that are too large are split again on further shingles that their sets chose, and what never splits is compared whole,
+tile by tile. Within a bucket sketches are compared, and the connected candidates' whole sets are then compared exactly, all
+against all within a group, in tiles of bounded size. Pairs are never emitted: a bucket gives a spanning forest, a tile the
+links' numbers.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .arrowtext import ALNUM, blocks, gram_hashes, mix, row_bounds, span_hashes, spans
+from .arrowtext import ALNUM, blocks, give_back, gram_hashes, mix, row_bounds, span_hashes, spans
 from .components import components
-from .shared import stored, table
+from .shared import Scratch, join_hot, partitions, stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Sets in a bucket that are compared at once; larger buckets are split, at most LEVELS times, then dealt out with pivots.
-BUCKET, LEVELS, PIVOTS, CHILDREN = 4096, 2, 16, 2
+#: Sets in a bucket that are compared at once; larger buckets are split, at most LEVELS times on CHILDREN paths of each set, then tiled.
+BUCKET, LEVELS, CHILDREN = 8192, 4, 2
 #: Min-hashes in a set's sketch, and how many must agree for two sets to be candidates (similarity 0.8 falls short once in a million).
 SKETCH, AGREE = 32, 14
-#: Sets in a tile of the exact comparison.
-TILE = 2048
+#: Sets in a tile of the exact comparison and bytes of their shingles, on the average of a group.
+TILE, TILE_BYTES = 1024, 4 << 20
+#: Rows of a matrix, shingles of a product and reached sets that are handled at once.
+STRIP, PRODUCT, REACHED = 512, 2048, 64
 #: Rows of identifiers (16 bytes and a key) that are broadcast to the texts; more are joined.
 BROADCAST_ROWS = 500_000
 
@@ -140,158 +143,202 @@ def _labels(near: np.ndarray) -> np.ndarray:
     """The smallest index of each index's connected component, from a symmetric matrix."""
     n = len(near)
     labels = np.arange(n, dtype=np.int32)
-    near = near | np.eye(n, dtype=bool)
     while True:
-        new = np.concatenate([np.where(near[i : i + 512], labels[None, :], np.int32(n)).min(1) for i in range(0, n, 512)])
+        new = np.minimum(labels, np.concatenate([np.where(near[i : i + STRIP], labels[None, :], np.int32(n)).min(1) for i in range(0, n, STRIP)]))
         new = new[new]
         if (new == labels).all():
             return labels
         labels = new
 
 
+def _agree(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether each of some sketches (SKETCH, n) agrees with each of others (SKETCH, m)."""
+    same = np.zeros((one.shape[1], others.shape[1]), np.uint8)
+    for a, b in zip(one, others, strict=True):
+        same += a[:, None] == b[None, :]
+    return same >= AGREE
+
+
+def _forest(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that span the components of agreeing sketches (n, SKETCH).
+
+    Sets that are reached meet only those that are not: many copies of one text take few passes, and memory is a few times the sketches.
+    """
+    sketch = np.ascontiguousarray(sketch.T)
+    left, a, b = np.arange(sketch.shape[1]), [], []
+    while len(left) > 1:
+        reached, left = left[:1], left[1:]
+        while len(reached) and len(left):
+            now, reached = reached[:REACHED], reached[REACHED:]
+            near = _agree(sketch[:, now], sketch[:, left])
+            hit = near.any(0)
+            a.append(now[near[:, hit].argmax(0)])
+            b.append(left[hit])
+            reached, left = np.concatenate([reached, left[hit]]), left[~hit]
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of the candidates of every bucket (p, part)."""
-    for run in _groups(batches, ["p", "part"]):
-        p, part = run.column("p").to_numpy(), run.column("part").to_numpy()
-        cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (part[1:] != part[:-1]), [True]]))
+    """Spanning edges of the candidates of every bucket (p, i, j)."""
+    for run in _groups(batches, ["p", "i", "j"]):
+        new = np.zeros(run.num_rows + 1, bool)
+        new[[0, -1]] = True
+        for c in ("p", "i", "j"):
+            column = run.column(c).to_numpy()
+            new[1:-1] |= column[1:] != column[:-1]
+        cut = np.flatnonzero(new)
         sizes = np.diff(cut)
         sketch = np.frombuffer(b"".join(run.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
-        a, b = [], []
         two = cut[:-1][sizes == 2]
         good = two[(sketch[two] == sketch[two + 1]).sum(1) >= AGREE]
-        a.append(good)
-        b.append(good + 1)
+        a, b = [good], [good + 1]
         for start, size in zip(cut[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            own = sketch[start : start + size]
-            near = np.zeros((size, size), np.uint8)
-            for r in range(SKETCH):
-                near += own[:, r][:, None] == own[:, r][None, :]
-            labels = _labels(near >= AGREE)
-            other = np.flatnonzero(labels != np.arange(size))
-            a.append(start + labels[other])
+            one, other = _forest(sketch[start : start + size])
+            a.append(start + one)
             b.append(start + other)
         a, b = np.concatenate(a), np.concatenate(b)
         if len(a):
-            key = run.column("key")
-            yield pa.RecordBatch.from_arrays([key.take(pa.array(a)), key.take(pa.array(b))], ["a", "b"])
+            node = run.column("node")
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], ["a", "b"])
+    give_back()
+
 
+def _tile_pairs(tiles: Column, tile: Column) -> Column:
+    """The pairs (i, j), i <= j, of a set's tile with every tile of its group: any two sets share one of their pairs."""
+    return F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(tile, t).alias("i"), F.greatest(tile, t).alias("j")))
 
-def _candidates(sets: DataFrame, bucket: int, levels: int) -> DataFrame:
+
+def _candidates(sets: DataFrame, scratch: Scratch, bucket: int, levels: int) -> DataFrame:
     """Edges (a, b) that connect all sets which met in a bucket and whose sketches agree.
 
-    Only paths and keys are dealt to find the buckets; sketches and the sets' other paths join what shares a bucket.
+    Only paths and nodes are dealt to find the buckets; sketches and the sets' other paths join what shares a bucket. A bucket that
+    is too large is split by paths not used on the way to it. Where that no longer helps (a child keeps nine tenths of its
+    parent) or after ``levels`` splits, the bucket is cut into tiles and every tile meets every other: no pair is left out.
     """
-    spark = sets.sparkSession
-    rows = sets.select("key", F.explode("paths").alias("p"))
-    sketches = sets.select("key", "sketch")
-    found = None
+    n = partitions(sets.sparkSession)
+    rows = scratch.write(sets.select("node", F.explode("paths").alias("p")).select("node", "p", F.array("p").alias("used"), F.lit(None).cast("bigint").alias("parent")), "rows")
+    found = []
     for level in range(levels + 1):
-        counts = stored(rows.groupBy("p").count().where("count > 1"), "buckets")
-        met = stored(rows.join(counts, "p"), "met")
-        small = met.where(F.col("count") <= bucket).select("p", F.lit(0).alias("part"), "key").join(sketches, "key")
-        found = small if found is None else found.unionByName(small)
-        hot = met.where(F.col("count") > bucket)
+        counts = scratch.write(rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        total = counts.agg(F.sum("n")).first()[0] or 0
+        met = scratch.write(join_hot(rows, counts, "p", "n", total), "met")
+        final = (F.col("n") <= bucket) | F.lit(level == levels) | F.coalesce(F.col("n") > 0.9 * F.col("parent"), F.lit(False))
+        tiles = F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(2 * F.col("n") / bucket)).cast("int")
+        dealt = met.where(final).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int"))
+        dealt = dealt.select("p", "node", F.explode(_tile_pairs(F.col("tiles"), F.col("tile"))).alias("ij")).select("p", "ij.i", "ij.j", "node")
+        found.append(dealt)
+        hot = met.where(~final)
         if not hot.limit(1).count():
             break
-        if level < levels:
-            order = F.slice(F.array_sort(F.transform(F.filter("paths", lambda q: q != F.col("p")), lambda q: F.xxhash64(F.col("p"), q))), 1, CHILDREN)
-            rows = stored(hot.join(sets.select("key", "paths"), "key").select("key", F.explode(order).alias("p")).distinct(), "split")
-        else:
-            # What never splits: parts of bounded size, each with the same few sets of every region of the bucket's keys.
-            pivots = hot.groupBy("p", "count", F.pmod(F.xxhash64("key"), F.lit(PIVOTS)).alias("slot")).agg(F.min("key").alias("key"))
-            parts = F.ceil(F.col("count") / bucket).cast("int")
-            dealt = hot.select("p", F.pmod(F.xxhash64("key", F.lit(7)), parts).cast("int").alias("part"), "key")
-            copies = pivots.select("p", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "key")
-            found = found.unionByName(dealt.union(copies).distinct().join(sketches, "key").select("key", "p", "part", "sketch"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = found.select("p", "part", "key", "sketch")
-    return found.repartition(n, "p", "part").sortWithinPartitions("p", "part").mapInArrow(_stars, "a binary, b binary")
+        other = F.filter(F.array_except("paths", "used"), lambda q: q.isNotNull())
+        order = F.slice(F.array_sort(F.transform(other, lambda q: F.struct(F.xxhash64(F.col("p"), q).alias("h"), q.alias("q")))), 1, CHILDREN)
+        rows = hot.join(sets.select("node", "paths"), "node").select("node", "n", "used", F.explode(order).alias("next"))
+        rows = rows.select("node", F.array_sort(F.concat("used", F.array("next.q"))).alias("used"), F.col("n").alias("parent"))
+        rows = scratch.write(rows.withColumn("p", F.xxhash64("used")).groupBy("node", "p").agg(F.first("used").alias("used"), F.min("parent").alias("parent")).select("node", "p", "used", "parent"), "split")
+    met = reduce(DataFrame.unionByName, found).join(sets.select("node", "sketch"), "node").select("p", "i", "j", "node", "sketch")
+    return met.repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_stars, "a bigint, b bigint")
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
     """Number of links and smallest linked set of every set of every tile pair (root, i, j)."""
     for run in _groups(batches, ["root", "i", "j"]):
-        root, i, j = (run.column(c) for c in ("root", "i", "j"))
-        same = np.ones(run.num_rows, bool)
-        same[0] = False
-        for c in (root, i, j):
-            same[1:] &= np.asarray(pa.compute.equal(c.slice(1), c.slice(0, len(c) - 1)))
-        cut = np.append(np.flatnonzero(~same), run.num_rows)
-        texts = run.column("shingles").to_pylist()
-        copies, tile, keys = run.column("copies").to_numpy(), run.column("tile").to_numpy(), run.column("key")
+        root, i, j = (run.column(c).to_numpy() for c in ("root", "i", "j"))
+        new = np.ones(run.num_rows + 1, bool)
+        new[1:-1] = (root[1:] != root[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        cut = np.flatnonzero(new)
+        texts = run.column("shingles")
+        copies, tile, nodes = (run.column(c).to_numpy() for c in ("copies", "tile", "node"))
         links, least = np.zeros(run.num_rows, np.int64), np.arange(run.num_rows)
         for start, stop in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-            own = [np.frombuffer(t, np.uint64) for t in texts[start:stop]]
-            n = stop - start
-            sizes = np.fromiter(map(len, own), np.int64, n)
-            _, ids, many = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
-            row = np.repeat(np.arange(n), sizes)
-            shared = many[ids] > 1
-            ids, row = np.unique(ids[shared], return_inverse=True)[1], row[shared]
-            order = np.argsort(ids, kind="stable")
-            ids, row = ids[order], row[order]
-            common = np.zeros((n, n), np.float32)
-            for low in range(0, int(ids[-1]) + 1 if len(ids) else 0, 2048):
-                lo, hi = np.searchsorted(ids, [low, low + 2048])
-                block = np.zeros((n, 2048), np.float32)
-                block[row[lo:hi], ids[lo:hi] - low] = 1
-                common += block @ block.T
-            # Similarity is at least the threshold; common counts are whole, so only the right side is rounded.
-            near = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-6
+            near = _near(texts.slice(start, stop - start), threshold)
             np.fill_diagonal(near, False)
-            first, second = i[start].as_py(), j[start].as_py()
-            if first != second:  # the tiles' own pairs are counted where each meets itself
+            if i[start] != j[start]:  # the tiles' own pairs are counted where each meets itself
                 near &= tile[start:stop][:, None] != tile[start:stop][None, :]
-            links[start:stop] = near @ copies[start:stop]
+            for lo in range(0, len(near), STRIP):
+                links[start + lo : min(stop, start + lo + STRIP)] = near[lo : lo + STRIP] @ copies[start:stop]
             least[start:stop] = start + _labels(near)
-        yield pa.RecordBatch.from_arrays([keys, pa.array(links), keys.take(pa.array(least))], ["key", "links", "least"])
-
-
-def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links), pa.array(nodes[least])], ["node", "links", "least"])
+    give_back()
+
+
+def _near(texts: pa.Array, threshold: float) -> np.ndarray:
+    """Which of some sets (their hashes' bytes) are similar: exact, by products of their incidence with shared shingles, in strips."""
+    n = len(texts)
+    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+    own = np.frombuffer(b"".join(texts.to_pylist()), np.uint64)
+    order = np.argsort(own, kind="stable")
+    row, own = np.repeat(np.arange(n, dtype=np.int32), sizes)[order], own[order]
+    new = np.ones(len(own), bool)
+    new[1:] = own[1:] != own[:-1]
+    del own, order
+    many = np.diff(np.append(np.flatnonzero(new), len(new)))
+    shared = np.repeat(many > 1, many)
+    ids, row = np.cumsum(new & shared)[shared] - 1, row[shared]  # shared shingles are numbered from 0
+    common = np.zeros((n, n), np.float32)
+    last = int(ids[-1]) + 1 if len(ids) else 0
+    for low in range(0, last, PRODUCT):
+        lo, hi = np.searchsorted(ids, [low, low + PRODUCT])
+        block = np.zeros((n, min(PRODUCT, last - low)), np.float32)
+        block[row[lo:hi], ids[lo:hi] - low] = 1
+        common += block @ block.T
+    near = np.zeros((n, n), bool)
+    for lo in range(0, n, STRIP):
+        # Similarity is at least the threshold; common counts are whole, so only the right side is rounded.
+        near[lo : lo + STRIP] = common[lo : lo + STRIP] * (1 + threshold) >= threshold * (sizes[lo : lo + STRIP, None] + sizes[None, :]) - 1e-6
+    return near
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET, levels: int = LEVELS, tile: int = TILE, tile_bytes: int = TILE_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, h (hash of the text), class_id, class_key and n_links of every row of ``docs`` (doc_id, text).
 
     class_id is the smallest doc_id of the row's class, the connected component of links (similarity at least ``threshold``);
     n_links counts the other rows that are linked to it, equal ones included. A null, empty or wordless text is a class of its
     own without links (class_id its doc_id, class_key null). Null doc_ids count as rows but never name a class of others;
-    repeated rows are copies of each other.
+    repeated rows are copies of each other. Texts of any length are taken whole: a tile of the comparison is bounded by the bytes of
+    its sets, and only a single set beyond ``tile_bytes`` exceeds it. An empty table gives no rows; other columns are not read.
     """
-    runs = runs_for(recall)
-    signed = stored(_signatures(docs, words, threshold, runs), "signatures")
-    sets = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
-    sets = stored(sets, "sets")
-    groups = stored(components(_candidates(sets, bucket, levels)), "groups")
-    sizes = groups.groupBy("root").count().withColumn("tiles", F.ceil(F.col("count") / tile).cast("int"))
-    members = groups.join(sizes, "root").join(sets.select(F.col("key").alias("node"), "rep", "copies"), "node")
-    members = members.select(F.col("node").alias("key"), "root", "tiles", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h"), F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int").alias("tile"))
-    members = stored(members, "members")
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__h"), "text")
-    wanted = members if members.count() > broadcast_rows else F.broadcast(members)
-    chosen = texts.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h"))).drop("__id", "__h", "doc_id", "h")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last, data, offsets in blocks(batch.column("text")):
-                own, bounds = shingles(data, offsets, words)
-                part = batch.slice(first, last - first)
-                sets_of = pa.array([own[bounds[i] : bounds[i + 1]].tobytes() for i in range(last - first)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets_of], [*names, "shingles"])
-
-    names = ["key", "root", "tiles", "copies", "tile"]
-    whole = chosen.select(*names, "text").mapInArrow(cut, "key binary, root binary, tiles int, copies bigint, tile int, shingles binary")
-    # Each set goes to the pairs of its tile with every tile of the group; repeated rows of one representative are one set.
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.least("tile", t).alias("i"), F.greatest("tile", t).alias("j")))
-    dealt = whole.select("*", F.explode(pairs).alias("ij")).select("key", "root", "tiles", "copies", "tile", "ij.i", "ij.j", "shingles").dropDuplicates(["key", "i", "j"])
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = dealt.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _compare(b, threshold), "key binary, links bigint, least binary")
-    compared = stored(compared, "links")
-    links = compared.groupBy("key").agg(F.sum("links").alias("links"))
-    roots = components(compared.select(F.col("least").alias("a"), F.col("key").alias("b")))
-    judged = sets.select("key", "copies", "least_id").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    judged = stored(judged.select("key", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "key").alias("class_key")), "classes")
-    names_of = judged.groupBy("class_key").agg(F.min("least_id").alias("class_id"))
-    judged = judged.join(names_of, "class_key").select("key", "class_key", "class_id", "n_links")
-    out = signed.select("doc_id", "h", "key").join(judged, "key", "left")
-    return out.select("doc_id", "h", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "class_key", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    spark = docs.sparkSession
+    with Scratch(spark, "near") as scratch:
+        signed = scratch.write(_signatures(docs, words, threshold, runs_for(recall)), "signatures")
+        sets = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+        sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbers are fixed by writing them
+        groups = scratch.write(components(_candidates(sets, scratch, bucket, levels), scratch), "groups")
+        members = groups.join(sets.select("node", "rep", "copies", "size"), "node")
+        members = scratch.write(members.select("node", "root", "copies", "size", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "members")
+        sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 8 / tile_bytes)).cast("int").alias("tiles"))
+        n_members = members.count()
+        members = join_hot(members, sizes, "root", "n", n_members).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+        members = members.select("node", "root", "tiles", "copies", "tile", F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+        wanted = members if n_members > broadcast_rows else F.broadcast(members)
+        chosen = texts.join(wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h")))
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for first, last, data, offsets in blocks(batch.column("text")):
+                    own, bounds = shingles(data, offsets, words)
+                    part = batch.slice(first, last - first)
+                    sets_of = pa.array([own[bounds[i] : bounds[i + 1]].tobytes() for i in range(last - first)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), sets_of], [*names, "shingles"])
+
+        names = ["node", "root", "tiles", "copies", "tile"]
+        whole = chosen.select(*names, "text").mapInArrow(cut, "node bigint, root bigint, tiles int, copies bigint, tile int, shingles binary")
+        # Each set goes to the pairs of its tile with every tile of the group; repeated rows of one representative are one set.
+        dealt = whole.select("*", F.explode(_tile_pairs(F.col("tiles"), F.col("tile"))).alias("ij")).select("node", "root", "copies", "tile", "ij.i", "ij.j", "shingles").dropDuplicates(["node", "i", "j"])
+        compared = dealt.repartition(partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _compare(b, threshold), "node bigint, links bigint, least bigint")
+        compared = scratch.write(compared, "links")
+        links = compared.groupBy("node").agg(F.sum("links").alias("links"))
+        roots = components(compared.select(F.col("least").alias("a"), F.col("node").alias("b")), scratch)
+        judged = sets.select("key", "node", "copies", "least_id").join(links, "node", "left").join(roots, "node", "left")
+        judged = judged.select("key", "copies", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("class_key"))
+        judged = scratch.write(judged, "judged")
+        classes = judged.groupBy("class_key").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
+        judged = scratch.write(join_hot(judged, classes, "class_key", "n", judged.count()).select("key", "copies", "class_key", "class_id", "n_links"), "classes")
+        with_words = signed.where("key is not null").select("doc_id", "h", "key")
+        total = judged.agg(F.sum("copies")).first()[0] or 0
+        named = join_hot(with_words, judged, "key", "copies", total).select("doc_id", "h", "class_id", "class_key", "n_links")
+        alone = signed.where("key is null").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(None).cast("bigint").alias("class_key"), F.lit(0).cast("bigint").alias("n_links"))
+        return stored(named.unionByName(alone), "near")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,21 +347,28 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of every class, the row with the smallest doc_id (then the text's hash) stays, once; wordless texts stay."""
-    found = stored(near_duplicates(docs), "near")
-    firsts = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))).alias("first"))
-    gone = found.join(firsts, "class_key").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))).select("doc_id", "h").distinct()
-    gone = stored(gone, "gone")
-    rows = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    rows = rows.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    left = docs.join(rows, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h")), "left_anti")
-    left = left.select(*docs.columns)
-    twice = stored(found.where("class_key is not null").groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "twice")
-    if not twice.limit(1).count():
+    """Pipeline stage: of every class, the row with the smallest doc_id (then the text's hash) stays, once; wordless texts stay.
+
+    Null texts are wordless; null doc_ids come after all others. Rows that repeat in both doc_id and text are one document: the one
+    whose other columns' hash is smallest stays. All columns of ``docs`` pass through, whatever their names; an empty table gives none.
+    """
+    found = near_duplicates(docs)
+    firsts = found.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("h").alias("h"))).alias("first"), F.count("*").alias("n"))
+    in_class = found.where("class_key is not null")
+    judged = join_hot(in_class, firsts, "class_key", "n", in_class.count())
+    gone = judged.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h")))).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.lit(False).alias("__twice"))
+    twice = in_class.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.lit(True).alias("__twice"))
+    marks = stored(gone.unionByName(twice).groupBy("__id", "__h").agg(F.min("__twice").alias("__twice")), "marks")
+    marks = F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+    here = F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h"))
+    rows = docs.withColumn("__doc", F.col("doc_id").cast("long")).withColumn("__text", F.xxhash64("text")).join(marks, here, "left")
+    left = rows.where("__twice is null").select(*docs.columns)
+    if not marks.where("__twice").limit(1).count():
         return left
     # Rows that repeat in both doc_id and text can't be told apart above: one of them stays.
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = rows.where("__twice").groupBy("__doc", "__text").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashable)).alias("row")).select("row.*")
+    return left.unionByName(one)
 
 
 def brute_force(docs: list[tuple], k: int = WORDS, threshold: float = THRESHOLD) -> dict[int, tuple]:

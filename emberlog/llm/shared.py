@@ -8,18 +8,21 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: Bytes of one Arrow batch: what a task holds of its input, on either side of the worker's pipe.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Row groups of written tables: small, as a task holds one for each table it writes.
 ROW_GROUP_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that setting is absent on one machine (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="emberlog-")
         atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -37,13 +40,58 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: its lineage is cut and survives lost executors."""
+    """df written as Parquet in the shared folder and read back: its lineage is cut and survives lost executors.
+
+    The folder goes when the driver ends.
+    """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+class Scratch:
+    """Written tables of one computation, deleted at its end; what is to outlive it is written by ``stored`` before."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_folder(spark, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        where, files = _files(self.spark, self.path)
+        files.delete(where, True)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_hot(rows: DataFrame, table: DataFrame, on: str, weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row for each key, whose ``weight`` says how many rows have it (``total`` in all).
+
+    Keys with more than half a task's fair share of the rows are broadcast, so that no task gets one key's rows: there are fewer
+    than two of them for each partition. The other keys are joined by shuffling.
+    """
+    hot = F.col(weight) > total // (2 * partitions(rows.sparkSession))
+    heavy, light = table.where(hot), table.where(~hot)
+    spread = rows.join(F.broadcast(heavy), on)
+    return spread.unionByName(rows.join(F.broadcast(heavy.select(on)), on, "left_anti").join(light, on))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -33,6 +33,25 @@ def test_brute_force(spark):
     assert small == want
 
 
+def test_hot_buckets(spark):
+    """One passage in every text and one large group of near copies: nothing is lost however small the buckets are."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    passage, base = rng.choices(vocabulary, k=40), rng.choices(vocabulary, k=150)
+    docs = []
+    for n in range(150):
+        own = list(base) if n < 60 else rng.choices(vocabulary, k=rng.randint(5, 60))
+        if n < 60:
+            for _ in range(n % 3):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        docs.append((n, " ".join(passage + own)))
+    docs += [(200 + d, t + " end") for d, t in docs[100:130]]
+    want = brute_force(docs)
+    for bucket, levels in ((16, 4), (8, 0), (40, 2)):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(frame(spark, docs), bucket=bucket, levels=levels, tile=16, tile_bytes=1 << 14).collect()}
+        assert got == want
+
+
 def test_edge_cases(spark):
     docs = frame(spark, [(1, None), (2, ""), (3, "a b"), (4, "A, b!"), (5, "a b c d e f g"), (None, "a b c d e f g"), (5, "a b c d e f g"), (6, "?!")])
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in near_duplicates(docs).collect())
@@ -42,6 +61,18 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 5, 6]
 
 
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(60_000)]
+    docs = [(1, " ".join(words)), (2, " ".join(words[:-500])), (3, " ".join(words[:20_000])), (4, " ".join(words[30_000:])), (5, "x" * 300_000)]
+    assert {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(frame(spark, docs)).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0), 5: (5, 0)}
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", -1, "x", -2), (2, "a b c d e f", -3, "y", -4), (3, "other words stand here now", -5, "z", -6)], "doc_id long, text string, n_links int, h string, node int")
+    assert sorted(tuple(r) for r in one_of_each(spark, docs, "").collect()) == [(1, "a b c d e f", -1, "x", -2), (3, "other words stand here now", -5, "z", -6)]
+
+
 def test_runs():
     assert runs_for(0.9999) == 10 and runs_for(0.6) == 1
 
