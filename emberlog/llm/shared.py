@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def carry(docs: DataFrame, read: list[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(the columns that an operator reads and all others as one struct, the function that gives the caller's columns back).
+
+    An operator's own results then can't clash with the caller's names.
+    """
+    others = [c for c in docs.columns if c not in read]
+    rows = docs.select(*read, F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("__carried"))
+    return rows, lambda out: out.select(*(F.col(c) if c in read else F.col(f"__carried.`{c}`") for c in docs.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
