@@ -1,25 +1,30 @@
 """A small causal self-attention model over subword ids, in numpy: training steps and batched scoring.
 
-An id is predicted as its class times its share of the class: the class from one masked attention layer over the ids
-before it, the share from corpus counts. Windows of CONTEXT + STEP places overlap by CONTEXT, and each id is scored in exactly one window.
+An id's probability is that of its group, of its class within the group, and of the id within the class. Group and class come from
+one masked attention layer over the ids before it (a softmax of two levels, so an id costs GROUPS + SUBS logits instead of
+their product), the last share from corpus counts; the most frequent ids have a class to themselves. Windows of CONTEXT + STEP places
+overlap by CONTEXT, and each id is scored in exactly one window.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-STEP, CONTEXT, WIDTH, CLASSES, BUCKETS = 16, 8, 16, 32, 256
+STEP, CONTEXT, WIDTH, GROUPS, SUBS, BUCKETS = 32, 16, 12, 24, 24, 2048
+CLASSES = GROUPS * SUBS
 LENGTH = STEP + CONTEXT
 #: Causal mask: place CONTEXT + i sees itself and the places before it.
 MASK = np.tril(np.ones((STEP, LENGTH), np.float32), CONTEXT)
-NAMES = ("embed", "place", "query", "key", "value", "out", "bias")
+NAMES = ("embed", "place", "query", "key", "value", "out", "bias", "sub", "sub_bias")
+#: Logits are cut here, so that no exponential overflows.
+MOST = np.float32(60)
 
 
 class Vocabulary:
     """What the corpus counts of ids give: input buckets, classes and each id's log share of its class.
 
     The most frequent ids have a bucket and a class each; the others share the rest by rank, so that classes are of like
-    weight. The counts have 0.5 added: every id has a share.
+    weight. Classes of near ranks are a group. The counts have 0.5 added: every id has a share.
     """
 
     def __init__(self, counts: np.ndarray, start_id: int):
@@ -38,66 +43,148 @@ class Vocabulary:
         self.buckets[order[single:]] = single + np.arange(max(0, n - single)) % (BUCKETS - single)
         totals = np.bincount(self.classes, weight, CLASSES)
         self.share = np.log(weight / totals[self.classes]).astype(np.float32)
-        self.prior = np.log(np.maximum(totals, 1e-9) / totals.sum()).astype(np.float32)
+        groups = np.maximum(totals.reshape(GROUPS, SUBS), 1e-9)
+        self.prior = np.log(groups.sum(1) / groups.sum()).astype(np.float32)
+        self.sub_prior = np.log(groups / groups.sum(1, keepdims=True)).astype(np.float32)
         self.start_id = start_id
 
 
-def initial(prior: np.ndarray) -> dict[str, np.ndarray]:
-    """The model before training: with no weights between places it predicts the classes' frequencies."""
+def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
+    """The model before training: with hardly any weight between places it predicts the classes' frequencies."""
     rng = np.random.default_rng(11)
     draw = lambda *shape: rng.normal(size=shape).astype(np.float32)
-    return {"embed": draw(BUCKETS, WIDTH) * 0.5, "place": draw(LENGTH, WIDTH) * 0.1, "query": draw(WIDTH, WIDTH) * 0.2, "key": draw(WIDTH, WIDTH) * 0.2, "value": draw(WIDTH, WIDTH) * 0.2, "out": draw(WIDTH, CLASSES) * 0.02, "bias": prior.copy()}
-
-
-def _forward(w: dict, buckets: np.ndarray, seen: np.ndarray) -> tuple:
-    x = w["embed"][buckets] + w["place"]
-    q, k, v = x[:, CONTEXT:] @ w["query"], x @ w["key"], x @ w["value"]
-    scores = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(WIDTH**-0.5)
-    np.clip(scores, -30, 30, out=scores)
-    att = np.exp(scores) * MASK * seen[:, None, :]
-    att /= att.sum(2, keepdims=True)
-    h = np.matmul(att, v) + x[:, CONTEXT:]
-    logits = h @ w["out"] + w["bias"]
-    logits -= logits.max(2, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(2, keepdims=True)
-    return x, q, k, v, att, h, p
-
-
-def train(w: dict, windows: np.ndarray, vocabulary: Vocabulary, batch: int = 32, rate: float = 0.01) -> tuple[dict, float]:
-    """One pass of Adam over windows (n, LENGTH + 1; -1 where there is nothing); the weights after it and the mean loss."""
-    w = {k: v.copy() for k, v in w.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
-    losses, n = 0.0, 0
-    for t, at in enumerate(range(0, len(windows), batch), 1):
-        part = windows[at : at + batch]
+    return {
+        "embed": draw(BUCKETS, WIDTH) * 0.5, "place": draw(LENGTH, WIDTH) * 0.1, "query": draw(WIDTH, WIDTH) * 0.2, "key": draw(WIDTH, WIDTH) * 0.2, "value": draw(WIDTH, WIDTH) * 0.2,
+        "out": draw(WIDTH, GROUPS) * 0.02, "bias": vocabulary.prior.copy(), "sub": draw(GROUPS, WIDTH, SUBS) * 0.02, "sub_bias": vocabulary.sub_prior.copy(),
+    }
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, as a product."""
+    return (x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], np.float32)).reshape(x.shape[:-1])
+
+
+def _segments(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(key, start, end) of the runs of sorted keys."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist() if len(keys) else [0]
+    return [(int(keys[a]), a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def _weights(scores: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Attention from scaled scores (windows, STEP, LENGTH), in their place; not divided by its sums."""
+    np.minimum(scores, MOST, out=scores)
+    np.exp(scores, out=scores)
+    scores *= MASK
+    if not seen.all():
+        scores *= np.where(seen, np.float32(1), np.float32(1e-30))[:, None, :]  # never quite 0: a place with nothing to see sees itself
+    return scores
+
+
+def _sub_logits(h: np.ndarray, runs: list[tuple[int, int, int]], sub: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits of the classes of each row's group; rows are sorted by group."""
+    out = np.empty((len(h), SUBS), np.float32)
+    for g, a, b in runs:
+        np.matmul(h[a:b], sub[g], out=out[a:b])
+        out[a:b] += bias[g]
+    return np.minimum(out, MOST, out=out)
+
+
+class Trainer:
+    """Weights, with what Adam remembers of them from step to step."""
+
+    def __init__(self, weights: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float = 0.01):
+        self.w, self.v, self.rate, self.steps = {k: x.copy() for k, x in weights.items()}, vocabulary, rate, 0
+        self.first, self.second = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+
+    def learn(self, windows: np.ndarray, batch: int = 128) -> float:
+        """One pass over windows (n, LENGTH + 1; -1 where there is nothing); the mean loss on the way."""
+        loss = n = 0
+        for at in range(0, len(windows), batch):
+            total, real, gradients = self.step(windows[at : at + batch])
+            loss, n = loss + total, n + real
+            self.move(gradients)
+        return loss / max(1, n)
+
+    def step(self, part: np.ndarray) -> tuple[float, int, dict[str, np.ndarray]]:
+        """Summed loss, targets and gradients (of the mean loss) of some windows."""
+        w, n, scale = self.w, len(part), np.float32(WIDTH**-0.5)
         inputs, targets = part[:, :-1], part[:, CONTEXT + 1 :]
-        seen, real = (inputs >= 0).astype(np.float32), (targets >= 0) & (inputs[:, CONTEXT:] >= 0)
-        seen[:, CONTEXT:][~real] = 1  # a place that is not scored sees itself, so that its sum is not zero
-        buckets, classes = vocabulary.buckets[np.maximum(inputs, 0)], vocabulary.classes[np.maximum(targets, 0)]
-        x, q, k, v, att, h, p = _forward(w, buckets, seen)
-        i, j = np.ogrid[: len(part), :STEP]
-        losses += float(-(np.log(np.maximum(p[i, j, classes], 1e-20)) * real).sum())
-        n += int(real.sum())
-        p[i, j, classes] -= 1
-        p *= real[:, :, None] / max(1, real.sum())
-        g = {"out": np.tensordot(h, p, ((0, 1), (0, 1))), "bias": p.sum((0, 1))}
-        dh = p @ w["out"].T
-        dv = np.matmul(att.transpose(0, 2, 1), dh)
-        da = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = att * (da - (da * att).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        g |= {"query": np.tensordot(x[:, CONTEXT:], dq, ((0, 1), (0, 1))), "key": np.tensordot(x, dk, ((0, 1), (0, 1))), "value": np.tensordot(x, dv, ((0, 1), (0, 1)))}
-        dx = dk @ w["key"].T + dv @ w["value"].T
-        dx[:, CONTEXT:] += dq @ w["query"].T + dh
+        seen = inputs >= 0
+        real = ((targets >= 0) & seen[:, CONTEXT:]).ravel()
+        buckets, classes = self.v.buckets[np.maximum(inputs, 0)], self.v.classes[np.maximum(targets, 0)].ravel()
+        x = w["embed"][buckets]
+        x += w["place"]
+        flat, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, CONTEXT:])
+        key_value = np.concatenate([w["key"], w["value"]], axis=1)
+        kv = (flat @ key_value).reshape(n, LENGTH, 2 * WIDTH)
+        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
+        q = (own.reshape(-1, WIDTH) @ (w["query"] * scale)).reshape(n, STEP, WIDTH)
+        att = _weights(np.matmul(q, k.transpose(0, 2, 1)), seen)
+        att /= _sums(att)[:, :, None]
+        h = np.matmul(att, v)
+        h += own
+        h = h.reshape(-1, WIDTH)
+
+        group = classes // SUBS
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        order = order[real[order]]
+        runs, sorted_h, sub_class, at = _segments(group[order]), h[order], classes[order] % SUBS, np.arange(len(order))
+        p = h @ w["out"]
+        p += w["bias"]
+        np.minimum(p, MOST, out=p)
+        p2 = _sub_logits(sorted_h, runs, w["sub"], w["sub_bias"])
+        picked = float(p[order, group[order]].sum(dtype=np.float64) + p2[at, sub_class].sum(dtype=np.float64))
+        np.exp(p, out=p)
+        np.exp(p2, out=p2)
+        sums, sums2 = _sums(p), _sums(p2)
+        loss = float(np.log(sums[order]).sum(dtype=np.float64) + np.log(sums2).sum(dtype=np.float64)) - picked
+        share = real.astype(np.float32)
+        share /= max(1, len(order))
+        p *= (share / sums)[:, None]
+        p[np.arange(len(p)), group] -= share
+        p2 *= (share[order] / sums2)[:, None]
+        p2[at, sub_class] -= share[order]
+
+        g = {"out": h.T @ p, "bias": p.sum(0), "sub": np.zeros_like(w["sub"]), "sub_bias": np.zeros_like(w["sub_bias"])}
+        dh, d2 = p @ w["out"].T, np.empty_like(sorted_h)
+        for i, a, b in runs:
+            np.matmul(p2[a:b], w["sub"][i].T, out=d2[a:b])
+            g["sub"][i] = sorted_h[a:b].T @ p2[a:b]
+            g["sub_bias"][i] = p2[a:b].sum(0)
+        dh[order] += d2
+        dh = dh.reshape(n, STEP, WIDTH)
+        dkv = np.empty_like(kv)
+        np.matmul(att.transpose(0, 2, 1), dh, out=dkv[:, :, WIDTH:])
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds -= np.einsum("wsl,wsl->ws", ds, att)[:, :, None]
+        ds *= att
+        dq = np.matmul(ds, k).reshape(-1, WIDTH)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+        dkv = dkv.reshape(-1, 2 * WIDTH)
+        g["query"] = (own.reshape(-1, WIDTH).T @ dq) * scale
+        g["key"], g["value"] = np.split(flat.T @ dkv, 2, axis=1)
+        dx = (dkv @ key_value.T).reshape(n, LENGTH, WIDTH)
+        dx[:, CONTEXT:] += (dq @ (w["query"] * scale).T).reshape(n, STEP, WIDTH)
+        dx[:, CONTEXT:] += dh
         g["place"] = dx.sum(0)
+        where = buckets.ravel()
+        order = np.argsort(where.astype(np.uint16), kind="stable")
+        where = where[order]
+        starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         g["embed"] = np.zeros_like(w["embed"])
-        np.add.at(g["embed"], buckets.ravel(), dx.reshape(-1, WIDTH))
-        for name in NAMES:
-            first[name] = 0.9 * first[name] + 0.1 * g[name]
-            second[name] = 0.99 * second[name] + 0.01 * g[name] ** 2
-            w[name] = (w[name] - rate * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return w, losses / max(1, n)
+        g["embed"][where[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], starts, axis=0)
+        return loss, len(at), g
+
+    def move(self, gradients: dict[str, np.ndarray]) -> None:
+        self.steps += 1
+        for name, g in gradients.items():
+            first, second = self.first[name], self.second[name]
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * g
+            second *= np.float32(0.99)
+            second += np.float32(0.01) * g * g
+            size = np.sqrt(second / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8)
+            self.w[name] -= np.float32(self.rate / (1 - 0.9**self.steps)) * first / size
 
 
 class Scorer:
@@ -106,20 +193,19 @@ class Scorer:
     AT_ONCE = 256
 
     def __init__(self, w: dict, vocabulary: Vocabulary):
-        self.v, scale = vocabulary, np.float32(WIDTH**-0.5)
+        self.v, self.w, scale = vocabulary, w, np.float32(WIDTH**-0.5)
         tables = [w["query"] * scale, w["key"], w["value"], np.eye(WIDTH, dtype=np.float32)]
         self.by_bucket = np.concatenate([w["embed"] @ t for t in tables], axis=1)
         self.by_place = np.concatenate([w["place"] @ t for t in tables], axis=1)
-        self.out, self.bias = w["out"], w["bias"] - w["bias"].max()
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of every row's ids (which end with the row's end id), each given the row's ids before it."""
         n = np.diff(bounds)
         windows = -(-n // STEP)
         at = np.concatenate([[0], np.cumsum(windows * STEP + CONTEXT)])
-        inputs, targets = np.full(at[-1] + CONTEXT, -1, np.int64), np.full(at[-1] + CONTEXT, -1, np.int64)
+        inputs, targets = np.full(at[-1] + CONTEXT, -1, np.int32), np.full(at[-1] + CONTEXT, -1, np.int32)
         where = np.arange(len(ids)) + np.repeat(at[:-1] + CONTEXT - bounds[:-1], n)
-        before = np.empty(len(ids), np.int64)
+        before = np.empty(len(ids), np.int32)
         before[1:], before[bounds[:-1][n > 0]] = ids[:-1], self.v.start_id
         inputs[where], targets[where] = before, ids
         row = np.repeat(np.arange(len(n)), windows)
@@ -127,29 +213,30 @@ class Scorer:
         total = np.zeros(len(n))
         real = inputs >= 0
         buckets = self.v.buckets[np.maximum(inputs, 0)]
-        classes = self.v.classes[np.maximum(targets, 0)]
-        share = np.where(targets >= 0, self.v.share[np.maximum(targets, 0)], 0)
         for lo in range(0, len(start), self.AT_ONCE):
             place = start[lo : lo + self.AT_ONCE, None] + np.arange(LENGTH)
             x = self.by_bucket[buckets[place]]
             x += self.by_place
-            q, k, v, h = (x[:, :, WIDTH * i : WIDTH * (i + 1)] for i in range(4))
-            scores = np.matmul(q[:, CONTEXT:], k.transpose(0, 2, 1))
-            np.clip(scores, -30, 30, out=scores)
-            np.exp(scores, out=scores)
-            scores *= MASK
-            seen = real[place]
-            if not seen.all():
-                scores *= np.where(seen, np.float32(1), np.float32(1e-30))[:, None, :]
-            own = np.matmul(scores, v)
-            own /= scores.sum(2, keepdims=True)
-            own += h[:, CONTEXT:]
-            logits = own.reshape(-1, WIDTH) @ self.out
-            logits += self.bias
-            np.clip(logits, -80, 80, out=logits)
-            target = place[:, CONTEXT:].ravel()
-            picked = logits[np.arange(len(target)), classes[target]]
-            np.exp(logits, out=logits)
-            each = (picked - np.log(logits.sum(1)) + share[target]) * (targets[target] >= 0)
-            total += np.bincount(row[lo : lo + self.AT_ONCE], each.reshape(-1, STEP).sum(1, dtype=np.float64), len(n))
+            q, k, v, own = (x[:, :, WIDTH * i : WIDTH * (i + 1)] for i in range(4))
+            att = _weights(np.matmul(q[:, CONTEXT:], k.transpose(0, 2, 1)), real[place])
+            h = np.matmul(att, v)
+            h /= _sums(att)[:, :, None]
+            h += own[:, CONTEXT:]
+            target = targets[place[:, CONTEXT:]].ravel()
+            classes = self.v.classes[np.maximum(target, 0)]
+            group = classes // SUBS
+            order = np.argsort(group.astype(np.uint8), kind="stable")
+            order = order[target[order] >= 0]
+            h, group, sub_class = h.reshape(-1, WIDTH)[order], group[order], classes[order] % SUBS
+            p = h @ self.w["out"]
+            p += self.w["bias"]
+            np.minimum(p, MOST, out=p)
+            p2 = _sub_logits(h, _segments(group), self.w["sub"], self.w["sub_bias"])
+            i = np.arange(len(order))
+            picked = p[i, group] + p2[i, sub_class] + self.v.share[target[order]]
+            np.exp(p, out=p)
+            np.exp(p2, out=p2)
+            each = np.zeros(len(target))
+            each[order] = picked - np.log(_sums(p)) - np.log(_sums(p2))
+            total += np.bincount(row[lo : lo + self.AT_ONCE], each.reshape(-1, STEP).sum(1), len(n))
         return total / np.log(10)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attention
-from .arrowtext import NONSPACE, blocks, span_hashes, spans
+from .arrowtext import NONSPACE, blocks, give_back, span_hashes, spans
 from .shared import stored, table
 from .tokencache import HashTable, worker
 
@@ -35,8 +35,8 @@ FILE, START_ID, END_ID = "word_bpe_49k.json", 49406, 49407
 FOLDS, HELD_OUT = 5, 1
 #: Frequent words that are broadcast (12 bytes each).
 FREQUENT = 65_536
-#: Ids for each window of _window; rounds of training; workers of a round at the most (one for every four shuffle partitions).
-IDS_PER_WINDOW, ROUNDS, WORKERS = 1024, 3, 256
+#: Rounds of training; workers of a round at the most (one for every four shuffle partitions).
+ROUNDS, WORKERS = 3, 256
 
 _PACKED = "kind int, bucket bigint, base bigint, n bigint, words binary, counts binary, extra binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("base", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary())])
@@ -69,15 +69,6 @@ def _bucket_cuts(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarra
     return number[edge[:-1]].astype(np.int64), edge
 
 
-def _window(ids: np.ndarray, doc_id) -> Iterator[np.ndarray]:
-    """One training window for every IDS_PER_WINDOW ids of a document (ids end with the end id), at places its identifier gives."""
-    full = np.concatenate([np.full(attention.CONTEXT, -1), [START_ID], ids, np.full(attention.STEP, -1)]).astype(np.int32)
-    for k, lo in enumerate(range(0, len(ids), IDS_PER_WINDOW)):
-        places = -(-min(IDS_PER_WINDOW, len(ids) - lo) // attention.STEP)
-        at = lo + attention.STEP * (zlib.crc32(f"{doc_id}/{k}".encode()) % places)
-        yield full[at : at + attention.LENGTH + 1]
-
-
 def windows_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """All training windows of documents whose ids (each ends with the end id) follow each other: every id is the target of one."""
     lengths = lengths.astype(np.int64)
@@ -166,26 +157,32 @@ def _frequent(words: DataFrame, each: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _train(windows: DataFrame, vocabulary: attention.Vocabulary, rounds: int, workers: int) -> dict:
-    """The attention weights after ``rounds``: each round takes its share of the windows, all of them are taken once."""
-    weights = attention.initial(vocabulary.prior)
+    """The attention weights after ``rounds``: each round takes its share of the windows, all of them are taken once.
+
+    Windows are dealt and ordered by their hash, so a round gives the same weights however its tasks were run.
+    """
+    weights = attention.initial(vocabulary)
     sc = windows.sparkSession.sparkContext
     for k in range(rounds):
         now = sc.broadcast((weights, vocabulary))
 
-        def local(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            w, v = now.value
+        def local(batches: Iterator[pa.RecordBatch], now=now, k=k) -> Iterator[pa.RecordBatch]:
+            trainer = attention.Trainer(*now.value, rate=0.01 / (1 + k))
             n = 0
             for batch in batches:
                 for blob, lengths in zip(batch.column(0), batch.column(1), strict=True):
                     own = windows_of(np.frombuffer(blob.as_buffer(), np.uint16), np.frombuffer(lengths.as_buffer(), np.int32))
                     own = own[np.random.default_rng(len(own)).permutation(len(own))]  # a step's windows are of many documents
-                    w, _ = attention.train(w, own, v)
+                    trainer.learn(own)
                     n += len(own)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([np.concatenate([w[x].ravel() for x in attention.NAMES]).tobytes()], pa.binary())], ["n", "weights"])
+                flat = np.concatenate([trainer.w[x].ravel() for x in attention.NAMES]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat], pa.binary())], ["n", "weights"])
+            give_back()
 
         part = windows.where(F.pmod("bucket", F.lit(rounds)) == k)
-        got = part.select("extra", "counts").repartition(workers).mapInArrow(local, "n bigint, weights binary").collect()
+        dealt = part.select("bucket", "extra", "counts").repartition(workers, "bucket").sortWithinPartitions("bucket", "extra").select("extra", "counts")
+        got = sorted(dealt.mapInArrow(local, "n bigint, weights binary").collect(), key=lambda r: (r.n, bytes(r.weights)))
         if got:
             total = sum(r.n for r in got)
             flat = sum(np.frombuffer(bytes(r.weights), np.float32).astype(np.float64) * (r.n / total) for r in got)
@@ -306,7 +303,7 @@ def score_documents(docs: DataFrame, file: str, rounds: int = ROUNDS, workers: i
     answers = requests.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _PACKED)
     norm, end_log = float(np.log10(train_tokens + 0.5 * (distinct + 1))), float(np.log10(n_docs + 0.5))
     both = scored.where(F.col("kind") == DOCS).unionByName(answers)
-    out = both.repartition(buckets, "base").sortWithinPartitions("base", "kind")
+    out = both.repartition(buckets, "base").sortWithinPartitions("base", "kind", "bucket")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return out.mapInArrow(lambda b: _total(b, norm, end_log, n_docs > 0, train_tokens), schema)
 

@@ -36,16 +36,18 @@ def plain_score(w, v, ids):
         x = w["embed"][v.buckets[before[lo : i + 1]]] + w["place"][places]
         scores = np.clip((x[-1] @ w["query"]) @ (x @ w["key"]).T / math.sqrt(attention.WIDTH), -30, 30)
         att = np.exp(scores) / np.exp(scores).sum()
-        logits = (att @ (x @ w["value"]) + x[-1]) @ w["out"] + w["bias"]
-        total += logits[v.classes[target]] - np.log(np.exp(logits - logits.max()).sum()) - logits.max() + v.share[target]
+        h, (group, sub) = att @ (x @ w["value"]) + x[-1], divmod(v.classes[target], attention.SUBS)
+        for logits, at in ((h @ w["out"] + w["bias"], group), (h @ w["sub"][group] + w["sub_bias"][group], sub)):
+            total += logits[at] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()
+        total += v.share[target]
     return total / math.log(10)
 
 
 def test_scorer_scores_each_id_once():
     rng = np.random.default_rng(2)
     v = attention.Vocabulary(rng.integers(0, 50, 500), 499)
-    w = {k: x + rng.normal(size=x.shape).astype(np.float32) * 0.3 for k, x in attention.initial(v.prior).items()}
-    lengths = [1, 0, 15, 16, 17, 100, 3]
+    w = {k: x + rng.normal(size=x.shape).astype(np.float32) * 0.3 for k, x in attention.initial(v).items()}
+    lengths = [1, 0, 15, 16, 17, 31, 32, 33, 100, 3]
     ids = rng.integers(0, 500, sum(lengths))
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     got = attention.Scorer(w, v).log10(ids, bounds)
@@ -55,26 +57,65 @@ def test_scorer_scores_each_id_once():
     assert np.allclose(shares[np.bincount(v.classes, minlength=attention.CLASSES) > 0], 1, atol=1e-4)
 
 
+def test_gradients():
+    """Each gradient against differences of the loss, on windows with places that hold nothing."""
+    rng = np.random.default_rng(8)
+    v = attention.Vocabulary(rng.integers(0, 60, 700), 699)
+    start = {k: (x + rng.normal(size=x.shape) * 0.3).astype(np.float64) for k, x in attention.initial(v).items()}
+    windows = rng.integers(0, 700, (5, attention.LENGTH + 1)).astype(np.int32)
+    windows[0, : attention.CONTEXT] = -1
+    windows[1, attention.CONTEXT + 7 :] = -1
+    loss = lambda w: (lambda got: got[0] / got[1])(attention.Trainer(w, v).step(windows))
+    gradients = attention.Trainer(start, v).step(windows)[2]
+    for name in attention.NAMES:
+        strongest = np.unravel_index(np.argsort(-np.abs(gradients[name]), axis=None)[:4], gradients[name].shape)
+        for at in zip(*strongest, strict=True):
+            up, down = ({**start, name: start[name].copy()} for _ in range(2))
+            up[name][at] += 1e-3
+            down[name][at] -= 1e-3
+            want = (loss(up) - loss(down)) / 2e-3
+            assert abs(gradients[name][at] - want) < 1e-4 + 0.02 * abs(want), (name, at)
+
+
 def test_training_learns():
     """A repeating pattern is learned far beyond the classes' frequencies, on windows not trained on."""
     rng = np.random.default_rng(4)
     make = lambda n: np.stack([(np.arange(attention.LENGTH + 1) + rng.integers(0, 7)) % 7 for _ in range(n)]).astype(np.int32)
     v = attention.Vocabulary(np.full(10, 100), 9)
-    w = attention.initial(v.prior)
-    before = attention.train(w, make(64), v, rate=0.0)[1]
+    trainer = attention.Trainer(attention.initial(v), v)
+    mean = lambda: (lambda got: got[0] / got[1])(trainer.step(make(64)))
+    before = mean()
     for _ in range(4):
-        w, _ = attention.train(w, make(1000), v)
-    after = attention.train(w, make(64), v, rate=0.0)[1]
-    assert after < 0.2 * before
-
-
-def test_windows():
-    ids = np.arange(100, 100 + 3000)
-    found = list(op._window(ids, 7))
-    assert len(found) == 3
-    for w in found:
-        real = w[w >= 0]
-        assert len(w) == attention.LENGTH + 1 and (np.diff(real[real != op.START_ID]) == 1).all()
+        trainer.learn(make(1000), batch=32)
+    assert mean() < 0.2 * before
+
+
+def test_score_against_a_plain_loop(spark):
+    """Training and scoring as jobs give what one loop over the same blobs gives; held-out text is scored better than by frequency."""
+    rng = np.random.default_rng(12)
+    words = ["water", "stone", "under", "light", "river", "house", "garden", "window", "tomorrow", "evening"]
+    text = lambda start, n: " ".join(words[j % 10] for j in range(start, start + n))
+    docs = [(i, text(int(rng.integers(0, 10)), int(rng.integers(5, 60)))) for i in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in op.score_documents(frame, FILE, rounds=2, workers=1).collect()}
+    own = op.worker(FILE, "word")
+    ids = {i: [*own.library.encode(t, add_special_tokens=False).ids, op.END_ID] for i, t in docs}
+    counts = np.bincount([x for i, t in docs if op.fold_of(i) != 1 for x in ids[i]], minlength=own.library.get_vocab_size())
+    v = attention.Vocabulary(counts, op.START_ID)
+    weights = attention.initial(v)
+    blobs = [(r.bucket, bytes(r.extra), bytes(r.counts)) for r in op._gather(frame, 4, FILE).collect() if r.kind == op.WINDOW]
+    for k in range(2):
+        trainer = attention.Trainer(weights, v, rate=0.01 / (1 + k))
+        for _, extra, lengths in sorted(b for b in blobs if b[0] % 2 == k):
+            windows = op.windows_of(np.frombuffer(extra, np.uint16), np.frombuffer(lengths, np.int32))
+            trainer.learn(windows[np.random.default_rng(len(windows)).permutation(len(windows))])
+        weights = trainer.w
+    want = {i: plain_score(weights, v, x) for i, x in ids.items()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-3, abs_tol=1e-3) for i in ids)
+    frequency = lambda x: sum(math.log10((counts[y] + 0.5) / (counts + 0.5).sum()) for y in x)
+    out = [i for i in ids if op.fold_of(i) == 1]
+    assert sum(got[i] for i in out) > sum(frequency(ids[i]) for i in out)
+    assert got == {r.doc_id: r.score for r in op.score_documents(frame, FILE, rounds=2, workers=1).collect()}
 
 
 def test_every_training_id_is_a_target(spark):
