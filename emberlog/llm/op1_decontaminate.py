@@ -2,15 +2,17 @@
 
 Both sides are cut into words, every ``gram`` consecutive words are hashed, and of each run of ``window - gram + 1``
 hashes the smallest are fingerprints, so any shared span of ``window`` words has a shared fingerprint. The benchmark's
-fingerprints travel to the documents (in blocks of bounded size, one scan of the documents for each block),
-matches are extended word by word along their diagonal, and runs of at least ``window`` words count. Documents
-are never shuffled and their fingerprints never leave the task.
+fingerprints travel to the documents, matches are extended word by word along their diagonal, and runs of at least
+``window`` words count. A benchmark beyond one block of bounded size takes a scan of the documents for each further block, which
+writes its hits only; these come back to the texts by the texts' hash. Documents' fingerprints never leave the task, and while the
+hits of further blocks fit a broadcast, documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import ALNUM, blocks, gram_hashes, row_bounds, span_hashes, spans, strings
-from .shared import table
+from .shared import carry, stored, table
 
 WINDOW, GRAM = 10, 6
 #: Bytes of benchmark text in one broadcast block; larger benchmarks take several scans of the documents.
 ITEM_BLOCK_BYTES = 16 << 20
 #: Word comparisons held in memory at once while hits are extended.
 COMPARE_AT_ONCE = 1 << 20
+#: Texts with hits in further blocks that are broadcast; more are joined.
+BROADCAST_ROWS = 100_000
 
 ADDED = "n_words bigint, spans array<struct<start:int,end:int>>, item_ids array<string>"
 
@@ -81,7 +85,7 @@ def _flat(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def block_hits(words: np.ndarray, bounds: np.ndarray, index: dict, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hits of one block of rows: start and end among its words, row and item of each."""
-    found = []  # (row, item, diagonal)
+    out = [np.zeros((4, 0), np.int64)]
     for k, (hashes, items, places) in index["tables"].items():
         size = k or gram
         grams = gram_hashes(words, size)
@@ -91,28 +95,37 @@ def block_hits(words: np.ndarray, bounds: np.ndarray, index: dict, window: int,
         left = np.searchsorted(hashes, grams[at], "left")
         many = np.searchsorted(hashes, grams[at], "right") - left
         hit = np.flatnonzero(many)
-        if not len(hit):
-            continue
-        owner, step = _flat(many[hit])
-        entry, where = left[hit][owner] + step, at[hit][owner]
-        rows = np.searchsorted(bounds, where, "right") - 1
-        inside = where + size <= bounds[rows + 1]
-        found.append(np.stack([rows, items[entry], where - places[entry]])[:, inside])
-    none = np.zeros(0, np.int64)
-    if not found:
-        return none, none, none, none
-    rows, items, diagonals = np.unique(np.concatenate(found, axis=1), axis=1)
+        # A phrase of many items at many places: its pairs are made and extended a part at a time.
+        for part in _parts(many[hit]):
+            some = hit[part]
+            owner, step = _flat(many[some])
+            entry, where = left[some][owner] + step, at[some][owner]
+            rows = np.searchsorted(bounds, where, "right") - 1
+            inside = where + size <= bounds[rows + 1]
+            found = np.unique(np.stack([rows, items[entry], where - places[entry]])[:, inside], axis=1)
+            out.append(_extended(words, bounds, index, found, window))
+    return tuple(np.concatenate(out, axis=1))
+
+
+def _parts(sizes: np.ndarray) -> Iterator[slice]:
+    """Runs of entries whose sizes add up to about COMPARE_AT_ONCE."""
+    sums, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + COMPARE_AT_ONCE, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def _extended(words: np.ndarray, bounds: np.ndarray, index: dict, found: np.ndarray, window: int) -> np.ndarray:
+    """The runs of at least ``window`` equal words (fewer for short items) on each (row, item, diagonal)."""
+    rows, items, diagonals = found
     item_from, item_to = index["bounds"][items], index["bounds"][items + 1]
     low, high = np.maximum(bounds[rows], diagonals), np.minimum(bounds[rows + 1], diagonals + item_to - item_from)
     need = np.minimum(window, item_to - item_from)
-    out = []
-    sums = np.cumsum(high - low)
-    at = 0
-    while at < len(rows):
-        end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + COMPARE_AT_ONCE, "right")))
-        part = slice(at, end)
+    out = [np.zeros((4, 0), np.int64)]
+    for part in _parts(high - low):
         owner, step = _flat((high - low)[part])
-        owner += at
+        owner += part.start
         place = low[owner] + step
         equal = words[place] == index["words"][place - diagonals[owner] + item_from[owner]]
         edge = np.flatnonzero(np.diff(np.concatenate([[-1], np.where(equal, owner, -1), [-1]])))
@@ -122,8 +135,7 @@ def block_hits(words: np.ndarray, bounds: np.ndarray, index: dict, window: int,
         good = stop - begin >= need[owner[begin]]
         begin, stop = begin[good], stop[good]
         out.append(np.stack([place[begin], place[stop - 1] + 1, rows[owner[begin]], items[owner[begin]]]))
-        at = end
-    return tuple(np.concatenate(out, axis=1))
+    return np.concatenate(out, axis=1)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: int = GRAM, item_block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
@@ -132,24 +144,43 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, gram: in
     ``docs`` has text, ``items`` item_id and text. Items of fewer than ``window`` words count as a whole. Null and empty texts have
     no words and no hits; items without words never hit; a null item_id reads as ``null``; items with the same id count once.
     Rows that repeat stay as many rows; columns of ``docs`` named like the results are replaced. Other columns pass through.
+    Texts of any length are taken whole; empty tables give no rows (documents) or no hits (items).
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "spans", "item_ids")]
-    out = docs.select(*kept, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
     schema = T.StructType(docs.select(*kept).schema.fields + T._parse_datatype_string(ADDED).fields)
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // item_block_bytes))
-    for b in range(n_blocks):
+    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids")]
+
+    def block(b: int):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
         rows = part.toArrow()
-        index = spark.sparkContext.broadcast(item_index(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), window, gram))
-
-        def mark(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield _marked(batch, index.value, window, gram)
-
-        out = out.mapInArrow(mark, schema)
+        return spark.sparkContext.broadcast(item_index(rows.column("item_id").to_pylist(), rows.column("text").combine_chunks(), window, gram))
+
+    def mark(batches: Iterator[pa.RecordBatch], index) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _marked(batch, index.value, window, gram)
+
+    rows = docs.select(*kept, *none)
+    if n_blocks > 1:
+        rows = docs.select(*kept).withColumn("__key", F.md5("text"))
+        found = reduce(DataFrame.unionByName, [_hits(docs, block(b), mark) for b in range(1, n_blocks)])
+        merged = stored(found.groupBy("__key").agg(F.flatten(F.collect_list("spans")).alias("__spans"), F.flatten(F.collect_list("item_ids")).alias("__items")), "leaks")  # a row for each block at the most
+        rows = rows.join(F.broadcast(merged) if merged.count() <= BROADCAST_ROWS else merged, "__key", "left")
+        rows = rows.select(*kept, none[0], F.coalesce("__spans", none[1]).alias("spans"), F.coalesce("__items", none[2]).alias("item_ids"))
+    index = block(0)
+    return rows.mapInArrow(lambda batches: mark(batches, index), schema)
+
+
+def _hits(docs: DataFrame, index, mark) -> DataFrame:
+    """__key (the text's MD5), spans and item_ids of the texts that a block of items hits, once for equal texts, written."""
+    schema = T.StructType(T._parse_datatype_string("text string, __key string").fields + T._parse_datatype_string(ADDED).fields)
+    rows = docs.where("text is not null").select("text", F.md5("text").alias("__key"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("item_ids"))
+    found = rows.mapInArrow(lambda batches: mark(batches, index), schema).where(F.size("spans") > 0).select("__key", "spans", "item_ids")
+    out = stored(found.dropDuplicates(["__key"]), "hits")
+    index.unpersist()
     return out
 
 
@@ -202,8 +233,12 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_leaking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents without any benchmark window."""
-    return find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("spans") == 0).select(*docs.columns)
+    """Pipeline stage: the documents without any benchmark window; null and empty texts stay, as nothing hits them.
+
+    Repeated rows are judged alike; all columns of ``docs`` pass through, whatever their names; an empty table gives none.
+    """
+    rows, back = carry(docs, ["text"])
+    return back(find_leaks(rows, table(spark, sf_dir, "benchmark")).where(F.size("spans") == 0))
 
 
 def brute_force(text: str | None, items: list[tuple[object, str | None]], window: int = WINDOW) -> tuple:

@@ -1,13 +1,14 @@
 """Line dedup over overlapping three-line windows.
 
-A line is a physical line or a sentence within one, so passages inside long lines count too. Every three consecutive
-lines with text are hashed (128 bits); windows found more than once keep their first occurrence, in order of
-document and place, and every line that a later occurrence covers is removed. The first lines of a passage always stay
-somewhere: a removed line has an earlier equal one.
-
-Only hashes and places shuffle, pre-aggregated, so a window that millions of documents share is one row for each task. While the
-repeated windows are few enough they go to the documents; beyond that bound, windows join them and only
-line numbers travel back to the texts.
+A line is a physical line; with ``sentences`` (which the query and the pipeline ask for) a sentence within one is a line too, so that
+passages inside long lines count. Every three consecutive lines with text are hashed (128 bits); windows found more than
+once keep their first occurrence, in order of document and place, and every line that a later occurrence covers is removed. The
+first lines of a passage always stay somewhere: a removed line has an earlier equal one.
+
+To find the windows only hashes and places shuffle, pre-aggregated, so a window that millions of documents share is one row for
+each task. While the repeated windows are few enough they go to the documents, which then stay where they are. Beyond that
+bound, occurrences shuffle again to meet the repeated windows, the documents' line numbers are gathered, and the texts shuffle
+once to meet those.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowtext import blocks, gram_hashes, row_bounds, span_hashes
-from .shared import stored, table
+from .shared import carry, join_hot, stored, table
 
 WIDTH = 3
 #: Repeated windows (36 bytes each) that are sent to every task; more are joined.
@@ -34,7 +35,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def cut_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def cut_lines(data: np.ndarray, offsets: np.ndarray, sentences: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines with text of a block: start and end with what separates them, start and end without, and row."""
     n = len(data)
     if not n:
@@ -42,7 +43,8 @@ def cut_lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return none, none, none, none, none
     cut = np.zeros(n + 1, bool)
     cut[1:] = data == 0x0A
-    cut[2:n] |= _STOP[data[: n - 2]] & (data[1 : n - 1] == 0x20)
+    if sentences:
+        cut[2:n] |= _STOP[data[: n - 2]] & (data[1 : n - 1] == 0x20)
     cut[offsets] = True
     starts = np.flatnonzero(cut[:n])
     ends = np.append(starts[1:], n)
@@ -67,22 +69,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("__h", F.xxhash64("text"))
 
 
-def _windows(docs: DataFrame, width: int) -> DataFrame:
+def _windows(docs: DataFrame, width: int, sentences: bool) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for first, last, data, offsets in blocks(batch.column(0)):
-                one, two, row, line = windows_of(data, cut_lines(data, offsets), last - first, width)
+                one, two, row, line = windows_of(data, cut_lines(data, offsets, sentences), last - first, width)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two, ids[first + row], hashes[first + row], line.astype(np.int32))], ["h1", "h2", "id", "h", "line"])
 
     return docs.select("text", "__id", "__h").mapInArrow(each, "h1 bigint, h2 bigint, id bigint, h bigint, line int")
 
 
-def _rewrite(batch: pa.RecordBatch, width: int, covering) -> Iterator[pa.RecordBatch]:
+def _rewrite(batch: pa.RecordBatch, width: int, sentences: bool, covering) -> Iterator[pa.RecordBatch]:
     """The batch with text, n_lines and n_removed; covering(first, data, lines, n) gives row and first line of the windows to remove."""
-    names = [n for n in batch.schema.names if not n.startswith("__")]
+    names = [n for n in batch.schema.names if n not in ("__id", "__h", "__lines")]
     for first, last, data, offsets in blocks(batch.column("text")):
-        lines = cut_lines(data, offsets)
+        lines = cut_lines(data, offsets, sentences)
         rows, n = lines[4], last - first
         bounds = row_bounds(rows, n)
         row, line = covering(first, data, lines, n)
@@ -101,7 +103,7 @@ def _rewrite(batch: pa.RecordBatch, width: int, covering) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([new.get(c, part.column(c) if c in names else None) for c in [*(x for x in names if x not in ("n_lines", "n_removed")), "n_lines", "n_removed"]], [*(x for x in names if x not in ("n_lines", "n_removed")), "n_lines", "n_removed"])
 
 
-def dedup_lines(docs: DataFrame, width: int = WIDTH, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, width: int = WIDTH, sentences: bool = False, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """``docs`` (doc_id, text) with the lines of repeated windows removed from text, and n_lines and n_removed added.
 
     Every row stays, its text maybe empty. Null and empty texts come out empty with 0 lines; texts of fewer than ``width`` lines are
@@ -112,11 +114,12 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, broadcast_windows: int = BR
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = _keyed(docs.select(*kept))
     schema = T.StructType([*docs.select(*kept).schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    found = _windows(keyed, width)
-    grouped = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.max(F.struct("id", "h", "line")).alias("last"))
-    repeated = stored(grouped.where("first != last").select("h1", "h2", "first.*"), "windows")
+    found = _windows(keyed, width, sentences)
+    grouped = found.groupBy("h1", "h2").agg(F.min(F.struct("id", "h", "line")).alias("first"), F.max(F.struct("id", "h", "line")).alias("last"), F.count("*").alias("n"))
+    repeated = stored(grouped.where("first != last").select("h1", "h2", "first.*", "n"), "windows")
     if repeated.count() <= broadcast_windows:
-        known = {c: v.to_numpy() for c, v in zip(repeated.columns, repeated.toArrow().columns, strict=True)}
+        columns = ["h1", "h2", "id", "h", "line"]
+        known = {c: v.to_numpy() for c, v in zip(columns, repeated.select(*columns).toArrow().columns, strict=True)}
         order = np.argsort(known["h1"], kind="stable")
         known = spark.sparkContext.broadcast({c: v[order] for c, v in known.items()})
 
@@ -142,11 +145,14 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, broadcast_windows: int = BR
                         left = left[at[left] < len(seen["h1"])]
                     return row[later], line[later]
 
-                yield from _rewrite(batch, width, covering)
+                yield from _rewrite(batch, width, sentences, covering)
 
         return keyed.mapInArrow(remove, schema)
 
-    later = found.join(repeated.withColumnsRenamed({"id": "id0", "h": "h0", "line": "line0"}), ["h1", "h2"]).where("id != id0 or h != h0 or line != line0")
+    # A window of very many documents is broadcast, so that its occurrences are not one task's.
+    known = repeated.select(F.struct("h1", "h2").alias("w"), F.col("id").alias("id0"), F.col("h").alias("h0"), F.col("line").alias("line0"), "n")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    later = join_hot(found.withColumn("w", F.struct("h1", "h2")), known, "w", "n", total).where("id != id0 or h != h0 or line != line0")
     lines = later.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_set("line").alias("__lines"))
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,30 +164,36 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH, broadcast_windows: int = BR
                 sizes = np.array([len(x) if x is not None else 0 for x in own.to_pylist()], np.int64)
                 return np.repeat(np.arange(n), sizes), own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
-            yield from _rewrite(batch, width, covering)
+            yield from _rewrite(batch, width, sentences, covering)
 
     return keyed.join(lines, ["__id", "__h"], "left").select(*kept, "__lines").mapInArrow(rewrite, schema)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return dedup_lines(docs, sentences=True).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without later occurrences of windows; a document that loses all its lines goes."""
-    out = dedup_lines(docs).where("n_removed = 0 or n_removed < n_lines")
+    """Pipeline stage: texts without later occurrences of windows; a document that loses all its lines goes.
+
+    n_chars, where there is such a column, follows the text. Null and empty texts stay (a null becomes empty); repeated rows are
+    treated alike; all other columns pass through, whatever their names; an empty table gives none.
+    """
+    rows, back = carry(docs, ["doc_id", "text"])
+    out = dedup_lines(rows, sentences=True).where("n_removed = 0 or n_removed < n_lines")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("__carried", F.when(F.col("n_removed") > 0, F.col("__carried").withField("n_chars", F.char_length("text").cast(kind))).otherwise(F.col("__carried")))
+    return back(out)
 
 
-def brute_force(docs: list[tuple], width: int = WIDTH) -> list[tuple[int, int, str]]:
+def brute_force(docs: list[tuple], width: int = WIDTH, sentences: bool = True) -> list[tuple[int, int, str]]:
     """(n_lines, n_removed, text) of each (doc_id, text, hash of text), by dictionaries; for tests."""
     import re
 
     def units(text):
-        parts = re.findall(r"[^\n]*?(?:\n|[.!?] |$)", text or "")
+        parts = re.findall(r"[^\n]*?(?:\n|[.!?] |$)" if sentences else r"[^\n]*?(?:\n|$)", text or "")
         return [p for p in parts if p]
 
     order = sorted({(d is not None, d or 0, h, t or "") for d, t, h in docs})

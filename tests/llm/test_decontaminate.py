@@ -1,5 +1,9 @@
+import hashlib
+
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from emberlog.llm.op1_decontaminate import brute_force, digest, drop_leaking, find_leaks
 
@@ -18,6 +22,28 @@ def test_brute_force(spark):
         assert got == sorted(str(brute_force(t, ITEMS)) for _, t in DOCS)
 
 
+def test_phrase_of_many_items_at_many_places(spark, monkeypatch):
+    """Pairs are made a few at a time; the result is the same."""
+    from emberlog.llm import op1_decontaminate as op
+
+    monkeypatch.setattr(op, "COMPARE_AT_ONCE", 7)
+    phrase = "a b c d e f g h i j"
+    items = [(i, f"{phrase} x{i}" if i % 2 else f"x{i} {phrase} end") for i in range(12)]
+    texts = pa.array([f"{phrase} " * 9, f"start {phrase} x3 {phrase}", "none of it"])
+    index = op.item_index([str(i) for i, _ in items], pa.array([t for _, t in items]), op.WINDOW, op.GRAM)
+    schema = ["text", "n_words", "spans", "item_ids"]
+    none = [pa.array([[]] * 3, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([[]] * 3, pa.list_(pa.string()))]
+    out = op._marked(pa.RecordBatch.from_arrays([texts, pa.array([0] * 3), *none], schema), index, op.WINDOW, op.GRAM).to_pylist()
+    for t, r in zip(texts.to_pylist(), out, strict=True):
+        n_words, n_hit, n_items, _, _ = brute_force(t, items)
+        assert (r["n_words"], sum(x["end"] - x["start"] for x in r["spans"]), len(r["item_ids"])) == (n_words, n_hit, n_items)
+
+
+def test_very_long_text(spark):
+    docs, items = frames(spark, [(1, "x y " * 150_000 + "a b c d e f g h i j k")])
+    assert [tuple(r)[1:] for r in digest(find_leaks(docs, items.where("item_id = 1"))).collect()] == [(300_011, 11, 1, hashlib.sha256(b"1").hexdigest(), True)]
+
+
 def test_empty_tables(spark):
     docs, items = frames(spark)
     assert find_leaks(docs.limit(0), items).count() == 0
@@ -39,3 +65,5 @@ def test_stage(spark, tmp_path):
     items.write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = drop_leaking(spark, docs, str(tmp_path))
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+    odd = docs.withColumn("spans", F.lit("mine"))
+    assert {tuple(r)[2:] for r in drop_leaking(spark, odd, str(tmp_path)).collect()} == {("x", 9, "mine")}
