@@ -3,8 +3,8 @@
 Texts become sets of five-word shingles; equal sets are one. In each run a set chooses each of its shingles with
 probability 1 / (threshold * size) by a hash that all sets share, so two sets that are similar enough choose a common shingle with
 probability over 1 - 1/e; runs repeat until the target recall. Sets that chose the same shingle share a bucket;
-buckets that are too large are split again on further shingles that their sets chose, and what never splits is compared whole,
-tile by tile. Within a bucket sketches are compared, and the connected candidates' whole sets are then compared exactly, all
+buckets that are too large are split again on further shingles that their sets chose, and what never splits (one large group of
+near copies, or a passage that fills its texts) is compared whole, tile by tile. Within a bucket sketches are compared, and the connected candidates' whole sets are then compared exactly, all
 against all within a group, in tiles of bounded size. Pairs are never emitted: a bucket gives a spanning forest, a tile the
 links' numbers.
 """
@@ -26,8 +26,8 @@ from .components import components
 from .shared import Scratch, join_hot, partitions, stored, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Sets in a bucket that are compared at once; larger buckets are split, at most LEVELS times on CHILDREN paths of each set, then tiled.
-BUCKET, LEVELS, CHILDREN = 8192, 4, 2
+#: Sets in a bucket that are compared at once; larger buckets are contracted with PIVOTS, split at most LEVELS times on CHILDREN paths of each set, then tiled.
+BUCKET, LEVELS, CHILDREN, PIVOTS = 2048, 4, 2, 16
 #: Min-hashes in a set's sketch, and how many must agree for two sets to be candidates (similarity 0.8 falls short once in a million).
 SKETCH, AGREE = 32, 14
 #: Sets in a tile of the exact comparison and bytes of their shingles, on the average of a group.
@@ -208,35 +208,67 @@ def _tile_pairs(tiles: Column, tile: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), tiles - 1), lambda t: F.struct(F.least(tile, t).alias("i"), F.greatest(tile, t).alias("j")))
 
 
+def _connected(dealt: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that span the agreeing sketches of every bucket (p, i, j)."""
+    met = dealt.join(sets.select("node", "sketch"), "node").select("p", "i", "j", "node", "sketch")
+    return met.repartition(partitions(sets.sparkSession), "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_stars, "a bigint, b bigint")
+
+
+def _contracted(hot: DataFrame, sets: DataFrame, scratch: Scratch, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, ``hot`` with tile, tiles, inner and outside) of buckets that are too large.
+
+    A bucket is dealt into tiles that share a few pivots, one for each region of its keys, so one large group of near copies becomes one
+    component in a pass. ``inner`` says whether a set is in its bucket's largest component, ``outside`` how many are not: what is left
+    to compare is each of those with every set.
+    """
+    tiles = F.ceil(2 * F.col("n") / bucket).cast("int")
+    hot = scratch.write(hot.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int")), "hot")
+    pivots = hot.groupBy("p", "tiles", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("node"))
+    copies = pivots.select("p", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), F.lit(-1).alias("j"), "node")
+    edges = scratch.write(_connected(hot.select("p", F.col("tile").alias("i"), F.lit(-1).alias("j"), "node").union(copies).distinct(), sets), "pivoted")
+    hot = hot.join(components(edges, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hot = scratch.write(hot, "rooted")
+    tally = hot.groupBy("p", "root").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("p").agg(F.max(F.struct("c", "root")).alias("most"), F.first("n").alias("n"))
+    tally = scratch.write(tally.select("p", F.col("most.root").alias("main"), (F.col("n") - F.col("most.c")).alias("outside"), F.col("n").alias("weight")), "tally")
+    total = tally.agg(F.sum("weight")).first()[0] or 0
+    return edges, scratch.write(join_hot(hot, tally, "p", "weight", total).withColumn("inner", F.col("root") == F.col("main")).drop("weight", "main", "root"), "judged")
+
+
 def _candidates(sets: DataFrame, scratch: Scratch, bucket: int, levels: int) -> DataFrame:
     """Edges (a, b) that connect all sets which met in a bucket and whose sketches agree.
 
     Only paths and nodes are dealt to find the buckets; sketches and the sets' other paths join what shares a bucket. A bucket that
-    is too large is split by paths not used on the way to it. Where that no longer helps (a child keeps nine tenths of its
-    parent) or after ``levels`` splits, the bucket is cut into tiles and every tile meets every other: no pair is left out.
+    is too large is contracted first. While few of its sets are outside its largest component, these meet all others, tile by tile;
+    else it is split by paths not used on the way to it. What is still too large after ``levels`` splits is cut into tiles and every
+    tile meets every other: no pair is left out.
     """
-    n = partitions(sets.sparkSession)
-    rows = scratch.write(sets.select("node", F.explode("paths").alias("p")).select("node", "p", F.array("p").alias("used"), F.lit(None).cast("bigint").alias("parent")), "rows")
-    found = []
+    rows = scratch.write(sets.select("node", F.explode("paths").alias("p")).select("node", "p", F.array("p").alias("used")), "rows")
+    found, edges = [], []
     for level in range(levels + 1):
         counts = scratch.write(rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"), "counts")
         total = counts.agg(F.sum("n")).first()[0] or 0
         met = scratch.write(join_hot(rows, counts, "p", "n", total), "met")
-        final = (F.col("n") <= bucket) | F.lit(level == levels) | F.coalesce(F.col("n") > 0.9 * F.col("parent"), F.lit(False))
-        tiles = F.when(F.col("n") <= bucket, 1).otherwise(F.ceil(2 * F.col("n") / bucket)).cast("int")
-        dealt = met.where(final).withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int"))
-        dealt = dealt.select("p", "node", F.explode(_tile_pairs(F.col("tiles"), F.col("tile"))).alias("ij")).select("p", "ij.i", "ij.j", "node")
-        found.append(dealt)
-        hot = met.where(~final)
+        found.append(met.where(F.col("n") <= bucket).select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), "node"))
+        hot = met.where(F.col("n") > bucket)
+        if not hot.limit(1).count():
+            break
+        pivoted, hot = _contracted(hot, sets, scratch, bucket)
+        edges.append(pivoted)
+        few = F.col("outside") <= bucket // 2
+        tiles = F.when(F.col("inner"), F.array("tile")).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
+        found.append(hot.where(few & (F.col("outside") > 0)).select("p", F.explode(tiles).alias("i"), F.lit(-2).alias("j"), "node"))
+        hot = hot.where(~few)
+        if level == levels:
+            found.append(hot.select("p", "node", F.explode(_tile_pairs(F.col("tiles"), F.col("tile"))).alias("ij")).select("p", "ij.i", "ij.j", "node"))
+            break
         if not hot.limit(1).count():
             break
-        other = F.filter(F.array_except("paths", "used"), lambda q: q.isNotNull())
-        order = F.slice(F.array_sort(F.transform(other, lambda q: F.struct(F.xxhash64(F.col("p"), q).alias("h"), q.alias("q")))), 1, CHILDREN)
-        rows = hot.join(sets.select("node", "paths"), "node").select("node", "n", "used", F.explode(order).alias("next"))
-        rows = rows.select("node", F.array_sort(F.concat("used", F.array("next.q"))).alias("used"), F.col("n").alias("parent"))
-        rows = scratch.write(rows.withColumn("p", F.xxhash64("used")).groupBy("node", "p").agg(F.first("used").alias("used"), F.min("parent").alias("parent")).select("node", "p", "used", "parent"), "split")
-    met = reduce(DataFrame.unionByName, found).join(sets.select("node", "sketch"), "node").select("p", "i", "j", "node", "sketch")
-    return met.repartition(n, "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_stars, "a bigint, b bigint")
+        order = F.slice(F.array_sort(F.transform(F.array_except("paths", "used"), lambda q: F.struct(F.xxhash64(F.col("p"), q).alias("h"), q.alias("q")))), 1, CHILDREN)
+        rows = hot.join(sets.select("node", "paths"), "node").select("node", "used", F.explode(order).alias("next"))
+        rows = rows.select("node", F.array_sort(F.concat("used", F.array("next.q"))).alias("used"))
+        rows = scratch.write(rows.withColumn("p", F.xxhash64("used")).dropDuplicates(["node", "p"]).select("node", "p", "used"), "split")
+    edges.append(_connected(reduce(DataFrame.unionByName, found), sets))
+    return reduce(DataFrame.unionByName, edges)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:

@@ -47,7 +47,7 @@ def test_hot_buckets(spark):
         docs.append((n, " ".join(passage + own)))
     docs += [(200 + d, t + " end") for d, t in docs[100:130]]
     want = brute_force(docs)
-    for bucket, levels in ((16, 4), (8, 0), (40, 2)):
+    for bucket, levels in ((16, 4), (8, 0), (40, 2), (64, 1)):
         got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(frame(spark, docs), bucket=bucket, levels=levels, tile=16, tile_bytes=1 << 14).collect()}
         assert got == want
 
