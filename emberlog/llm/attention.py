@@ -1,7 +1,8 @@
 """A small causal self-attention model over subword ids, in numpy: training steps and batched scoring.
 
 An id's probability is that of its group, of its class within the group, and of the id within the class. Group and class come from
-one masked attention layer over the ids before it (a softmax of two levels, so an id costs GROUPS + SUBS logits instead of
+one masked attention layer over the ids before it (queries and keys are one matrix, ``match``, and values are projected after they
+are summed, which is the same with fewer products; a softmax of two levels, so an id costs GROUPS + SUBS logits instead of
 their product), the last share from corpus counts; the most frequent ids have a class to themselves. Windows of CONTEXT + STEP places
 overlap by CONTEXT, and each id is scored in exactly one window.
 """
@@ -10,12 +11,12 @@ from __future__ import annotations
 
 import numpy as np
 
-STEP, CONTEXT, WIDTH, GROUPS, SUBS, BUCKETS = 32, 16, 12, 24, 24, 2048
+STEP, CONTEXT, WIDTH, GROUPS, SUBS, BUCKETS = 32, 16, 12, 16, 32, 2048
 CLASSES = GROUPS * SUBS
 LENGTH = STEP + CONTEXT
 #: Causal mask: place CONTEXT + i sees itself and the places before it.
 MASK = np.tril(np.ones((STEP, LENGTH), np.float32), CONTEXT)
-NAMES = ("embed", "place", "query", "key", "value", "out", "bias", "sub", "sub_bias")
+NAMES = ("embed", "place", "match", "value", "out", "bias", "sub", "sub_bias")
 #: Logits are cut here, so that no exponential overflows.
 MOST = np.float32(60)
 
@@ -54,7 +55,7 @@ def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(11)
     draw = lambda *shape: rng.normal(size=shape).astype(np.float32)
     return {
-        "embed": draw(BUCKETS, WIDTH) * 0.5, "place": draw(LENGTH, WIDTH) * 0.1, "query": draw(WIDTH, WIDTH) * 0.2, "key": draw(WIDTH, WIDTH) * 0.2, "value": draw(WIDTH, WIDTH) * 0.2,
+        "embed": draw(BUCKETS, WIDTH) * 0.5, "place": draw(LENGTH, WIDTH) * 0.1, "match": draw(WIDTH, WIDTH) * 0.05, "value": draw(WIDTH, WIDTH) * 0.2,
         "out": draw(WIDTH, GROUPS) * 0.02, "bias": vocabulary.prior.copy(), "sub": draw(GROUPS, WIDTH, SUBS) * 0.02, "sub_bias": vocabulary.sub_prior.copy(),
     }
 
@@ -114,16 +115,13 @@ class Trainer:
         buckets, classes = self.v.buckets[np.maximum(inputs, 0)], self.v.classes[np.maximum(targets, 0)].ravel()
         x = w["embed"][buckets]
         x += w["place"]
-        flat, own = x.reshape(-1, WIDTH), np.ascontiguousarray(x[:, CONTEXT:])
-        key_value = np.concatenate([w["key"], w["value"]], axis=1)
-        kv = (flat @ key_value).reshape(n, LENGTH, 2 * WIDTH)
-        k, v = kv[:, :, :WIDTH], kv[:, :, WIDTH:]
-        q = (own.reshape(-1, WIDTH) @ (w["query"] * scale)).reshape(n, STEP, WIDTH)
-        att = _weights(np.matmul(q, k.transpose(0, 2, 1)), seen)
+        own = x[:, CONTEXT:].reshape(-1, WIDTH)
+        q = (own @ (w["match"] * scale)).reshape(n, STEP, WIDTH)
+        att = _weights(np.matmul(q, x.transpose(0, 2, 1)), seen)
         att /= _sums(att)[:, :, None]
-        h = np.matmul(att, v)
+        mean = np.matmul(att, x).reshape(-1, WIDTH)
+        h = mean @ w["value"]
         h += own
-        h = h.reshape(-1, WIDTH)
 
         group = classes // SUBS
         order = np.argsort(group.astype(np.uint8), kind="stable")
@@ -145,27 +143,24 @@ class Trainer:
         p2 *= (share[order] / sums2)[:, None]
         p2[at, sub_class] -= share[order]
 
-        g = {"out": h.T @ p, "bias": p.sum(0), "sub": np.zeros_like(w["sub"]), "sub_bias": np.zeros_like(w["sub_bias"])}
+        g = {"out": h.T @ p, "bias": np.ones(len(p), np.float32) @ p, "sub": np.zeros_like(w["sub"]), "sub_bias": np.zeros_like(w["sub_bias"])}
         dh, d2 = p @ w["out"].T, np.empty_like(sorted_h)
         for i, a, b in runs:
             np.matmul(p2[a:b], w["sub"][i].T, out=d2[a:b])
             g["sub"][i] = sorted_h[a:b].T @ p2[a:b]
-            g["sub_bias"][i] = p2[a:b].sum(0)
+            g["sub_bias"][i] = np.ones(b - a, np.float32) @ p2[a:b]
         dh[order] += d2
-        dh = dh.reshape(n, STEP, WIDTH)
-        dkv = np.empty_like(kv)
-        np.matmul(att.transpose(0, 2, 1), dh, out=dkv[:, :, WIDTH:])
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        g["value"] = mean.T @ dh
+        dmean = (dh @ w["value"].T).reshape(n, STEP, WIDTH)
+        dx = np.matmul(att.transpose(0, 2, 1), dmean)
+        ds = np.matmul(dmean, x.transpose(0, 2, 1))
         ds -= np.einsum("wsl,wsl->ws", ds, att)[:, :, None]
         ds *= att
-        dq = np.matmul(ds, k).reshape(-1, WIDTH)
-        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-        dkv = dkv.reshape(-1, 2 * WIDTH)
-        g["query"] = (own.reshape(-1, WIDTH).T @ dq) * scale
-        g["key"], g["value"] = np.split(flat.T @ dkv, 2, axis=1)
-        dx = (dkv @ key_value.T).reshape(n, LENGTH, WIDTH)
-        dx[:, CONTEXT:] += (dq @ (w["query"] * scale).T).reshape(n, STEP, WIDTH)
-        dx[:, CONTEXT:] += dh
+        dx += np.matmul(ds.transpose(0, 2, 1), q)
+        dq = np.matmul(ds, x).reshape(-1, WIDTH)
+        g["match"] = (own.T @ dq) * scale
+        dh += dq @ (w["match"] * scale).T
+        dx[:, CONTEXT:] += dh.reshape(n, STEP, WIDTH)
         g["place"] = dx.sum(0)
         where = buckets.ravel()
         order = np.argsort(where.astype(np.uint16), kind="stable")
@@ -188,15 +183,13 @@ class Trainer:
 
 
 class Scorer:
-    """Projections of every bucket are looked up, not multiplied; attention and classes are batched over windows."""
+    """Queries of every bucket are looked up, not multiplied; attention and classes are batched over windows."""
 
     AT_ONCE = 256
 
     def __init__(self, w: dict, vocabulary: Vocabulary):
-        self.v, self.w, scale = vocabulary, w, np.float32(WIDTH**-0.5)
-        tables = [w["query"] * scale, w["key"], w["value"], np.eye(WIDTH, dtype=np.float32)]
-        self.by_bucket = np.concatenate([w["embed"] @ t for t in tables], axis=1)
-        self.by_place = np.concatenate([w["place"] @ t for t in tables], axis=1)
+        self.v, self.w, match = vocabulary, w, w["match"] * np.float32(WIDTH**-0.5)
+        self.queries, self.query_places = w["embed"] @ match, w["place"][CONTEXT:] @ match
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of every row's ids (which end with the row's end id), each given the row's ids before it."""
@@ -215,13 +208,15 @@ class Scorer:
         buckets = self.v.buckets[np.maximum(inputs, 0)]
         for lo in range(0, len(start), self.AT_ONCE):
             place = start[lo : lo + self.AT_ONCE, None] + np.arange(LENGTH)
-            x = self.by_bucket[buckets[place]]
-            x += self.by_place
-            q, k, v, own = (x[:, :, WIDTH * i : WIDTH * (i + 1)] for i in range(4))
-            att = _weights(np.matmul(q[:, CONTEXT:], k.transpose(0, 2, 1)), real[place])
-            h = np.matmul(att, v)
+            bucket = buckets[place]
+            x, q = self.w["embed"][bucket], self.queries[bucket[:, CONTEXT:]]
+            x += self.w["place"]
+            q += self.query_places
+            att = _weights(np.matmul(q, x.transpose(0, 2, 1)), real[place])
+            h = np.matmul(att, x)
             h /= _sums(att)[:, :, None]
-            h += own[:, CONTEXT:]
+            h = (h.reshape(-1, WIDTH) @ self.w["value"]).reshape(len(place), STEP, WIDTH)
+            h += x[:, CONTEXT:]
             target = targets[place[:, CONTEXT:]].ravel()
             classes = self.v.classes[np.maximum(target, 0)]
             group = classes // SUBS

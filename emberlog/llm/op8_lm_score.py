@@ -1,14 +1,15 @@
 """LM scoring: a unigram word model over exact corpus counts, and a causal self-attention model on subword ids.
 
-Four jobs, all of packed arrays dealt by hash bucket:
+Five jobs, all of packed arrays dealt by hash bucket:
 
-1. every training document's words are counted (each task adds up its own first), with its subword ids, which are
-   all training targets;
+1. every text is encoded once and its subword ids are written; the training documents' words and ids are counted (each task
+   adds up its own first);
 2. bucket by bucket the counts become the word table; the frequent words, a bounded number, are broadcast;
-3. the attention model is trained by a few rounds of local steps over the windows of all ids, dealt to a bounded number of workers whose
-   weights are averaged;
-4. every text is scored: the model's score and the frequent words' part in the task, other words as requests that meet
-   their bucket of the word table; each bucket's answers are added up for each block of documents.
+3. the attention model is trained by a few rounds of local steps over the windows of all ids of the training documents, dealt to a bounded
+   number of workers whose weights are averaged;
+4. every document's ids are scored by the model;
+5. the base score: the frequent words' part is added up in the task, other words are requests that meet their bucket of the word
+   table, and each bucket's answers are added up for each block of documents.
 
 A frequent word is never a request, so no bucket holds a word for every document; a bucket's task holds its part of the
 word table and one request at a time.
@@ -28,19 +29,19 @@ from pyspark.sql import functions as F
 
 from . import attention
 from .arrowtext import NONSPACE, blocks, give_back, span_hashes, spans
-from .shared import stored, table
+from .shared import join_hot, partitions, stored, table
 from .tokencache import HashTable, worker
 
 FILE, START_ID, END_ID = "word_bpe_49k.json", 49406, 49407
 FOLDS, HELD_OUT = 5, 1
 #: Frequent words that are broadcast (12 bytes each).
-FREQUENT = 65_536
+FREQUENT = 16_384
 #: Rounds of training; workers of a round at the most (one for every four shuffle partitions).
 ROUNDS, WORKERS = 3, 256
 
 _PACKED = "kind int, bucket bigint, base bigint, n bigint, words binary, counts binary, extra binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("base", pa.int64()), ("n", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("extra", pa.binary())])
-WORDS, IDS, WINDOW, REQUEST, DOCS, ANSWER = range(6)
+WORDS, IDS, WINDOW, REQUEST, DOCS, ANSWER, HELD = range(7)
 #: Stands for the number of documents among the id counts.
 DOCUMENTS = -1
 
@@ -81,42 +82,57 @@ def windows_of(ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return full[start[:, None] + np.arange(attention.LENGTH + 1)]
 
 
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's doc_id (0 where null), whether it is null, and its text's hash."""
+    doc_ids = batch.column("doc_id")
+    return doc_ids.fill_null(0).to_numpy(), doc_ids.is_null().to_numpy(zero_copy_only=False), batch.column("h").to_numpy()
+
+
 def _gather(docs: DataFrame, buckets: int, file: str) -> DataFrame:
-    """Packed rows of the training documents: word counts by bucket, id counts, ids to train on (16 bits each)."""
+    """Packed rows: word counts by bucket and id counts of the training documents, and every document's ids (16 bits each).
+
+    The ids of a block's documents are a row (WINDOW for those to train on, HELD for the others): their lengths, the documents'
+    keys and the ids, so that texts are encoded once.
+    """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = worker(file, "word")
         ids_seen, n_docs = np.zeros(own.library.get_vocab_size(), np.int64), 0
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            keep = np.flatnonzero([fold_of(d) != HELD_OUT for d in names])
-            texts = batch.column(1).take(pa.array(keep))
-            n_docs += len(keep)
-            parts = []
-            for _, _, data, offsets in blocks(texts):
+            doc_ids, none, hashes = _keys(batch)
+            train = np.array([fold_of(d) != HELD_OUT for d in batch.column("doc_id").to_pylist()], bool)
+            n_docs += int(train.sum())
+            parts, rows = [], []
+            for _, _, data, offsets in blocks(batch.column("text").take(pa.array(np.flatnonzero(train)))):
                 starts, ends, _ = spans(data, offsets, NONSPACE)
                 words = span_hashes(data, starts, ends, fold=True)
                 words[words == 0] = 1
                 parts.append(np.unique(words, return_counts=True))
-            rows = []
             if parts:
                 words, counts = _merge(*(np.concatenate(x) for x in zip(*parts, strict=True)))
                 numbers, edge = _bucket_cuts(words, buckets)
                 rows = [(WORDS, b, 0, e - s, words[s:e].tobytes(), counts[s:e].astype(np.uint32).tobytes(), None) for b, s, e in zip(numbers.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            for _, ids, bounds in own.encode(texts):
-                ids_seen += np.bincount(ids, minlength=len(ids_seen))
-                ids_seen[END_ID] += len(bounds) - 1
+            for first, ids, bounds in own.encode(batch.column("text")):
+                n = len(bounds) - 1
                 ended, lengths = np.insert(ids.astype(np.uint16), bounds[1:], END_ID), (np.diff(bounds) + 1).astype(np.int32)
-                rows.append((WINDOW, zlib.crc32(ended.tobytes()), 0, len(ended), None, lengths.tobytes(), ended.tobytes()))
+                for kind, some in ((WINDOW, train[first : first + n]), (HELD, ~train[first : first + n])):
+                    if not some.any():
+                        continue
+                    flat = ended[np.repeat(some, lengths)]
+                    if kind == WINDOW:
+                        ids_seen += np.bincount(flat, minlength=len(ids_seen))
+                    at = first + np.flatnonzero(some)
+                    keys = np.stack([doc_ids[at], none[at].astype(np.int64), hashes[at]])
+                    rows.append((kind, zlib.crc32(flat.tobytes()), 0, len(at), keys.tobytes(), lengths[some].tobytes(), flat.tobytes()))
             if rows:
                 yield _rows(rows)
-            del parts, rows, texts
+            del parts, rows
         seen = np.flatnonzero(ids_seen)
         if n_docs:  # counted apart: a text may spell the end id's token
             yield _rows([(IDS, DOCUMENTS, 0, n_docs, None, None, None)])
             yield _rows([(IDS, i, 0, n, None, None, None) for i, n in zip(seen.tolist(), ids_seen[seen].tolist(), strict=True)])
 
-    return docs.select("doc_id", "text").mapInArrow(gather, _PACKED)
+    return docs.select("doc_id", "text", "h").mapInArrow(gather, _PACKED)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[tuple[int, Iterator[dict]]]:
@@ -192,39 +208,49 @@ def _train(windows: DataFrame, vocabulary: attention.Vocabulary, rounds: int, wo
     return weights
 
 
-def _score(docs: DataFrame, buckets: int, file: str, shared) -> DataFrame:
-    """Packed rows: for each batch its documents with what the task knows, and the requests by bucket."""
+def _model_scores(gathered: DataFrame, shared) -> DataFrame:
+    """doc_id, h and score of every document, from its ids."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, vocabulary, frequent_words, frequent_counts = shared.value
-        own, model = worker(file, "word"), attention.Scorer(weights, vocabulary)
-        frequent = HashTable(max(1, len(frequent_words)))
-        frequent.add(frequent_words, np.arange(len(frequent_words), dtype=np.int32))
+        model = attention.Scorer(*shared.value)
+        for batch in batches:
+            for keys, lengths, ids in zip(*batch.columns, strict=True):
+                doc_ids, none, hashes = np.frombuffer(keys.as_buffer(), np.int64).reshape(3, -1)
+                bounds = np.concatenate([[0], np.cumsum(np.frombuffer(lengths.as_buffer(), np.int32), dtype=np.int64)])
+                scores = model.log10(np.frombuffer(ids.as_buffer(), np.uint16), bounds)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=none > 0), pa.array(hashes), pa.array(scores)], ["doc_id", "h", "score"])
+            give_back()
+
+    return gathered.where(F.col("kind").isin(WINDOW, HELD)).select("words", "counts", "extra").mapInArrow(score, "doc_id bigint, h bigint, score double")
+
+
+def _ask(docs: DataFrame, buckets: int, frequent) -> DataFrame:
+    """Packed rows: for each batch its documents with what the frequent words give, and the requests by bucket."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent_words, frequent_counts = frequent.value
+        known_words = HashTable(max(1, len(frequent_words)))
+        known_words.add(frequent_words, np.arange(len(frequent_words), dtype=np.int32))
         logs = np.log10(frequent_counts + 0.5)
         base = TaskContext.get().partitionId() << 32
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1)
-            tokens, known, sums, scores = (np.zeros(len(names)) for _ in range(4))
+            n_docs = batch.num_rows
+            tokens, known, sums = (np.zeros(n_docs) for _ in range(3))
             asked = []
-            for first, last, data, offsets in blocks(texts):
+            for first, last, data, offsets in blocks(batch.column("text")):
                 n = last - first
                 starts, ends, rows = spans(data, offsets, NONSPACE)
                 words = span_hashes(data, starts, ends, fold=True)
                 words[words == 0] = 1
                 tokens[first:last] = np.bincount(rows, minlength=n) + 1
-                at = frequent.find(words)
+                at = known_words.find(words)
                 hit = at >= 0
                 known[first:last] = np.bincount(rows[hit], minlength=n)
                 sums[first:last] = np.bincount(rows[hit], logs[at[hit]], n)
                 asked.append((words[~hit], (rows[~hit] + first).astype(np.uint32)))
-            for first, ids, bounds in own.encode(texts):
-                n = len(bounds) - 1
-                ended = np.insert(ids.astype(np.int64), bounds[1:], END_ID)
-                scores[first : first + n] = model.log10(ended, bounds + np.arange(n + 1))
-            held = np.array([fold_of(d) == HELD_OUT for d in names], np.float64)
-            doc_ids = np.array([0 if d is None else d for d in names], np.int64)
-            none = np.array([d is None for d in names], np.float64)
-            rows = [(DOCS, 0, base, len(names), doc_ids.tobytes(), np.stack([held, tokens, known, sums, scores, none]).tobytes(), None)]
+            held = np.array([fold_of(d) == HELD_OUT for d in batch.column("doc_id").to_pylist()], np.float64)
+            doc_ids, none, hashes = _keys(batch)
+            rows = [(DOCS, 0, base, n_docs, doc_ids.tobytes(), np.stack([held, tokens, known, sums, none]).tobytes(), hashes.tobytes())]
             if asked:
                 words, row = (np.concatenate(x) for x in zip(*asked, strict=True))
                 order = np.argsort(words, kind="stable")
@@ -232,14 +258,14 @@ def _score(docs: DataFrame, buckets: int, file: str, shared) -> DataFrame:
                 numbers, edge = _bucket_cuts(words, buckets)
                 for b, s, e in zip(numbers.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     distinct, many = np.unique(words[s:e], return_counts=True)
-                    rows.append((REQUEST, b, base, len(names), distinct.tobytes(), many.astype(np.uint32).tobytes(), row[s:e].astype(np.uint16 if len(names) <= 1 << 16 else np.uint32).tobytes()))
+                    rows.append((REQUEST, b, base, n_docs, distinct.tobytes(), many.astype(np.uint32).tobytes(), row[s:e].astype(np.uint16 if n_docs <= 1 << 16 else np.uint32).tobytes()))
                 del words, row, order
             del asked
             yield _rows(rows)
             del rows
             base += 1
 
-    return docs.select("doc_id", "text").mapInArrow(score, _PACKED)
+    return docs.select("doc_id", "text", "h").mapInArrow(ask, _PACKED)
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,18 +288,18 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _total(batches: Iterator[pa.RecordBatch], norm: float, end_log: float, end_known: bool, train_tokens: int) -> Iterator[pa.RecordBatch]:
     """The documents of a block with the answers of all buckets."""
     for _, rows in _runs(batches, "base"):
-        ids = each = None
+        ids = hashes = each = None
         for r in rows:
             if r["kind"] == DOCS:
-                ids, each = np.frombuffer(r["words"], np.int64), np.frombuffer(r["counts"], np.float64).reshape(6, -1).copy()
+                ids, hashes, each = np.frombuffer(r["words"], np.int64), np.frombuffer(r["extra"], np.int64), np.frombuffer(r["counts"], np.float64).reshape(5, -1).copy()
             else:
                 own = np.frombuffer(r["words"], np.uint32)
                 each[2, own] += np.frombuffer(r["counts"], np.uint32)
                 each[3, own] += np.frombuffer(r["extra"], np.float64)
-        held, tokens, known, sums, scores, none = each
+        held, tokens, known, sums, none = each
         base = sums + end_log - tokens * norm
-        columns = [pa.array(ids, mask=none > 0), pa.array(held > 0), pa.array(tokens.astype(np.int64)), pa.array((known + end_known).astype(np.int64)), pa.array(np.full(len(ids), train_tokens, np.int64)), pa.array(base), pa.array(scores)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        columns = [pa.array(ids, mask=none > 0), pa.array(hashes), pa.array(held > 0), pa.array(tokens.astype(np.int64)), pa.array((known + end_known).astype(np.int64)), pa.array(np.full(len(ids), train_tokens, np.int64)), pa.array(base)]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "held_out", "n_tokens", "n_known", "train_tokens", "base_score"])
 
 
 def score_documents(docs: DataFrame, file: str, rounds: int = ROUNDS, workers: int = WORKERS, frequent: int = FREQUENT) -> DataFrame:
@@ -281,11 +307,11 @@ def score_documents(docs: DataFrame, file: str, rounds: int = ROUNDS, workers: i
 
     A null or empty text is the end token alone. Rows that repeat are documents of their own; other columns are not read. Without
     training documents every count is 0 and the model keeps its first weights. ``score`` is log10 of the probability of
-    the text's subword ids and its end id.
+    the text's subword ids and its end id. Texts of any length are taken whole; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = partitions(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     gathered = stored(_gather(docs, buckets, file), "gathered")
     words = gathered.where(F.col("kind") == WORDS).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_word_table, _PACKED)
     words = stored(words, "words")
@@ -297,15 +323,19 @@ def score_documents(docs: DataFrame, file: str, rounds: int = ROUNDS, workers: i
         id_counts[r.bucket] = r.n
     vocabulary = attention.Vocabulary(id_counts, START_ID)
     weights = _train(gathered.where(F.col("kind") == WINDOW), vocabulary, rounds, max(1, min(workers, buckets // 4)))
-    shared = spark.sparkContext.broadcast((weights, vocabulary, *_frequent(words, max(1, frequent // buckets))))
-    scored = stored(_score(docs, buckets, file, shared), "scored")
-    requests = scored.where(F.col("kind") == REQUEST).unionByName(words)
+    scores = stored(_model_scores(gathered, spark.sparkContext.broadcast((weights, vocabulary))), "scores")
+    asked = stored(_ask(docs, buckets, spark.sparkContext.broadcast(_frequent(words, max(1, frequent // buckets)))), "asked")
+    requests = asked.where(F.col("kind") == REQUEST).unionByName(words)
     answers = requests.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _PACKED)
     norm, end_log = float(np.log10(train_tokens + 0.5 * (distinct + 1))), float(np.log10(n_docs + 0.5))
-    both = scored.where(F.col("kind") == DOCS).unionByName(answers)
+    both = asked.where(F.col("kind") == DOCS).unionByName(answers)
     out = both.repartition(buckets, "base").sortWithinPartitions("base", "kind", "bucket")
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return out.mapInArrow(lambda b: _total(b, norm, end_log, n_docs > 0, train_tokens), schema)
+    schema = "doc_id bigint, h bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double"
+    out = out.mapInArrow(lambda b: _total(b, norm, end_log, n_docs > 0, train_tokens), schema)
+    # Rows of one doc_id and text have one score.
+    scores = scores.groupBy(F.struct("doc_id", "h").alias("key")).agg(F.first("score").alias("score"), F.count("*").alias("n"))
+    out = out.select(F.struct("doc_id", "h").alias("key"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    return join_hot(out, scores, "key", "n", docs.count()).select("key.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from emberlog.llm import attention
 from emberlog.llm import op8_lm_score as op
@@ -34,7 +35,7 @@ def plain_score(w, v, ids):
         lo = max(0, block - attention.CONTEXT)
         places = np.arange(lo, i + 1) - block + attention.CONTEXT
         x = w["embed"][v.buckets[before[lo : i + 1]]] + w["place"][places]
-        scores = np.clip((x[-1] @ w["query"]) @ (x @ w["key"]).T / math.sqrt(attention.WIDTH), -30, 30)
+        scores = np.clip((x[-1] @ w["match"]) @ x.T / math.sqrt(attention.WIDTH), -30, 30)
         att = np.exp(scores) / np.exp(scores).sum()
         h, (group, sub) = att @ (x @ w["value"]) + x[-1], divmod(v.classes[target], attention.SUBS)
         for logits, at in ((h @ w["out"] + w["bias"], group), (h @ w["sub"][group] + w["sub_bias"][group], sub)):
@@ -103,7 +104,7 @@ def test_score_against_a_plain_loop(spark):
     counts = np.bincount([x for i, t in docs if op.fold_of(i) != 1 for x in ids[i]], minlength=own.library.get_vocab_size())
     v = attention.Vocabulary(counts, op.START_ID)
     weights = attention.initial(v)
-    blobs = [(r.bucket, bytes(r.extra), bytes(r.counts)) for r in op._gather(frame, 4, FILE).collect() if r.kind == op.WINDOW]
+    blobs = [(r.bucket, bytes(r.extra), bytes(r.counts)) for r in op._gather(frame.withColumn("h", F.xxhash64("text")), 4, FILE).collect() if r.kind == op.WINDOW]
     for k in range(2):
         trainer = attention.Trainer(weights, v, rate=0.01 / (1 + k))
         for _, extra, lengths in sorted(b for b in blobs if b[0] % 2 == k):
@@ -120,7 +121,7 @@ def test_score_against_a_plain_loop(spark):
 
 def test_every_training_id_is_a_target(spark):
     """The windows that training takes hold each id of the training documents once as a target, with the ids before it."""
-    docs = spark.createDataFrame([(d, t) for d, t in [*DOCS, *((20 + i, "the red cat sat " * 70 * i) for i in range(10))]], "doc_id long, text string")
+    docs = spark.createDataFrame([(d, t) for d, t in [*DOCS, *((20 + i, "the red cat sat " * 70 * i) for i in range(10))]], "doc_id long, text string").withColumn("h", F.xxhash64("text"))
     rows = op._gather(docs, 4, FILE).collect()
     want, got = collections.Counter(), collections.Counter()
     for r in rows:
