@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, join_hot, stored
+from .shared import Scratch, join_hot
 
 
 def _to_least(rows: DataFrame, key: str, other: str, total: int) -> DataFrame:
@@ -14,24 +14,23 @@ def _to_least(rows: DataFrame, key: str, other: str, total: int) -> DataFrame:
     return join_hot(rows, least, key, "__n", total)
 
 
-def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, rows: int | None = None) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: bigint); root is the component's smallest node.
 
     Each round links nodes to the smallest node next to them and ends when nothing changes, after about the logarithm of the
     longest path; there is no bound on the rounds. A round writes its edges. Neighbour lists are never gathered and hubs are
-    not join keys, so a node may have any number of neighbours. No edges: no rows. Edges with a null end are left out.
+    not join keys, so a node may have any number of neighbours. No edges: no rows. Edges with a null end are left out. ``rows`` is a bound of the edges' number, where one is known.
     """
-    write = scratch.write if scratch else stored
-    edges = write(edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges")
+    edges = scratch.write(edges.where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "edges", rows)
     mark, n = None, edges.count()
     while n:
         # Large star: every neighbour that is larger than u links to the smallest of u and its neighbours.
         both = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
         large = _to_least(both, "u", "v", 2 * n).where("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        large = write(large, "large")
+        large = scratch.write(large, "large", 2 * n)
         # Small star: u and its smaller neighbours link to the smallest of them.
         small = _to_least(large, "hi", "lo", n).select("m", F.explode(F.array("lo", "hi")).alias("v")).where("m != v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        edges = write(small, "edges")
+        edges = scratch.write(small, "edges", 2 * n)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.countDistinct("hi")).first()
         if now[0] == now[2] and now == mark:
             break

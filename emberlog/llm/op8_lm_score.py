@@ -175,7 +175,7 @@ def _frequent(words: DataFrame, each: int) -> tuple[np.ndarray, np.ndarray]:
 def _train(windows: DataFrame, vocabulary: attention.Vocabulary, rounds: int, workers: int) -> dict:
     """The attention weights after ``rounds``: each round takes its share of the windows, all of them are taken once.
 
-    Windows are dealt and ordered by their hash, so a round gives the same weights however its tasks were run.
+    A worker takes the written ids where they are, in order, so a round gives the same weights however its tasks were run.
     """
     weights = attention.initial(vocabulary)
     sc = windows.sparkSession.sparkContext
@@ -197,7 +197,7 @@ def _train(windows: DataFrame, vocabulary: attention.Vocabulary, rounds: int, wo
             give_back()
 
         part = windows.where(F.pmod("bucket", F.lit(rounds)) == k)
-        dealt = part.select("bucket", "extra", "counts").repartition(workers, "bucket").sortWithinPartitions("bucket", "extra").select("extra", "counts")
+        dealt = part.select("extra", "counts").coalesce(workers)
         got = sorted(dealt.mapInArrow(local, "n bigint, weights binary").collect(), key=lambda r: (r.n, bytes(r.weights)))
         if got:
             total = sum(r.n for r in got)

@@ -31,7 +31,7 @@ BUCKET, LEVELS, CHILDREN, PIVOTS = 2048, 4, 2, 16
 #: Min-hashes in a set's sketch, and how many must agree for two sets to be candidates (similarity 0.8 falls short once in a million).
 SKETCH, AGREE = 32, 14
 #: Sets in a tile of the exact comparison and bytes of their shingles, on the average of a group.
-TILE, TILE_BYTES = 1024, 4 << 20
+TILE, TILE_BYTES = 512, 4 << 20
 #: Rows of a matrix, shingles of a product and reached sets that are handled at once.
 STRIP, PRODUCT, REACHED = 512, 2048, 64
 #: Rows of identifiers (16 bytes and a key) that are broadcast to the texts; more are joined.
@@ -214,7 +214,7 @@ def _connected(dealt: DataFrame, sets: DataFrame) -> DataFrame:
     return met.repartition(partitions(sets.sparkSession), "p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(_stars, "a bigint, b bigint")
 
 
-def _contracted(hot: DataFrame, sets: DataFrame, scratch: Scratch, bucket: int) -> tuple[DataFrame, DataFrame]:
+def _contracted(hot: DataFrame, sets: DataFrame, scratch: Scratch, bucket: int, total: int) -> tuple[DataFrame, DataFrame]:
     """(edges, ``hot`` with tile, tiles, inner and outside) of buckets that are too large.
 
     A bucket is dealt into tiles that share a few pivots, one for each region of its keys, so one large group of near copies becomes one
@@ -222,16 +222,15 @@ def _contracted(hot: DataFrame, sets: DataFrame, scratch: Scratch, bucket: int)
     to compare is each of those with every set.
     """
     tiles = F.ceil(2 * F.col("n") / bucket).cast("int")
-    hot = scratch.write(hot.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int")), "hot")
+    hot = scratch.write(hot.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(7)), "tiles").cast("int")), "hot", total)
     pivots = hot.groupBy("p", "tiles", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("node"))
     copies = pivots.select("p", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("i"), F.lit(-1).alias("j"), "node")
-    edges = scratch.write(_connected(hot.select("p", F.col("tile").alias("i"), F.lit(-1).alias("j"), "node").union(copies).distinct(), sets), "pivoted")
-    hot = hot.join(components(edges, scratch), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    hot = scratch.write(hot, "rooted")
+    edges = scratch.write(_connected(hot.select("p", F.col("tile").alias("i"), F.lit(-1).alias("j"), "node").union(copies).distinct(), sets), "pivoted", total)
+    hot = hot.join(components(edges, scratch, total), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hot = scratch.write(hot, "rooted", total)
     tally = hot.groupBy("p", "root").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("p").agg(F.max(F.struct("c", "root")).alias("most"), F.first("n").alias("n"))
-    tally = scratch.write(tally.select("p", F.col("most.root").alias("main"), (F.col("n") - F.col("most.c")).alias("outside"), F.col("n").alias("weight")), "tally")
-    total = tally.agg(F.sum("weight")).first()[0] or 0
-    return edges, scratch.write(join_hot(hot, tally, "p", "weight", total).withColumn("inner", F.col("root") == F.col("main")).drop("weight", "main", "root"), "judged")
+    tally = scratch.write(tally.select("p", F.col("most.root").alias("main"), (F.col("n") - F.col("most.c")).alias("outside"), F.col("n").alias("weight")), "tally", total)
+    return edges, scratch.write(join_hot(hot, tally, "p", "weight", total).withColumn("inner", F.col("root") == F.col("main")).drop("weight", "main", "root"), "judged", total)
 
 
 def _candidates(sets: DataFrame, scratch: Scratch, bucket: int, levels: int) -> DataFrame:
@@ -245,14 +244,14 @@ def _candidates(sets: DataFrame, scratch: Scratch, bucket: int, levels: int) ->
     rows = scratch.write(sets.select("node", F.explode("paths").alias("p")).select("node", "p", F.array("p").alias("used")), "rows")
     found, edges = [], []
     for level in range(levels + 1):
-        counts = scratch.write(rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+        counts = scratch.write(rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"), "counts", rows.count())
         total = counts.agg(F.sum("n")).first()[0] or 0
-        met = scratch.write(join_hot(rows, counts, "p", "n", total), "met")
+        met = scratch.write(join_hot(rows, counts, "p", "n", total), "met", total)
         found.append(met.where(F.col("n") <= bucket).select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), "node"))
         hot = met.where(F.col("n") > bucket)
-        if not hot.limit(1).count():
+        if not (n_hot := hot.count()):
             break
-        pivoted, hot = _contracted(hot, sets, scratch, bucket)
+        pivoted, hot = _contracted(hot, sets, scratch, bucket, n_hot)
         edges.append(pivoted)
         few = F.col("outside") <= bucket // 2
         tiles = F.when(F.col("inner"), F.array("tile")).otherwise(F.sequence(F.lit(0), F.col("tiles") - 1))
@@ -266,7 +265,7 @@ def _candidates(sets: DataFrame, scratch: Scratch, bucket: int, levels: int) ->
         order = F.slice(F.array_sort(F.transform(F.array_except("paths", "used"), lambda q: F.struct(F.xxhash64(F.col("p"), q).alias("h"), q.alias("q")))), 1, CHILDREN)
         rows = hot.join(sets.select("node", "paths"), "node").select("node", "used", F.explode(order).alias("next"))
         rows = rows.select("node", F.array_sort(F.concat("used", F.array("next.q"))).alias("used"))
-        rows = scratch.write(rows.withColumn("p", F.xxhash64("used")).dropDuplicates(["node", "p"]).select("node", "p", "used"), "split")
+        rows = scratch.write(rows.withColumn("p", F.xxhash64("used")).dropDuplicates(["node", "p"]).select("node", "p", "used"), "split", CHILDREN * n_hot)
     edges.append(_connected(reduce(DataFrame.unionByName, found), sets))
     return reduce(DataFrame.unionByName, edges)
 
@@ -333,10 +332,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     with Scratch(spark, "near") as scratch:
         signed = scratch.write(_signatures(docs, words, threshold, runs_for(recall)), "signatures")
         sets = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
-        sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbers are fixed by writing them
-        groups = scratch.write(components(_candidates(sets, scratch, bucket, levels), scratch), "groups")
+        sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets", signed.count())  # numbers are fixed by writing them
+        n_sets = sets.count()
+        groups = scratch.write(components(_candidates(sets, scratch, bucket, levels), scratch, n_sets * runs_for(recall)), "groups", n_sets)
         members = groups.join(sets.select("node", "rep", "copies", "size"), "node")
-        members = scratch.write(members.select("node", "root", "copies", "size", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "members")
+        members = scratch.write(members.select("node", "root", "copies", "size", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "members", n_sets)
         sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 8 / tile_bytes)).cast("int").alias("tiles"))
         n_members = members.count()
         members = join_hot(members, sizes, "root", "n", n_members).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
@@ -360,12 +360,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         compared = dealt.repartition(partitions(spark), "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _compare(b, threshold), "node bigint, links bigint, least bigint")
         compared = scratch.write(compared, "links")
         links = compared.groupBy("node").agg(F.sum("links").alias("links"))
-        roots = components(compared.select(F.col("least").alias("a"), F.col("node").alias("b")), scratch)
+        roots = components(compared.select(F.col("least").alias("a"), F.col("node").alias("b")), scratch, compared.count())
         judged = sets.select("key", "node", "copies", "least_id").join(links, "node", "left").join(roots, "node", "left")
         judged = judged.select("key", "copies", "least_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("class_key"))
-        judged = scratch.write(judged, "judged")
+        judged = scratch.write(judged, "judged", n_sets)
         classes = judged.groupBy("class_key").agg(F.min("least_id").alias("class_id"), F.count("*").alias("n"))
-        judged = scratch.write(join_hot(judged, classes, "class_key", "n", judged.count()).select("key", "copies", "class_key", "class_id", "n_links"), "classes")
+        judged = scratch.write(join_hot(judged, classes, "class_key", "n", n_sets).select("key", "copies", "class_key", "class_id", "n_links"), "classes", n_sets)
         with_words = signed.where("key is not null").select("doc_id", "h", "key")
         total = judged.agg(F.sum("copies")).first()[0] or 0
         named = join_hot(with_words, judged, "key", "copies", total).select("doc_id", "h", "class_id", "class_key", "n_links")

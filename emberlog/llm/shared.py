@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Row groups of written tables: small, as a task holds one for each table it writes.
 ROW_GROUP_BYTES = 32 << 20
+#: Small tables of a computation of many steps: a file for each partition would cost more than the rows do.
+ROWS_PER_FILE, LEAST_FILES = 200_000, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,8 +73,11 @@ class Scratch:
         where, files = _files(self.spark, self.path)
         files.delete(where, True)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """df written and read back; where at most ``rows`` rows are known to come, in as few files as hold them."""
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        if rows is not None and (files := max(LEAST_FILES, -(-rows // ROWS_PER_FILE))) < partitions(self.spark):
+            df = df.coalesce(files)
         df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
