@@ -1,9 +1,10 @@
 """URL filters, native: host-suffix and path-prefix expressions joined on short hash prefixes.
 
-A URL expands into every host suffix (``a.b.com``, ``b.com``, ``com``) times every prefix of its path that has the
-length of some rule's path; an expression's 32-bit hash prefix is the equi-join key, the full SHA-256 digest
-confirms it, and the longest rule (host and path together) wins; of equally long ones, block wins, then
-the rule's text order. The number of expressions of a URL is bounded by its own length, not by the rules.
+A URL expands into host suffixes (``a.b.com``, ``b.com``, ``com``) times prefixes of its path; an expression's 32-bit hash
+prefix is the equi-join key, the full SHA-256 digest confirms it, and the longest rule (host and path together) wins; of equally
+long ones, block wins, then the rule's text order. Rules have shapes (labels of the host, length of the path), and a URL has one
+expression of each shape: while rules are few enough to broadcast and of few shapes, each shape is one broadcast join and pages are never
+shuffled. Else all expressions of each distinct URL are made and joined.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .shared import table
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Rules up to this many are broadcast; beyond, the join shuffles both sides on the hash prefix.
 BROADCAST_RULES = 200_000
+#: Shapes of rules up to this many are a join each.
+SHAPES = 32
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -30,7 +33,7 @@ def url_parts(url):
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", most_shapes: int = SHAPES) -> DataFrame:
     """Add host, path, rule and verdict to every row of ``pages`` (column url).
 
     Null, empty and schemeless URLs have empty host and path, no rule and the default verdict. Rows that repeat stay
@@ -41,30 +44,53 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rules = rules.where("rule_host is not null and rule_path is not null").select(
         F.translate("rule_host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("rule_host"), "rule_path", F.coalesce("rule_verdict", F.lit("block")).alias("rule_verdict")
     )
-    # A path's length is under a URL's, so this list is short however many rules there are.
-    lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
     n_rules = rules.limit(BROADCAST_RULES + 1).count()
+    shape = [F.size(F.split("rule_host", r"\.")).alias("m"), F.length("rule_path").alias("n")]
+    # Shapes are bounded by hosts' and paths' lengths, so this list is short however many rules there are.
+    shapes = sorted((r.m, r.n) for r in rules.select(*shape).distinct().collect())
     expression = F.concat("rule_host", F.lit("\n"), "rule_path")
-    rules = rules.select(F.sha2(expression, 256).alias("__digest"), F.concat("rule_host", "rule_path").alias("__rule"), F.col("rule_verdict").alias("__verdict"))
-    rules = rules.groupBy("__digest").agg(F.min("__rule").alias("__rule"), F.max("__verdict").alias("__verdict")).withColumn("__prefix", F.substring("__digest", 1, 8))
-    rules = F.broadcast(rules) if n_rules <= BROADCAST_RULES else rules
+    rules = rules.select(F.sha2(expression, 256).alias("__digest"), *shape, F.concat("rule_host", "rule_path").alias("__rule"), F.col("rule_verdict").alias("__verdict"))
+    rules = rules.groupBy("__digest").agg(F.min("__rule").alias("__rule"), F.max("__verdict").alias("__verdict"), F.first("m").alias("m"), F.first("n").alias("n")).withColumn("__prefix", F.substring("__digest", 1, 8))
 
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*kept, F.col("url").alias("__url"))
     host, path = url_parts(F.col("__url"))
     parts = parts.select(*kept, host.alias("host"), path.alias("path"))
-    # One row per distinct (host, path): repeated URLs are judged once, and a hot URL is one key.
-    each = parts.select("host", "path").distinct()
+    few = n_rules <= BROADCAST_RULES and len(shapes) <= most_shapes
+    out = _by_shape(parts, rules, shapes) if few else _by_expression(parts, rules, sorted({n for _, n in shapes}), n_rules <= BROADCAST_RULES)
+    return out.select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _found():
+    return F.struct(F.length("__rule").alias("n"), F.col("__verdict").alias("verdict"), F.col("__rule").alias("rule"))
+
+
+def _by_shape(parts: DataFrame, rules: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """``parts`` (host, path) with __best: a broadcast join for each shape, and the best of what they found."""
+    labels, best = F.split("host", r"\."), [F.lit(None).cast("struct<n:int,verdict:string,rule:string>")] * 2
+    for i, (m, n) in enumerate(shapes):
+        fits = (F.col("host") != "") & (F.size(labels) >= m) & (F.length("path") >= n)
+        expression = F.concat(F.array_join(F.slice(labels, -m, m), "."), F.lit("\n"), F.substring("path", 1, n))
+        parts = parts.withColumn("__d", F.when(fits, F.sha2(expression, 256)))
+        own = F.broadcast(rules.where((F.col("m") == m) & (F.col("n") == n)).select(F.col("__prefix").alias("__p"), F.col("__digest").alias("__full"), _found().alias(f"__best{i}")))
+        parts = parts.join(own, (F.substring("__d", 1, 8) == F.col("__p")) & (F.col("__d") == F.col("__full")), "left").drop("__d", "__p", "__full")
+        best.append(F.col(f"__best{i}"))
+    return parts.withColumn("__best", F.greatest(*best))
+
+
+def _by_expression(parts: DataFrame, rules: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
+    """The same by all expressions of every distinct (host, path): repeated URLs are judged once; those without a host are not joined."""
+    rules = F.broadcast(rules) if broadcast else rules
+    some = parts.where("host != ''")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
-    wide = each.where("host != ''").select("host", "path", F.explode(suffixes).alias("__h"), prefixes.alias("__p")).select("host", "path", "__h", F.explode("__p").alias("__p"))
+    wide = some.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("__h"), prefixes.alias("__p")).select("host", "path", "__h", F.explode("__p").alias("__p"))
     wide = wide.withColumn("__digest_url", F.sha2(F.concat("__h", F.lit("\n"), "__p"), 256)).withColumn("__prefix", F.substring("__digest_url", 1, 8))
-    hits = wide.join(rules, "__prefix").where("__digest_url = __digest")
-    best = F.max(F.struct(F.length("__rule").alias("n"), F.col("__verdict").alias("verdict"), F.col("__rule").alias("rule")))
-    judged = hits.groupBy("host", "path").agg(best.alias("__best"))
-    out = parts.join(judged, ["host", "path"], "left")
-    return out.select(*kept, "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(default)).alias("verdict"))
+    hits = wide.join(rules.drop("m", "n"), "__prefix").where("__digest_url = __digest")
+    judged = hits.groupBy("host", "path").agg(F.max(_found()).alias("__best"))
+    none = parts.where("host = ''").withColumn("__best", F.lit(None).cast("struct<n:int,verdict:string,rule:string>"))
+    return some.join(judged, ["host", "path"], "left").select(*parts.columns, "__best").unionByName(none)
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

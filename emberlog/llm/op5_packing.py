@@ -98,7 +98,7 @@ def pack(docs: DataFrame, file: str, kind: str = "word", capacity: int = CAPACIT
     """Pack every text of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null or empty text is the end id alone. Repeated rows are packed each for itself; a null doc_id stays null; other
-    columns are not read. No rows: no pieces. The histogram, the rank groups' sizes and the plan are what the driver sees: at
+    columns are not read; a text of any length is encoded whole and cut. No rows: no pieces. The histogram, the rank groups' sizes and the plan are what the driver sees: at
     most ``capacity`` lengths and ``capacity + RANK_GROUPS`` groups, whatever the number of documents.
     """
     spark = docs.sparkSession
@@ -139,7 +139,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the pieces of every document and their slots."""
+    """Pipeline stage: the pieces of every document and their slots; a null or empty text is its end id alone, repeated rows are packed each."""
     return pack(docs, public_tokenizers.path(FILE))
 
 

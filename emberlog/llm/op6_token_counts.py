@@ -1,9 +1,9 @@
 """Token counts by a map-side two-tier lookup.
 
-One scan finds frequent pre-tokens: each task keeps a bounded summary and passes on its most frequent ones, so
-occurrences never shuffle. The driver gives the best of them their lengths and broadcasts a compact hash table (its size is a
-parameter, whatever the corpus). The second scan looks pre-tokens up there, then in the worker's own table, and
-encodes what both lack. The first tier changes the cost only, never a count.
+The first tier is a compact hash table of frequent pre-tokens' lengths, broadcast to every task. Which pre-tokens are frequent is
+already known: a vocabulary holds the strings that were frequent where it was made, so its entries are the table (at most as many
+as the vocabulary has, under 2 MB, whatever the corpus). The second tier is the worker's own table; what both lack is encoded by
+the library's model. One scan, and no pre-token ever leaves its task. The first tier changes the cost only, never a count.
 """
 
 from __future__ import annotations
@@ -20,55 +20,29 @@ from pyspark.sql import types as T
 
 from .arrowtext import blocks, span_hashes
 from .shared import table
-from .tokencache import CachedTokenizer, HashTable, pretokens, worker
+from .tokencache import STAND_IN, CachedTokenizer, HashTable, pretokens, worker
 
 FILE, LIMIT = "byte_bpe_50k.json", 512
-#: Pre-tokens in the broadcast table (under 2 MB), in a task's report, and in a task's summary before it is cut.
-FREQUENT, REPORTED, SUMMARY = 65_536, 8_192, 262_144
 
 
-def frequent_pretokens(docs: DataFrame, kind: str, most: int = FREQUENT) -> list[bytes]:
-    """The pre-tokens that the tasks' reports name most often over all documents; ``most`` at the most."""
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, pieces = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
-        for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
-                if not len(data):
-                    continue
-                starts, ends, odd = pretokens(data, offsets, kind)
-                plain = ~odd[np.searchsorted(offsets, starts, "right") - 1]
-                starts, ends = starts[plain], ends[plain]
-                new, at, many = np.unique(span_hashes(data, starts, ends), return_index=True, return_counts=True)
-                often = many > 1
-                new, at, many = new[often], at[often], many[often]
-                text = data.tobytes()
-                named = np.array([text[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)] + [None], object)[:-1]
-                joined, where = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                counts = np.bincount(where, np.concatenate([counts, many]), len(joined)).astype(np.int64)
-                both = np.empty(len(joined), object)
-                both[where] = np.concatenate([pieces, named])
-                keys, pieces = joined, both
-                if len(keys) > SUMMARY:
-                    top = np.sort(np.argpartition(-counts, SUMMARY // 4)[: SUMMARY // 4])
-                    keys, counts, pieces = keys[top], counts[top], pieces[top]
-        top = np.argsort(-counts, kind="stable")[:REPORTED]
-        yield pa.RecordBatch.from_arrays([pa.array(pieces[top].tolist(), pa.binary()), pa.array(counts[top])], ["piece", "n"])
-
-    found = docs.select("text").mapInArrow(report, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most)
-    return [bytes(r.piece) for r in found.select("piece").collect()]
+def vocabulary_pieces(tokenizer: CachedTokenizer) -> list[bytes]:
+    """The vocabulary's entries as pre-tokens' bytes, in order of their ids."""
+    back = {c: b for b, c in STAND_IN.items()}
+    found = sorted(tokenizer.library.get_vocab().items(), key=lambda x: x[1])
+    names = [t.removesuffix("</w>") if tokenizer.kind == "word" else t for t, _ in found if t not in tokenizer.special]
+    return list(dict.fromkeys(bytes(back[c] for c in t) for t in names if t and all(c in back for c in t)))
 
 
 def count_tokens(docs: DataFrame, file: str, kind: str = "byte", limit: int = LIMIT, drop: tuple[str, ...] = ()) -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit to every row of ``docs`` (column text).
 
-    Null and empty texts have 0 bytes and tokens. Rows that repeat stay as many rows; columns of ``docs`` named like the
+    Null and empty texts have 0 bytes and tokens; texts of any length are counted whole; an empty table gives no rows. Rows that repeat stay as many rows; columns of ``docs`` named like the
     results are replaced, others but those in ``drop`` pass through. Special tokens' strings inside texts are read as the library does by default.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_bytes", "n_tokens", "over_limit", *drop)]
-    pieces = frequent_pretokens(docs, kind)
     library = CachedTokenizer(file, kind, 1)
+    pieces = vocabulary_pieces(library)
     keys = _keys(pieces)
     lengths = np.fromiter((len(library.piece_ids(p)) for p in pieces), np.int32, len(pieces))
     frequent = HashTable(max(1, len(pieces)))

@@ -3,12 +3,13 @@
 Documents are range-partitioned by identifier and sorted; each task encodes its range and writes one shard:
 prefix-compressed blocks, a sparse block index, a Bloom filter and a footer. A lookup asks the filter, bisects the
 index and reads one block. A task writes under a name of its own and the driver's manifest lists only what finished
-tasks wrote, so lost executors and repeated tasks leave at most files that nothing names.
+tasks wrote; what lost executors and repeated tasks left is deleted.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 import struct
 import uuid
 import zlib
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .arrowtext import mix
-from .shared import new_folder, table
+from .shared import files_of, new_folder, partitions, table
 from .tokencache import worker
 
 FILE, END_ID = "byte_bpe_50k.json", 2
@@ -48,6 +49,7 @@ def _filesystem(path: str):
     """pyarrow's filesystem of a folder in any store it knows, and the path in it."""
     from pyarrow import fs
 
+    path = re.sub("^s3[an]://", "s3://", path)  # the cluster's names for that store
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
@@ -177,7 +179,7 @@ def write_shards(docs: DataFrame, folder: str, file: str, kind: str = "byte", en
     doc_id stand together in order of their texts' hash; repeated rows are separate documents. No rows: no shards. The range
     key holds the text's hash too, so one repeated doc_id can be dealt over several tasks. The manifest has a row per shard.
     """
-    n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or partitions(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, out = worker(file, kind), None
@@ -203,12 +205,26 @@ def write_shards(docs: DataFrame, folder: str, file: str, kind: str = "byte", en
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("__h"))
     dealt = keyed.repartitionByRange(n, "doc_id", "__h").sortWithinPartitions("doc_id", "__h").select("doc_id", "text")
     rows = sorted(dealt.mapInArrow(write, "shard int, name string, n_docs bigint, n_ids bigint").collect())
+    _drop_unnamed(docs.sparkSession, folder, {r.name for r in rows})
     starts = np.cumsum([0, *(r.n_ids for r in rows)]).tolist()
     return [Row(shard=r.shard, path=f"{folder}/{r.name}", n_docs=r.n_docs, n_ids=r.n_ids, start=s) for r, s in zip(rows, starts, strict=False)]
 
 
+def _drop_unnamed(spark: SparkSession, folder: str, named: set[str]) -> None:
+    """Delete the shards of failed and repeated tasks, which no manifest names."""
+    where, files = files_of(spark, folder)
+    for status in files.listStatus(where) if named else ():
+        name = status.getPath().getName()
+        if name.endswith(".sst") and name not in named:
+            files.delete(status.getPath(), False)
+
+
 def read_shards(spark: SparkSession, manifest: list[Row]) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, read from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document, read from the files.
+
+    Null doc_ids come back null, repeated rows as often as they were written, empty texts with their end id alone. A document's
+    ids are read a block at a time, so a very long text is the most that is held. An empty manifest gives no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +243,11 @@ def read_shards(spark: SparkSession, manifest: list[Row]) -> DataFrame:
 
 def op7_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return read_shards(spark, write_shards(docs, new_folder(spark, "sst"), public_tokenizers.path(FILE)))
+    folder = new_folder(spark, "sst")
+    manifest = write_shards(docs, folder, public_tokenizers.path(FILE))
+    where, files = files_of(spark, folder)
+    files.deleteOnExit(where)
+    return read_shards(spark, manifest)
 
 
 QUERIES = {"op7_sstable": op7_sstable}

@@ -50,12 +50,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    where, files = _files(spark, path)
+    where, files = files_of(spark, path)
     files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _files(spark: SparkSession, path: str):
+def files_of(spark: SparkSession, path: str):
+    """A path and the file system that holds it, in the JVM's terms."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -70,7 +71,7 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        where, files = _files(self.spark, self.path)
+        where, files = files_of(self.spark, self.path)
         files.delete(where, True)
 
     def write(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ _AFTER_C3[[0x97, 0xB7]] = OTHER
 
 #: The printable stand-in of each byte in byte-level vocabularies: itself where printable, else the next from 256 on.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_STAND_IN = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SELF}))}
+STAND_IN = {b: chr(b) for b in _SELF} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_SELF}))}
 
 
 def classes(data: np.ndarray) -> np.ndarray:
@@ -160,7 +160,7 @@ class CachedTokenizer:
         self.ids, self.used = np.zeros(4 * self.entries, np.uint16), 0
 
     def piece_ids(self, piece: bytes) -> list[int]:
-        return [t.id for t in self.library.model.tokenize(piece.decode("latin-1").translate(_STAND_IN))]
+        return [t.id for t in self.library.model.tokenize(piece.decode("latin-1").translate(STAND_IN))]
 
     def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         keys, at = np.unique(keys, return_index=True)

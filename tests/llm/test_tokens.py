@@ -110,3 +110,19 @@ def test_plan_is_best_fit_decreasing():
             assert (filled[first : first + n] == offset).all()
             filled[first : first + n] += length * each
         assert sorted(50 - filled) == sorted(rooms) and sum(p[3] * p[4] for p in plan.tolist()) == len(lengths)
+
+
+def test_store_names():
+    """The names that clusters give to stores are understood, without reaching them."""
+    for name in ("s3a://bucket/folder", "s3n://bucket/folder"):
+        store, place = op7_sstable._filesystem(f"{name}?region=us-east-1")
+        assert store.type_name == "s3" and place == "bucket/folder"
+    assert op7_sstable._filesystem("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_unnamed_shards_go(spark, docs, tmp_path):
+    folder = tmp_path / "sst"
+    folder.mkdir()
+    (folder / "shard-000000-left.sst").write_bytes(b"of a failed task")
+    manifest = op7_sstable.write_shards(docs, f"file://{folder}", public_tokenizers.path(op7_sstable.FILE), shards=2)
+    assert sorted(p.name for p in folder.glob("*.sst")) == sorted(m.path.rsplit("/", 1)[1] for m in manifest)

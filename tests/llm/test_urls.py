@@ -1,3 +1,5 @@
+import pytest
+
 from emberlog.llm.op10_url_filter import RULES, filter_urls, rule_table
 
 URLS = [
@@ -7,11 +9,12 @@ URLS = [
 ]
 
 
-def test_rules(spark):
+@pytest.mark.parametrize("shapes", [32, 0])
+def test_rules(spark, shapes):
     pages = spark.createDataFrame([(i, u, "x", 1) for i, u, *_ in URLS], "page_id long, url string, host string, verdict int")
-    got = sorted(tuple(map(str, (r.page_id, r.url, r.host, r.path, r["rule"], r.verdict))) for r in filter_urls(pages, rule_table(spark, RULES)).collect())
+    got = sorted(tuple(map(str, (r.page_id, r.url, r.host, r.path, r["rule"], r.verdict))) for r in filter_urls(pages, rule_table(spark, RULES), most_shapes=shapes).collect())
     assert got == sorted(tuple(map(str, u)) for u in URLS)
-    assert filter_urls(pages.limit(0), rule_table(spark, RULES)).count() == 0
-    assert filter_urls(pages, rule_table(spark, RULES).limit(0)).where("verdict != 'allow' or rule is not null").count() == 0
+    assert filter_urls(pages.limit(0), rule_table(spark, RULES), most_shapes=shapes).count() == 0
+    assert filter_urls(pages, rule_table(spark, RULES).limit(0), most_shapes=shapes).where("verdict != 'allow' or rule is not null").count() == 0
     odd = rule_table(spark, [*RULES, (None, "/", "block"), ("x.net", "/es/1", "allow"), ("X.NET", "/es/1", "block")])
-    assert {r.page_id: (r["rule"], r.verdict) for r in filter_urls(pages, odd).collect()}[6] == ("x.net/es/1", "block")
+    assert {r.page_id: (r["rule"], r.verdict) for r in filter_urls(pages, odd, most_shapes=shapes).collect()}[6] == ("x.net/es/1", "block")
