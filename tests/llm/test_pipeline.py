@@ -31,3 +31,21 @@ def test_stages(spark):
     packed = pipeline.STAGES[-1][1](spark, steps[-1], FOLDER)
     assert {r.doc_id for r in packed.collect()} == set(texts[4])
     assert pipeline.run(spark, FOLDER).count() == packed.count()
+
+
+def test_edge_cases(spark, tmp_path):
+    """Null and empty texts, repeated rows, an empty table and columns named like the operators' own."""
+    good = spark.read.parquet(f"{FOLDER}/documents.parquet").where("length(text) > 300")
+    odd = good.limit(30).union(good.limit(30)).union(good.limit(2).selectExpr("doc_id + 100000", "cast(null as string)", "lang", "source", "n_chars"))
+    odd = odd.union(good.limit(2).selectExpr("cast(null as bigint)", "''", "cast(null as string)", "source", "n_chars")).selectExpr("*", "'mine' as kept", "-7 as n_words", "-8 as n_removed", "'x' as class_key")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    step = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+    rows = step.collect()
+    assert {(r.kept, r.n_words, r.n_removed, r.class_key) for r in rows} == {("mine", -7, -8, "x")} and len({r.doc_id for r in rows}) == len(rows) <= 30
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
