@@ -19,7 +19,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written and read again before the next."""
+    """All stages over the documents, each written and read again before the next.
+
+    Null and empty texts have no words and go with the first stage; repeated rows are copies, of which one stays; texts of any length are
+    taken whole; an empty table gives no rows. Stages carry all columns of the documents, whatever their names.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
