@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codec import cut_text, is_ephemeral, leading_zero_bits
-from .visibility import VANISH
+from .state import expiration_of
+from .visibility import VANISH, aimed_at, vanish_markers
 
 REPORT, MAX_REPORT_TARGETS = 1984, 64
 
@@ -28,6 +30,7 @@ class Policy:
     reader: str | None = None
     repost_guard: bool = True
     protected: bool = True
+    relays: tuple[str, ...] | None = None
 
 
 def timestamp_reason(p: Policy, created_at: Column, kind: Column, expiration: Column | None = None) -> Column:
@@ -48,7 +51,7 @@ def first_reason(log: DataFrame, p: Policy, banned_events: DataFrame | None = No
     if vanished is not None:
         out = out.join(vanished.groupBy("pubkey").agg(F.max("vanished_at").alias("__v")), "pubkey", "left")
     has = lambda name: F.coalesce(F.col(flags[name]), F.lit(False)) if name in flags else F.lit(False)
-    reason = timestamp_reason(p, F.col("created_at"), F.col("kind"))
+    reason = timestamp_reason(p, F.col("created_at"), F.col("kind"), expiration_of())
     if p.allowed_kinds is not None:
         reason = reason.when(~F.col("kind").isin(*p.allowed_kinds) if p.allowed_kinds else F.lit(True), "kind not allowed")
     reason = reason.when(has("banned event"), "event banned").when(has("banned author"), "author banned")
@@ -56,6 +59,8 @@ def first_reason(log: DataFrame, p: Policy, banned_events: DataFrame | None = No
         reason = reason.when(~has("allowed"), "author not allowed")
     if vanished is not None:
         reason = reason.when((F.col("created_at") <= F.col("__v")) & (F.col("kind") != VANISH), "author vanished")
+    if p.relays is not None:
+        reason = reason.when((F.col("kind") == VANISH) & ~aimed_at(p.relays), "vanish request for another relay")
     if p.min_pow:
         reason = reason.when(leading_zero_bits(F.col("id")) < p.min_pow, "not enough work")
     if p.repost_guard:
@@ -81,10 +86,20 @@ def within_author_quota(log: DataFrame, quota: int, stored: DataFrame | None = N
 
 
 def batches_within_quota(log: DataFrame, quota: int, batch: int, stored: int = 0) -> DataFrame:
-    """batch_no, n, accepted: batches of ``batch`` arrivals; one that would go beyond the global quota is refused whole."""
+    """batch_no, n, accepted: batches of ``batch`` arrivals; one that would go beyond the global quota is refused whole and does not count."""
     sizes = log.groupBy(F.floor((F.col("lev_id")) / batch).cast("long").alias("batch_no")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("batch_no"))  # one row for each batch
-    return sizes.withColumn("accepted", before + stored <= quota)
+
+    def accept(batches):
+        total = stored
+        for pdf in batches:
+            said = []
+            for n in pdf["n"]:
+                said.append(total + n <= quota)
+                total += n * said[-1]
+            yield pdf.assign(accepted=said)
+
+    # What a batch may do depends on all before it: one task reads a row for each batch, in order, and holds one number.
+    return sizes.repartition(1).sortWithinPartitions("batch_no").mapInPandas(accept, "batch_no bigint, n bigint, accepted boolean")
 
 
 def pow_bits(log: DataFrame) -> DataFrame:
@@ -100,26 +115,34 @@ def report_queue(log: DataFrame, most: int = MAX_REPORT_TARGETS) -> DataFrame:
 
 
 ACCEPT, REJECT, SHADOW = "accept", "reject", "shadowReject"
+#: What a sender is told of each outcome: whether it counts as accepted, and the message.
 MESSAGES = {"written": (True, ""), "duplicate": (True, "duplicate: have this event"), "replaced": (True, "replaced: have newer event"), "deleted": (False, "blocked: event deleted"), ACCEPT: (True, ""), REJECT: (False, "blocked"), SHADOW: (True, "")}
 
 
+def answers(outcomes: DataFrame, column: str = "status") -> DataFrame:
+    """``outcomes`` with ok and message; an outcome without a message of its own is not accepted."""
+    said = F.create_map(*[F.lit(x) for k, (ok, text) in MESSAGES.items() for x in (k, f"{int(ok)}{text}")])
+    one = F.coalesce(F.try_element_at(said, F.col(column)), F.lit("0"))
+    return outcomes.withColumn("ok", F.substring(one, 1, 1) == "1").withColumn("message", F.substring(one, 2, 200))
+
+
 def apply_policy(log: DataFrame, policy: Callable[[dict], str]) -> DataFrame:
     """The log with action: a callable's verdict on every event; an error or an unknown verdict rejects. Shadow-rejected events answer OK but are not stored."""
 
     def judge(batches):
-        for pdf in batches:
+        for batch in batches:
             verdicts = []
-            for row in pdf[columns].to_dict("records"):
+            for row in batch.select(columns).to_pylist():
                 try:
                     said = policy(row)
                 except Exception:  # a failing policy must not admit anything
                     said = REJECT
                 verdicts.append(said if said in (ACCEPT, REJECT, SHADOW) else REJECT)
-            yield pd.DataFrame({"lev_id": pdf["lev_id"], "action": verdicts})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(verdicts, pa.string())], names)
 
-    columns = [c for c in ("lev_id", "created_at", "pubkey", "id", "kind", "content") if c in log.columns]
-    verdicts = log.select(*columns).mapInPandas(judge, "lev_id bigint, action string")
-    return log.join(verdicts, "lev_id")
+    names = [*log.columns, "action"]
+    columns = [c for c in ("lev_id", "created_at", "pubkey", "id", "kind", "content") if c in names]
+    return log.mapInArrow(judge, T.StructType([*log.schema.fields, T.StructField("action", T.StringType())]))
 
 
 def fold_control(control: DataFrame) -> DataFrame:
@@ -139,3 +162,65 @@ def write_permitted(authors: DataFrame, state: DataFrame, roles: DataFrame, allo
     out = authors.join(of("ban"), "pubkey", "left").join(of("allow"), "pubkey", "left").join(roles.select("pubkey").distinct().withColumn("__role", F.lit(True)), "pubkey", "left")
     allowed = F.coalesce("__allow", F.lit(False)) | F.coalesce("__role", F.lit(False)) | F.lit(not allow_list_only)
     return out.select("pubkey", (~F.coalesce("__ban", F.lit(False)) & allowed).alias("permitted"))
+
+
+# -- management -------------------------------------------------------------------------------------------------------
+
+#: Bounds of the moderation state, and the roles that have a meaning of their own.
+MAX_RECORDS, MAX_ROLES, MAX_ROLES_OF_AUTHOR, MAX_REASON_BYTES = 100_000, 1_000, 64, 512
+ADMIN, MODERATOR = "admin", "moderator"
+
+
+def fold_roles(control: DataFrame) -> DataFrame:
+    """pubkey, role: the assignments that a control log (seq, method, subject, role) leaves.
+
+    putrole and deleterole act on ``role`` alone, assignrole and unassignrole on subject and role. Deleting a role strips it from all
+    who have it; assigning a role that does not exist at the time does nothing, built-in roles always exist. An author keeps the
+    first 64 of the roles in force.
+    """
+    of = lambda *methods: control.where(F.col("method").isin(*methods))
+    last = of("assignrole", "unassignrole").groupBy(F.col("subject").alias("pubkey"), "role").agg(F.max(F.struct("seq", "method")).alias("x")).where("x.method = 'assignrole'").select("pubkey", "role", F.col("x.seq").alias("seq"))
+    made = of("putrole", "deleterole").select("role", F.col("seq").alias("__at"), "method")
+    seen = last.join(made, "role", "left").groupBy("pubkey", "role", "seq").agg(
+        F.max_by("method", F.when(F.col("__at") < F.col("seq"), F.col("__at"))).alias("before"), F.coalesce(F.max((F.col("method") == "deleterole") & (F.col("__at") > F.col("seq"))), F.lit(False)).alias("stripped")
+    )
+    exists = F.col("role").isin(ADMIN, MODERATOR, "member") | F.coalesce(F.col("before") == "putrole", F.lit(False))
+    place = F.row_number().over(Window.partitionBy("pubkey").orderBy("seq", "role"))
+    return seen.where(exists & ~F.col("stripped")).withColumn("__n", place).where(F.col("__n") <= MAX_ROLES_OF_AUTHOR).select("pubkey", "role")
+
+
+def management_levels(authors: DataFrame, roles: DataFrame, operators: tuple[str, ...] = ()) -> DataFrame:
+    """pubkey, level: admin for operators and the admin role, then moderator, else none."""
+    own = roles.groupBy("pubkey").agg(F.max(F.when(F.col("role") == ADMIN, 2).when(F.col("role") == MODERATOR, 1).otherwise(0)).alias("__l"))
+    level = F.when(F.col("pubkey").isin(*operators) | (F.col("__l") == 2), ADMIN).when(F.col("__l") == 1, MODERATOR).otherwise("none")
+    return authors.join(own, "pubkey", "left").select("pubkey", level.alias("level"))
+
+
+def accepted_control(control: DataFrame) -> DataFrame:
+    """The control rows within bounds: reasons of at most 512 bytes, and of each kind of record the first 100,000 subjects (1,000 roles)."""
+    rows = control.where(F.coalesce(F.octet_length("reason"), F.lit(0)) <= MAX_REASON_BYTES)
+    adds = F.col("method").rlike("^(ban|allow|block|put)")
+    first = rows.where(adds).groupBy("method", "subject").agg(F.min("seq").alias("__first"))
+    most = F.when(F.col("method") == "putrole", MAX_ROLES).otherwise(MAX_RECORDS)
+    # Places are taken within a method; a method's subjects beyond its bound are what is refused.
+    late = first.withColumn("__n", F.row_number().over(Window.partitionBy("method").orderBy("__first"))).where(F.col("__n") > most).select("method", "subject")
+    return rows.join(late, ["method", "subject"], "left_anti")
+
+
+def open_reports(reports: DataFrame, state: DataFrame) -> DataFrame:
+    """The report queue (target, ...) without the events that were banned or allowed: they are judged."""
+    judged = state.where((F.col("thing") == "event") & F.col("state").isin("ban", "allow")).select(F.col("subject").alias("target"))
+    return reports.join(judged, "target", "left_anti")
+
+
+def judge_batch(batch: DataFrame, p: Policy, control: DataFrame, vanished: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """A writer's batch with the first reason why an event is refused.
+
+    Management rows that arrived with the batch count before any of its events, and so do the batch's own vanish requests, wherever
+    they stand in it: an earlier event of the same author is refused too.
+    """
+    state = fold_control(control)
+    banned = lambda thing, name: state.where((F.col("thing") == thing) & (F.col("state") == "ban")).select(F.col("subject").alias(name))
+    own = vanish_markers(batch, list(p.relays or ()))
+    markers = own if vanished is None else own.unionByName(vanished.select("pubkey", "vanished_at"))
+    return first_reason(batch, p, banned("event", "id"), banned("pubkey", "pubkey"), vanished=markers, stored=stored)

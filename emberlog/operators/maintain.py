@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.filters import Filter, predicate
+from ..plans.filters import NO_UNTIL, Filter, stored_predicate
 
 INDEX_COLUMNS = ("index_name", "key", "lev_id")
 
@@ -19,9 +19,14 @@ def expected_index(log: DataFrame) -> DataFrame:
 
 def check_integrity(log: DataFrame, index: DataFrame) -> DataFrame:
     """The entries that an index lacks (missing) or has beside the log (extra)."""
-    want, have = expected_index(log).distinct(), index.select(*INDEX_COLUMNS).distinct()
-    on = list(INDEX_COLUMNS)
-    return want.join(have, on, "left_anti").withColumn("problem", F.lit("missing")).unionByName(have.join(want, on, "left_anti").withColumn("problem", F.lit("extra")))
+    both = expected_index(log).withColumn("__w", F.lit(True)).unionByName(index.select(*INDEX_COLUMNS).withColumn("__w", F.lit(False)))
+    seen = both.groupBy(*INDEX_COLUMNS).agg(F.bool_or("__w").alias("want"), F.bool_or(~F.col("__w")).alias("have"))
+    return seen.where(F.col("want") != F.col("have")).select(*INDEX_COLUMNS, F.when(F.col("want"), "missing").otherwise("extra").alias("problem"))
+
+
+def rebuilt_index(log: DataFrame) -> DataFrame:
+    """The index that a log must have, as it is written anew after check_integrity found problems."""
+    return expected_index(log).distinct()
 
 
 def integrity_totals(problems: DataFrame) -> DataFrame:
@@ -43,28 +48,42 @@ def payload_stats(log: DataFrame, column: str = "content") -> DataFrame:
     return log.agg(F.count("*").alias("records"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes"), F.max(F.octet_length(column)).alias("largest"))
 
 
-def log_digest(log: DataFrame, payload: str = "payload", buckets: int = 4096) -> DataFrame:
-    """n and digest of a log in order of lev_id: rows are hashed, then ordered runs of their hashes, then the runs' hashes.
+DIGEST_BITS, DIGEST_LEVELS = 13, 5
+
 
-    The order matters and the digest is the same however the log is stored: a run is a range of lev_ids, so only ``buckets`` hashes at
-    the most meet in one place.
+def log_digest(log: DataFrame, payload: str = "payload") -> DataFrame:
+    """n and digest of a log in order of lev_id: rows are hashed, then runs of their hashes, then runs of those, five times.
+
+    The order matters and the digest is the same however the log is stored. A run is a range of 2^13 numbers, so that many hashes
+    (512 KB) meet in one place at the most, and five levels cover all 64-bit numbers. An empty log has the hash of nothing. Rows of
+    one lev_id are in order of their hashes.
     """
     framed = F.concat(F.col("lev_id").cast("string"), F.lit(":"), F.octet_length(payload).cast("string"), F.lit(":"), F.col(payload))
-    rows = log.select("lev_id", F.sha2(framed, 256).alias("h"))
-    last = log.agg((F.floor(F.max("lev_id") / buckets) + 1).alias("width"))
-    runs = rows.crossJoin(F.broadcast(last)).groupBy(F.floor(F.col("lev_id") / F.col("width")).alias("run"))
-    hashed = runs.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lev_id", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
-    return hashed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
+    rows = log.select(F.col("lev_id").alias("at"), F.sha2(framed, 256).alias("h"), F.lit(1).cast("bigint").alias("n"))
+    for _ in range(DIGEST_LEVELS):
+        runs = rows.groupBy(F.shiftright("at", DIGEST_BITS).alias("run"))
+        inner = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])
+        rows = runs.agg(F.sum("n").alias("n"), F.sha2(F.array_join(inner, ""), 256).alias("h")).select(F.col("run").alias("at"), "h", "n")
+    last = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])  # at most two: negative numbers and the rest
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(last, ""), 256).alias("digest"))
 
 
 def delete_matching(log: DataFrame, filters: list[Filter], now: int | None = None, age: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(what stays, what goes): the events that any filter matches, and those at least ``age`` seconds old; count the second for a dry run."""
+    """(what stays, what goes): the events that any filter matches, and those at least ``age`` seconds old; count the second for a dry run.
+
+    A search is matched by the event's indexed terms; limits play no part. ``age`` is an upper bound of time of its own, so a
+    filter with one is refused beside it, as is a call with neither filters nor ``age``.
+    """
     from functools import reduce
 
-    goes = reduce(lambda a, b: a | b, [predicate(f) for f in filters], F.lit(False) if filters else F.lit(age is not None))
+    if not filters and age is None:
+        raise ValueError("nothing says what to delete: give filters, an age, or both")
+    if age is not None and any(f.until != NO_UNTIL for f in filters):
+        raise ValueError("an age and a filter's until both bound the time from above: give one")
+    goes = reduce(lambda a, b: a | b, [stored_predicate(f) for f in filters]) if filters else F.lit(True)
     if age is not None:
-        goes = goes & (F.col("created_at") <= now - age)
-    return log.where(~goes), log.where(goes)
+        goes = goes & (F.col("created_at") <= now - min(age, now))
+    return log.where(~F.coalesce(goes, F.lit(False))), log.where(goes)
 
 
 def stored_per_author(log: DataFrame) -> DataFrame:

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.terms import all_terms, indexed_bigrams, indexed_terms
 from ..plans.filters import Filter, predicate
+from ..sources.store import postings
 
 Visible = Callable[[DataFrame], DataFrame]
 REQUEST_CAP = 2000
@@ -20,29 +20,29 @@ def _all(df: DataFrame) -> DataFrame:
     return df
 
 
-def run_filter(log: DataFrame, f: Filter, visible: Visible = _all) -> DataFrame:
+def run_filter(log: DataFrame, f: Filter, visible: Visible = _all, index: DataFrame | None = None) -> DataFrame:
     """A filter's newest visible events, at most its limit. A search filter is ranked: see search_filter."""
     if f.limit == 0:
         return log.where(F.lit(False))
     if f.search:
-        return search_filter(log, f, visible)
+        return search_filter(log, f, visible, index)
     return visible(log.where(predicate(f))).orderBy(*_NEWEST, ascending=False).limit(f.limit)
 
 
-def run_group(log: DataFrame, filters: list[Filter], cap: int | None = REQUEST_CAP, visible: Visible = _all) -> DataFrame:
+def run_group(log: DataFrame, filters: list[Filter], cap: int | None = REQUEST_CAP, visible: Visible = _all, index: DataFrame | None = None) -> DataFrame:
     """Filters in list order, each with its own limit; an event counts in every filter's limit but is sent once, where it came first.
 
     Adds filter_idx; at most ``cap`` distinct events in order of sending. The rows that meet in one place are
     at most the filters' limits, never the log.
     """
     if len(filters) > 1 and all(f.search for f in filters):
-        hits = reduce(DataFrame.unionByName, [run_filter(log, f, visible).withColumn("filter_idx", F.lit(i)) for i, f in enumerate(filters)])
+        hits = reduce(DataFrame.unionByName, [run_filter(log, f, visible, index).withColumn("filter_idx", F.lit(i)) for i, f in enumerate(filters)])
         best = hits.groupBy("lev_id").agg(F.max_by(F.struct(*hits.columns), F.struct("score", -F.col("filter_idx"))).alias("x")).select("x.*")
         ordered = best.orderBy("score", *_NEWEST, ascending=False)
         return ordered if cap is None else ordered.limit(cap)
     sent = []
     for i, f in enumerate(filters):
-        rows = run_filter(log, f, visible).withColumn("filter_idx", F.lit(i))
+        rows = run_filter(log, f, visible, index).withColumn("filter_idx", F.lit(i))
         order = F.struct(F.lit(0).cast("long").alias("a"), F.col("created_at").alias("b"), F.col("lev_id").alias("c")) if not f.search else F.struct(F.col("score").alias("a"), F.col("created_at").alias("b"), F.col("lev_id").alias("c"))
         sent.append(rows.withColumn("__order", order).select(*log.columns, "filter_idx", "__order"))
     rows = reduce(DataFrame.unionByName, sent)
@@ -83,15 +83,9 @@ def sketch_hex(registers: DataFrame) -> DataFrame:
 # -- ranked search ----------------------------------------------------------------------------------------------------
 
 
-def search_index(log: DataFrame) -> DataFrame:
-    """lev_id, terms and bigrams (both bounded, in document order) of every event."""
-    words = log.select("lev_id", all_terms(F.col("content")).alias("words"))
-    return words.select("lev_id", indexed_terms(F.col("words")).alias("terms"), indexed_bigrams(F.col("words")).alias("bigrams"))
-
-
-def document_frequency(log: DataFrame) -> DataFrame:
-    """term, df over all stored events, hidden ones too."""
-    return search_index(log).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def document_frequency(index: DataFrame) -> DataFrame:
+    """term, df over all stored events, hidden ones too, from their postings."""
+    return index.where(~F.col("pair")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def base_score(term_counts: list[Column]) -> Column:
@@ -99,23 +93,26 @@ def base_score(term_counts: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, [F.floor(F.lit(1_000_000_000) / (c + 1)).cast("long") * 100 for c in term_counts])
 
 
-def search_filter(log: DataFrame, f: Filter, visible: Visible = _all) -> DataFrame:
+def search_filter(log: DataFrame, f: Filter, visible: Visible = _all, index: DataFrame | None = None) -> DataFrame:
     """The best events of a search filter, with score: every term, and 2 * 10^9 for each adjacent pair of the query that stands in it.
 
-    The limit is taken before visibility: hidden events use it up. Document frequencies take one pass over the contents, which
-    counts only the query's terms.
+    The limit is taken before visibility: hidden events use it up. Document frequencies count hidden events too. ``index`` (the
+    postings of the log) is read for the query's terms only; without one the contents are tokenised here. The ranking
+    carries no contents: the best rows meet the log at the end.
     """
     terms = list(f.search.terms)
     pairs = [f"{a} {b}" for a, b in zip(f.search.phrase, f.search.phrase[1:], strict=False)]
-    words = log.withColumn("__words", all_terms(F.col("content")))
-    words = words.withColumn("__terms", indexed_terms(F.col("__words"))).withColumn("__pairs", indexed_bigrams(F.col("__words")))
-    counts = words.agg(*[F.count_if(F.array_contains("__terms", t)).alias(f"df{i}") for i, t in enumerate(terms)])
-    hits = words.where(predicate(f)).where(reduce(lambda a, b: a & b, [F.array_contains("__terms", t) for t in terms]))
-    bonus = reduce(lambda a, b: a + b, [F.when(F.array_contains("__pairs", p), F.lit(2_000_000_000).cast("long")).otherwise(0) for p in pairs], F.lit(0).cast("long"))
-    scored = hits.crossJoin(F.broadcast(counts))  # one row
-    scored = scored.withColumn("score", base_score([F.col(f"df{i}") for i in range(len(terms))]) + bonus)
-    top = scored.select(*log.columns, "score").orderBy(F.desc("score"), F.desc("created_at"), F.asc("id"), F.desc("lev_id")).limit(f.limit)
-    return visible(top)
+    index = postings(log) if index is None else index
+    entries = index.where((~F.col("pair") & F.col("term").isin(*terms)) | (F.col("pair") & F.col("term").isin(*pairs)) if pairs else ~F.col("pair") & F.col("term").isin(*terms))
+    counts = entries.agg(*[F.count_if(~F.col("pair") & (F.col("term") == t)).alias(f"df{i}") for i, t in enumerate(terms)])
+    worth = reduce(lambda a, b: a + b, [F.when(F.col("pair") & (F.col("term") == p), 2_000_000_000).otherwise(0) for p in pairs], F.lit(0)).cast("long")
+    hits = entries.groupBy("lev_id").agg(F.count_if(~F.col("pair")).alias("__n"), F.sum(worth).alias("__bonus")).where(F.col("__n") == len(terms))
+    narrow = log.where(predicate(f)).select("lev_id", "created_at", "id")
+    scored = narrow.join(hits, "lev_id").crossJoin(F.broadcast(counts))  # one row
+    scored = scored.withColumn("score", base_score([F.col(f"df{i}") for i in range(len(terms))]) + F.col("__bonus"))
+    order = (F.desc("score"), F.desc("created_at"), F.asc("id"), F.desc("lev_id"))
+    best = scored.select("lev_id", "created_at", "id", "score").orderBy(*order).limit(f.limit).select("lev_id", "score")  # at most the limit
+    return visible(log.join(F.broadcast(best), "lev_id").select(*log.columns, "score").orderBy(*order))
 
 
 def page_before(log: DataFrame, f: Filter, oldest: int) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import address_parts, is_addressable, is_replaceable
-from .visibility import GIFT_WRAPS, VANISH
+from .visibility import GIFT_WRAPS, VANISH, aimed_at
 
 DELETE = 5
 
@@ -79,8 +79,9 @@ def replay_rows(rows: list[dict], relays: tuple[str, ...] = ()) -> list[str]:
 
     An event that a later one removed has status removed.
     """
-    from ..functions.codec import CodecError, parse_address
+    from ..functions.codec import CodecError, parse_address, relay_name
 
+    relays = {relay_name(r) for r in relays} - {""}
     live: dict[str, int] = {}
     by_key: dict[tuple, str] = {}
     seen_tombs: dict[tuple, set[int]] = {}
@@ -110,7 +111,7 @@ def replay_rows(rows: list[dict], relays: tuple[str, ...] = ()) -> list[str]:
         if e["id"] in live:
             status[i] = "duplicate"
             continue
-        if kind == VANISH and not any(t[0] == "relay" and len(t) > 1 and (t[1] == "ALL_RELAYS" or t[1] in relays) for t in e["tags"]):
+        if kind == VANISH and not any(t[0] == "relay" and len(t) > 1 and (t[1] == "ALL_RELAYS" or relay_name(t[1]) in relays) for t in e["tags"]):
             status[i] = "deleted"
             continue
         if kind != VANISH and (at <= vanished.get(author, -1) or any(p in vanished for p in recipients(e))):
@@ -165,7 +166,7 @@ def replay_rows(rows: list[dict], relays: tuple[str, ...] = ()) -> list[str]:
     return status
 
 
-def replay(log: DataFrame, relays: tuple[str, ...] = (), salt: Column | None = None) -> DataFrame:
+def replay(log: DataFrame, relays: tuple[str, ...] = ()) -> DataFrame:
     """lev_id and status of every event after replay in order of (created_at, id), author by author.
 
     Deletions, replacements and vanish requests act on their author's own events, so authors are independent groups; gift wraps
@@ -181,8 +182,7 @@ def replay(log: DataFrame, relays: tuple[str, ...] = (), salt: Column | None = N
     own = log.select("lev_id", "id", "pubkey", "kind", "created_at", "tags").groupBy("pubkey").applyInPandas(one, "lev_id bigint, status string")
     wraps = log.where(F.col("kind").isin(*GIFT_WRAPS)).select("lev_id", "id", F.explode("idx_tags").alias("t")).where("t.name = 'p'").select("lev_id", "id", F.col("t.value").alias("pubkey"))
     ids, _ = tombstones(log.join(own.where("status = 'written'"), "lev_id", "left_semi"))
-    aimed = F.exists("tags", lambda t: (F.get(t, F.lit(0)) == "relay") & F.get(t, F.lit(1)).isin("ALL_RELAYS", *relays))
-    gone = wraps.join(ids, ["id", "pubkey"], "left_semi").select("lev_id").union(wraps.join(log.where((F.col("kind") == VANISH) & aimed).select("pubkey"), "pubkey", "left_semi").select("lev_id")).distinct()
+    gone = wraps.join(ids, ["id", "pubkey"], "left_semi").select("lev_id").union(wraps.join(log.where((F.col("kind") == VANISH) & aimed_at(relays)).select("pubkey"), "pubkey", "left_semi").select("lev_id")).distinct()
     return own.join(gone.withColumn("__g", F.lit(True)), "lev_id", "left").select("lev_id", F.when(F.col("__g") & (F.col("status") == "written"), "removed").otherwise(F.col("status")).alias("status"))
 
 

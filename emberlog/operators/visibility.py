@@ -6,9 +6,11 @@ shuffles them otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import relay_name, relay_url
+
 GIFT_WRAPS = (1059, 21059)
 VANISH = 62
 
@@ -32,12 +34,15 @@ def moderation_reason(log: DataFrame, banned_events: DataFrame, banned_authors:
     return flagged.withColumn("reason", F.when(F.col("__e"), "event banned").when(F.col("__a"), "author banned").when(~kind_ok, "kind not allowed")).drop("__e", "__a")
 
 
+def aimed_at(relays) -> Column:
+    """Whether a vanish request names one of these relays, or all."""
+    names = {relay_name(x) for x in relays} - {""}
+    return F.exists("tags", lambda t: (F.get(t, F.lit(0)) == "relay") & ((F.get(t, F.lit(1)) == "ALL_RELAYS") | relay_url(F.get(t, F.lit(1))).isin(*names)))
+
+
 def vanish_markers(log: DataFrame, targets: list[str]) -> DataFrame:
     """pubkey, vanished_at: the latest vanish request of each author that names one of these relays, or all."""
-    from ..functions.codec import relay_url
-
-    aimed = F.exists("tags", lambda t: (F.get(t, F.lit(0)) == "relay") & ((F.get(t, F.lit(1)) == "ALL_RELAYS") | relay_url(F.get(t, F.lit(1))).isin(*targets)))
-    return log.where((F.col("kind") == VANISH) & aimed).groupBy("pubkey").agg(F.max("created_at").alias("vanished_at"))
+    return log.where((F.col("kind") == VANISH) & aimed_at(targets)).groupBy("pubkey").agg(F.max("created_at").alias("vanished_at"))
 
 
 def without_vanished(log: DataFrame, markers: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import codec
 from ..functions.terms import all_terms, indexed_terms, live_terms
 from ..operators import admission, maintain, query, sketch, state, subscriptions, visibility
 from ..sources import log as source
+from ..sources.store import kept, postings
 from ..streaming import live
 from .filters import parse_filter, parse_group, sketch_offset, without_required_tags
 
@@ -26,11 +27,24 @@ def _event(n: int) -> str:
     return hashlib.sha256(f"e{n}".encode()).hexdigest()
 
 
+def plain_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's log, written once a session, clustered by kind and time."""
+    return kept(spark, "log", f"{sf_dir}/events.parquet", lambda: source.events_log(spark, sf_dir), ["kind", "created_at", "lev_id"], ("id", "pubkey"))
+
+
 def tagged_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The adapter's log with a second t tag (the user's last digit), so that events have several tags."""
-    users = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("lev_id"), F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")).alias("u"), "value", "user_id")
-    rows = source.events_log(spark, sf_dir).join(users, "lev_id")
-    return rows.withColumn("tags", F.concat("tags", F.array(F.array(F.lit("t"), F.col("u"))))).withColumn("idx_tags", source.indexed(F.col("tags")))
+    """The adapter's log with a second t tag (the user's last digit), so that events have several tags; written once a session."""
+
+    def make() -> DataFrame:
+        rows = source.events_log(spark, sf_dir, ("value", "user_id")).withColumn("u", F.concat(F.lit("u"), (F.col("user_id") % 10).cast("string")))
+        return rows.withColumn("tags", F.concat("tags", F.array(F.array(F.lit("t"), F.col("u"))))).withColumn("idx_tags", source.indexed(F.col("tags")))
+
+    return kept(spark, "tagged", f"{sf_dir}/events.parquet", make, ["kind", "created_at", "lev_id"], ("id", "pubkey"))
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The postings of the documents' log, written once a session, clustered by term."""
+    return kept(spark, "postings", f"{sf_dir}/documents.parquet", lambda: postings(source.documents_log(spark, sf_dir)), ["term", "lev_id"])
 
 
 LOG = """log AS (
@@ -124,10 +138,10 @@ _EDGE = 1705200000
 _add("deep_page_2", lambda s, d: query.page_before(tagged_log(s, d), parse_filter(_PAGE), _EDGE).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE {_PAGE_WHERE} AND created_at < {_EDGE} ORDER BY created_at DESC, lev_id DESC LIMIT 20")
 _RANGE = "created_at BETWEEN 1704300000 AND 1704900000"
 for _name, _back in (("export_forward", False), ("export_reverse", True)):
-    _add(_name, lambda s, d, back=_back: source.export_rows(source.events_log(s, d), 1704300000, 1704900000, back).select("lev_id", "created_at", "id"), f"WITH {LOG} SELECT lev_id, created_at, id FROM log WHERE {_RANGE}")
-_add("point_read", lambda s, d: source.by_lev_id(source.events_log(s, d), 77).unionByName(source.by_id(source.events_log(s, d), _event(78))).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE lev_id = 77 OR id = '{_event(78)}'")
-_add("change_feed", lambda s, d: source.changes_from(source.events_log(s, d), 500).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE lev_id >= 500")
-_add("newest_arrival", lambda s, d: maintain.newest(source.events_log(s, d)), "SELECT max(event_id) AS lev_id FROM events")
+    _add(_name, lambda s, d, back=_back: source.export_rows(plain_log(s, d), 1704300000, 1704900000, back).select("lev_id", "created_at", "id"), f"WITH {LOG} SELECT lev_id, created_at, id FROM log WHERE {_RANGE}")
+_add("point_read", lambda s, d: source.by_lev_id(plain_log(s, d), 77).unionByName(source.by_id(plain_log(s, d), _event(78))).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE lev_id = 77 OR id = '{_event(78)}'")
+_add("change_feed", lambda s, d: source.changes_from(plain_log(s, d), 500).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE lev_id >= 500")
+_add("newest_arrival", lambda s, d: maintain.newest(plain_log(s, d)), "SELECT max(event_id) AS lev_id FROM events")
 
 # -- counts and sketches
 _COUNT = [{"kinds": [1]}, {"#t": ["u3"]}]
@@ -145,7 +159,7 @@ def _registers(where: str) -> str:
 _add("hll_registers", lambda s, d: query.sketch_registers(tagged_log(s, d).where("k = '5'"), _AT), f"WITH {LOG} {_registers("k = '5'")}")
 _add("hll_merge", lambda s, d: query.merge_registers(*[query.sketch_registers(tagged_log(s, d).where(w), _AT) for w in ("k = '5' and lev_id % 2 = 0", "k = '5' and lev_id % 2 = 1")]), f"WITH {LOG} {_registers("k = '5'")}")
 _add("hll_hex", lambda s, d: query.sketch_hex(query.sketch_registers(tagged_log(s, d).where("k = '5'"), _AT)), f"WITH {LOG}, r AS ({_registers("k = '5'")}) SELECT string_agg(lpad(lower(to_hex(coalesce(rank, 0))), 2, '0'), '' ORDER BY i) AS hll FROM (SELECT unnest(generate_series(0, 255)) AS i) LEFT JOIN r ON reg = i")
-_add("events_per_author", lambda s, d: maintain.stored_per_author(source.events_log(s, d)), f"WITH {LOG} SELECT pubkey, count(*) AS n FROM log GROUP BY 1")
+_add("events_per_author", lambda s, d: maintain.stored_per_author(plain_log(s, d)), f"WITH {LOG} SELECT pubkey, count(*) AS n FROM log GROUP BY 1")
 _add("latency_percentiles", lambda s, d: maintain.latencies(s.read.parquet(f"{d}/events.parquet"), "value", "event_type"), "SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.99) AS p99, max(value) AS largest FROM events GROUP BY 1")
 
 # -- search
@@ -168,17 +182,17 @@ SELECT lev_id, score FROM scored ORDER BY score DESC, lev_id DESC LIMIT {limit}"
 
 def _searched(name: str, filter_json: dict, terms: list[str], phrase: list[str], limit: int) -> None:
     f = parse_filter(filter_json)
-    _add(name, lambda s, d: query.search_filter(source.documents_log(s, d), f).select("lev_id", "score"), f"WITH {WORDS}, {_search_sql(terms, phrase, limit)}")
+    _add(name, lambda s, d: query.search_filter(source.documents_log(s, d), f, index=text_index(s, d)).select("lev_id", "score"), f"WITH {WORDS}, {_search_sql(terms, phrase, limit)}")
 
 
-_add("terms_df", lambda s, d: query.document_frequency(source.documents_log(s, d)), f"WITH {WORDS} SELECT term, count(*) AS df FROM term GROUP BY 1")
+_add("terms_df", lambda s, d: query.document_frequency(text_index(s, d)), f"WITH {WORDS} SELECT term, count(*) AS df FROM term GROUP BY 1")
 _searched("search_ranked", {"search": "the and", "limit": 40}, ["and", "the"], ["the", "and"], 40)
 _searched("search_phrase", {"search": "under the mit license lang:en", "limit": 20}, ["license", "mit", "the", "under"], ["under", "the", "mit", "license"], 20)
 _searched("search_rare", {"search": "apache", "limit": 500}, ["apache"], ["apache"], 500)
 _MULTI = [{"search": "license", "limit": 5}, {"search": "the", "limit": 5}]
 _add(
     "search_multi",
-    lambda s, d: query.run_group(source.documents_log(s, d), parse_group(_MULTI)).select("lev_id", "score"),
+    lambda s, d: query.run_group(source.documents_log(s, d), parse_group(_MULTI), index=text_index(s, d)).select("lev_id", "score"),
     f"""WITH {WORDS}, a AS (SELECT doc_id AS lev_id, CAST((1000000000 // (1 + (SELECT count(*) FROM term WHERE term = 'license'))) * 100 AS BIGINT) AS score FROM term WHERE term = 'license' ORDER BY doc_id DESC LIMIT 5),
 b AS (SELECT doc_id AS lev_id, CAST((1000000000 // (1 + (SELECT count(*) FROM term WHERE term = 'the'))) * 100 AS BIGINT) AS score FROM term WHERE term = 'the' ORDER BY doc_id DESC LIMIT 5)
 SELECT lev_id, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
@@ -186,7 +200,7 @@ SELECT lev_id, max(score) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM
 _MIXED = [{"search": "license", "limit": 5}, {"#l": ["de"], "limit": 5}]
 _add(
     "mixed_search_group",
-    lambda s, d: query.run_group(source.documents_log(s, d), parse_group(_MIXED)).select("lev_id", "filter_idx"),
+    lambda s, d: query.run_group(source.documents_log(s, d), parse_group(_MIXED), index=text_index(s, d)).select("lev_id", "filter_idx"),
     f"""WITH {WORDS}, a AS (SELECT doc_id AS lev_id, 0 AS f FROM term WHERE term = 'license' ORDER BY doc_id DESC LIMIT 5),
 b AS (SELECT doc_id AS lev_id, 1 AS f FROM documents WHERE lang = 'de' ORDER BY doc_id DESC LIMIT 5)
 SELECT lev_id, min(f) AS filter_idx FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""",
@@ -196,7 +210,7 @@ SELECT lev_id, min(f) AS filter_idx FROM (SELECT * FROM a UNION ALL SELECT * FRO
 def _hidden(s: SparkSession, d: str) -> DataFrame:
     banned = s.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select(F.sha2(F.concat(F.lit("d"), F.col("doc_id").cast("string")), 256).alias("id"))
     f = parse_filter({"search": "the", "limit": 100})
-    return query.search_filter(source.documents_log(s, d), f, lambda x: visibility.without_banned(x, banned_events=banned)).select("lev_id", "score")
+    return query.search_filter(source.documents_log(s, d), f, lambda x: visibility.without_banned(x, banned_events=banned), text_index(s, d)).select("lev_id", "score")
 
 
 _add("search_hidden_consumes_limit", _hidden, f"WITH {WORDS}, s AS (SELECT doc_id AS lev_id, CAST((1000000000 // (1 + (SELECT count(*) FROM term WHERE term = 'the'))) * 100 AS BIGINT) AS score FROM term WHERE term = 'the' ORDER BY doc_id DESC LIMIT 100) SELECT * FROM s WHERE lev_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -236,15 +250,17 @@ _add("vanish_recipient", lambda s, d: _vanished(s, d, "kind = 1059"), f"WITH {SO
 _add("restricted_reader", lambda s, d: visibility.for_reader(social_log(s, d), [1059, 7], _author(3)).select(*COLUMNS), f"WITH {SOCIAL} SELECT lev_id, created_at, kind FROM social WHERE kind NOT IN (1059, 7) OR (p IS NOT NULL AND (p = '{_author(3)}' OR pubkey = '{_author(3)}'))")
 
 # -- state
-_add("dedup_id", lambda s, d: state.dedup_ids(source.events_log(s, d).unionByName(source.events_log(s, d).where("lev_id % 3 = 0").withColumn("lev_id", F.col("lev_id") + 1_000_000))).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log")
+_add("dedup_id", lambda s, d: state.dedup_ids(plain_log(s, d).unionByName(plain_log(s, d).where("lev_id % 3 = 0").withColumn("lev_id", F.col("lev_id") + 1_000_000))).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log")
 _LATEST = "SELECT lev_id, created_at, kind FROM (SELECT *, row_number() OVER (PARTITION BY pubkey, kind, {d} ORDER BY created_at DESC, id) AS n FROM log WHERE kind = {kind}) WHERE n = 1"
-_add("latest_replaceable", lambda s, d: state.latest_state(source.events_log(s, d)).where("kind = 0").select(*COLUMNS), f"WITH {LOG} " + _LATEST.format(d="''", kind=0))
-_add("latest_addressable", lambda s, d: state.latest_state(source.events_log(s, d)).where("kind = 30023").select(*COLUMNS), f"WITH {LOG} " + _LATEST.format(d="k", kind=30023))
+_add("latest_replaceable", lambda s, d: state.latest_state(plain_log(s, d)).where("kind = 0").select(*COLUMNS), f"WITH {LOG} " + _LATEST.format(d="''", kind=0))
+_add("latest_addressable", lambda s, d: state.latest_state(plain_log(s, d)).where("kind = 30023").select(*COLUMNS), f"WITH {LOG} " + _LATEST.format(d="k", kind=30023))
 _TOMB = f"WITH {SOCIAL} SELECT lev_id, created_at, kind FROM social s WHERE NOT (kind <> 62 AND EXISTS (SELECT 1 FROM social t WHERE t.kind = 5 AND t.e = s.id AND t.pubkey = s.pubkey)) AND NOT (kind = 30023 AND EXISTS (SELECT 1 FROM social t WHERE t.kind = 5 AND t.a = s.k AND t.pubkey = s.pubkey AND t.created_at >= s.created_at))"
 _add("without_deleted", lambda s, d: state.without_deleted(social_log(s, d)).select(*COLUMNS), _TOMB)
 _add("tombstone_id", lambda s, d: state.tombstones(social_log(s, d))[0], f"WITH {SOCIAL} SELECT DISTINCT e AS id, pubkey FROM social WHERE kind = 5 AND e IS NOT NULL")
 _add("tombstone_address", lambda s, d: state.tombstones(social_log(s, d))[1], f"WITH {SOCIAL} SELECT CAST(30023 AS INT) AS kind, pubkey, a AS d, max(created_at) AS deleted_at FROM social WHERE kind = 5 AND a IS NOT NULL GROUP BY pubkey, a")
 _add("expire_sweep", lambda s, d: state.without_expired(tagged_log(s, d), F.col("created_at") + F.col("k").cast("int") * 10_000, 1_705_500_000).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE created_at + CAST(k AS INT) * 10000 > 1705500000 OR lev_id = (SELECT max(lev_id) FROM log)")
+_TIMES = lambda: F.when(F.col("k").cast("int") % 3 == 0, F.concat(F.lit("x"), "k")).when(F.col("k").cast("int") % 3 == 1, F.col("k")).otherwise(F.concat("k", F.lit("00")))
+_add("expiration_tag", lambda s, d: plain_log(s, d).withColumn("tags", F.array(F.array(F.lit("expiration"), _TIMES()), F.array(F.lit("expiration"), F.lit("5000")))).select("lev_id", state.expiration_of().alias("at")), f"WITH {LOG} SELECT lev_id, CASE WHEN CAST(k AS INT) % 3 = 2 THEN CAST(k AS BIGINT) * 100 END AS at FROM log")
 _add("replay_status", lambda s, d: state.status_counts(state.replay(social_log(s, d))))
 _add("no_resurrection", lambda s, d: state.replay(social_log(s, d)).where("status = 'written'").join(social_log(s, d), "lev_id").where("kind = 30023").select(*COLUMNS))
 _add("age_delete", lambda s, d: maintain.delete_matching(tagged_log(s, d), [parse_filter({"kinds": [20001]})], 1706000000, 86400)[0].select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE NOT (kind = 20001 AND created_at <= 1706000000 - 86400)")
@@ -252,7 +268,7 @@ _add("age_delete", lambda s, d: maintain.delete_matching(tagged_log(s, d), [pars
 # -- sets
 _mine, _theirs = "lev_id % 10 != 3", "lev_id % 10 != 5"
 for _name, _side, _a, _b in (("reconcile_have", "have", _mine, _theirs), ("reconcile_need", "need", _theirs, _mine)):
-    _add(_name, lambda s, d, side=_side: sketch.reconcile(source.events_log(s, d).where(_mine), source.events_log(s, d).where(_theirs)).where(F.col("side") == side), f"WITH {LOG} SELECT created_at, id, '{_side}' AS side FROM log WHERE {_a} AND NOT ({_b})")
+    _add(_name, lambda s, d, side=_side: sketch.reconcile(plain_log(s, d).where(_mine), plain_log(s, d).where(_theirs)).where(F.col("side") == side), f"WITH {LOG} SELECT created_at, id, '{_side}' AS side FROM log WHERE {_a} AND NOT ({_b})")
 
 
 def _fingerprint_sql(source_sql: str, key: str) -> str:
@@ -271,12 +287,23 @@ def _fingerprint_sql(source_sql: str, key: str) -> str:
     return f"WITH {LOG}, {steps} SELECT {key}, n, substr(sha256(unhex({' || '.join(byte(i) for i in range(8))} || {varint})), 1, 32) AS fp FROM {last}"
 
 
-_add("range_fingerprints", lambda s, d: sketch.fingerprints(sketch.split_range(source.events_log(s, d)), ["bucket"]), _fingerprint_sql("SELECT id, CAST(ntile(16) OVER (ORDER BY created_at, id) AS INT) AS bucket FROM log", "bucket"))
-_add("kind_fingerprints", lambda s, d: sketch.fingerprints(source.events_log(s, d), ["kind"]), _fingerprint_sql("SELECT id, kind FROM log", "kind"))
-_add("range_bounds", lambda s, d: sketch.range_bounds(source.events_log(s, d)), f"""WITH {LOG}, b AS (SELECT created_at, id, CAST(ntile(16) OVER w AS INT) AS bucket, lag(created_at) OVER w AS t, lag(id) OVER w AS i FROM log WINDOW w AS (ORDER BY created_at, id)),
+_add("range_fingerprints", lambda s, d: sketch.fingerprints(sketch.split_range(plain_log(s, d)), ["bucket"]), _fingerprint_sql("SELECT id, CAST(ntile(16) OVER (ORDER BY created_at, id) AS INT) AS bucket FROM log", "bucket"))
+_add("kind_fingerprints", lambda s, d: sketch.fingerprints(plain_log(s, d), ["kind"]), _fingerprint_sql("SELECT id, kind FROM log", "kind"))
+_add("range_bounds", lambda s, d: sketch.range_bounds(plain_log(s, d)), f"""WITH {LOG}, b AS (SELECT created_at, id, CAST(ntile(16) OVER w AS INT) AS bucket, lag(created_at) OVER w AS t, lag(id) OVER w AS i FROM log WINDOW w AS (ORDER BY created_at, id)),
 c AS (SELECT *, lag(bucket) OVER (ORDER BY created_at, id) AS last FROM b)
 SELECT bucket, created_at AS bound_at, CASE WHEN created_at <> t THEN '' ELSE substr(id, 1, 2 * (SELECT min(j) FROM generate_series(1, 32) g(j) WHERE substr(id, 1, 2 * j) <> substr(i, 1, 2 * j))) END AS bound_id FROM c WHERE last <> bucket""")
-_add("differing_ranges", lambda s, d: sketch.differing_ranges(source.events_log(s, d), source.events_log(s, d).where("lev_id % 977 != 5"), 3600), f"WITH {LOG} SELECT DISTINCT created_at // 3600 AS slot FROM log WHERE lev_id % 977 = 5")
+_add("prefix_fingerprints", lambda s, d: sketch.fingerprint_of(sketch.prefix_fingerprints(plain_log(s, d), ["kind"]), ["kind"]), _fingerprint_sql("SELECT a.id, b.kind FROM log a JOIN (SELECT DISTINCT kind FROM log) b ON a.kind <= b.kind", "kind"))
+
+
+def _updated(s: SparkSession, d: str) -> DataFrame:
+    """A tree after a batch: some items came, some went."""
+    rows = plain_log(s, d)
+    before = sketch.limb_sums(rows.where("lev_id % 10 < 7"), ["kind"])
+    return sketch.fingerprint_of(sketch.applied(before, rows.where("lev_id % 10 >= 7"), rows.where("lev_id % 10 = 1"), ["kind"]), ["kind"])
+
+
+_add("tree_update", _updated, _fingerprint_sql("SELECT id, kind FROM log WHERE lev_id % 10 <> 1", "kind"))
+_add("differing_ranges", lambda s, d: sketch.differing_ranges(plain_log(s, d), plain_log(s, d).where("lev_id % 977 != 5"), 3600), f"WITH {LOG} SELECT DISTINCT created_at // 3600 AS slot FROM log WHERE lev_id % 977 = 5")
 
 # -- standing queries
 _SUBS = [
@@ -313,9 +340,11 @@ def _judged(s: SparkSession, d: str) -> DataFrame:
 
 _add("first_reject_reason", lambda s, d: _judged(s, d).select("lev_id", "reason"), f"WITH {LOG} SELECT lev_id, {_REASON} AS reason FROM log")
 _add("reason_counts", lambda s, d: admission.reason_counts(_judged(s, d)), f"WITH {LOG} SELECT coalesce({_REASON}, 'admitted') AS reason, count(*) AS n FROM log GROUP BY 1")
-_add("pow_bits", lambda s, d: admission.pow_bits(source.events_log(s, d)), f"WITH {LOG} SELECT lev_id, CAST(4 * length(regexp_extract(id, '^0*')) + CASE WHEN substr(id, 1 + length(regexp_extract(id, '^0*')), 1) = '1' THEN 3 WHEN substr(id, 1 + length(regexp_extract(id, '^0*')), 1) IN ('2', '3') THEN 2 WHEN substr(id, 1 + length(regexp_extract(id, '^0*')), 1) IN ('4', '5', '6', '7') THEN 1 ELSE 0 END AS INT) AS bits FROM log")
-_add("quota_author", lambda s, d: admission.within_author_quota(source.events_log(s, d), 40, source.events_log(s, d).where("lev_id % 7 = 0")).select(*COLUMNS), f"WITH {LOG}, o AS (SELECT pubkey, count(*) AS c FROM log WHERE lev_id % 7 = 0 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY lev_id) AS n FROM log) SELECT lev_id, created_at, kind FROM r LEFT JOIN o USING (pubkey) WHERE n + coalesce(c, 0) <= 40")
-_add("quota_global", lambda s, d: admission.batches_within_quota(source.events_log(s, d), 4000, 512), f"WITH {LOG}, b AS (SELECT lev_id // 512 AS batch_no, count(*) AS n FROM log GROUP BY 1) SELECT batch_no, n, sum(n) OVER (ORDER BY batch_no) <= 4000 AS accepted FROM b")
+_add("pow_bits", lambda s, d: admission.pow_bits(plain_log(s, d)), f"WITH {LOG} SELECT lev_id, CAST(4 * length(regexp_extract(id, '^0*')) + CASE WHEN substr(id, 1 + length(regexp_extract(id, '^0*')), 1) = '1' THEN 3 WHEN substr(id, 1 + length(regexp_extract(id, '^0*')), 1) IN ('2', '3') THEN 2 WHEN substr(id, 1 + length(regexp_extract(id, '^0*')), 1) IN ('4', '5', '6', '7') THEN 1 ELSE 0 END AS INT) AS bits FROM log")
+_add("quota_author", lambda s, d: admission.within_author_quota(plain_log(s, d), 40, plain_log(s, d).where("lev_id % 7 = 0")).select(*COLUMNS), f"WITH {LOG}, o AS (SELECT pubkey, count(*) AS c FROM log WHERE lev_id % 7 = 0 GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY pubkey ORDER BY lev_id) AS n FROM log) SELECT lev_id, created_at, kind FROM r LEFT JOIN o USING (pubkey) WHERE n + coalesce(c, 0) <= 40")
+_add("quota_global", lambda s, d: admission.batches_within_quota(plain_log(s, d), 4000, 512), f"""WITH RECURSIVE {LOG}, b AS (SELECT lev_id // 512 AS batch_no, count(*) AS n FROM log GROUP BY 1),
+r AS (SELECT batch_no, n, n <= 4000 AS accepted, CASE WHEN n <= 4000 THEN n ELSE 0 END AS total FROM b WHERE batch_no = (SELECT min(batch_no) FROM b)
+UNION ALL SELECT b.batch_no, b.n, r.total + b.n <= 4000, r.total + CASE WHEN r.total + b.n <= 4000 THEN b.n ELSE 0 END FROM r JOIN b ON b.batch_no = r.batch_no + 1) SELECT batch_no, n, accepted FROM r""")
 
 
 def _reports(s: SparkSession, d: str) -> DataFrame:
@@ -324,7 +353,7 @@ def _reports(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("report_queue", lambda s, d: admission.report_queue(_reports(s, d)), f"WITH {SOCIAL} SELECT e AS target, pubkey AS reporter, 'spam ' || k AS reason FROM (SELECT *, row_number() OVER (PARTITION BY e ORDER BY lev_id DESC) AS n FROM social WHERE kind = 5 AND e IS NOT NULL) WHERE n = 1")
-_add("policy_callable", lambda s, d: admission.apply_policy(source.events_log(s, d), lambda e: admission.SHADOW if e["kind"] == 0 else admission.ACCEPT if e["kind"] == 1 else 1 / 0).select("lev_id", "action"), f"WITH {LOG} SELECT lev_id, CASE kind WHEN 0 THEN 'shadowReject' WHEN 1 THEN 'accept' ELSE 'reject' END AS action FROM log")
+_add("policy_callable", lambda s, d: admission.apply_policy(plain_log(s, d), lambda e: admission.SHADOW if e["kind"] == 0 else admission.ACCEPT if e["kind"] == 1 else 1 / 0).select("lev_id", "action"), f"WITH {LOG} SELECT lev_id, CASE kind WHEN 0 THEN 'shadowReject' WHEN 1 THEN 'accept' ELSE 'reject' END AS action FROM log")
 
 
 def _control(s: SparkSession, d: str) -> DataFrame:
@@ -335,15 +364,56 @@ def _control(s: SparkSession, d: str) -> DataFrame:
 
 _add("control_fold", _control, "SELECT 'pubkey' AS thing, subject, CASE event_type WHEN 'view' THEN 'ban' ELSE 'allow' END AS state, props AS reason FROM (SELECT *, CAST(user_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1 AND event_type <> 'click'")
 
+
+
+def _odd(s: SparkSession, d: str) -> DataFrame:
+    """Events with an expiration, protected ones, and vanish requests for another relay."""
+    k = F.col("k").cast("int") % 5
+    tags = F.when(k == 0, F.array(F.array(F.lit("expiration"), F.lit("1704500000")))).when(k == 1, F.array(F.array(F.lit("-")))).when(k == 2, F.array(F.array(F.lit("relay"), F.lit("wss://Elsewhere.example/")))).otherwise(F.col("tags"))
+    return tagged_log(s, d).withColumn("tags", tags).withColumn("kind", F.when((F.col("kind") == 20001) & (k == 2), 62).otherwise(F.col("kind")))
+
+
+_LONG = dict(newer=10**9, older=10**9, ephemeral_older=10**9)
+_add("first_reject_odd", lambda s, d: admission.first_reason(_odd(s, d), admission.Policy(now=1_706_000_000, **_LONG, relays=("here.example",), reader=_author(3))).select("lev_id", "reason"), f"WITH {LOG} SELECT lev_id, CASE WHEN CAST(k AS INT) % 5 = 0 THEN 'event expired' WHEN CAST(k AS INT) % 5 = 2 AND kind = 20001 THEN 'vanish request for another relay' WHEN CAST(k AS INT) % 5 = 1 AND pubkey <> '{_author(3)}' THEN 'protected event' END AS reason FROM log")
+_NO_CONTROL = lambda s: s.createDataFrame([], "seq bigint, method string, subject string, reason string")
+_add("batch_vanish", lambda s, d: admission.judge_batch(social_log(s, d), admission.Policy(now=1_706_000_000, **_LONG, relays=()), _NO_CONTROL(s)).select("lev_id", "reason"), f"WITH {SOCIAL}, {_MARKS} SELECT lev_id, CASE WHEN kind <> 62 AND created_at <= vanished_at THEN 'author vanished' END AS reason FROM social LEFT JOIN mark USING (pubkey)")
+_BANS = lambda s: s.createDataFrame([(1, "banpubkey", _author(2), "r"), (2, "banevent", _event(101), "r"), (3, "unbanpubkey", _author(2), ""), (4, "banpubkey", _author(5), "r")], "seq bigint, method string, subject string, reason string")
+_add("batch_control", lambda s, d: admission.judge_batch(plain_log(s, d), admission.Policy(now=1_706_000_000, **_LONG, relays=()), _BANS(s)).select("lev_id", "reason"), f"WITH {LOG} SELECT lev_id, CASE WHEN id = '{_event(101)}' THEN 'event banned' WHEN pubkey = '{_author(5)}' THEN 'author banned' END AS reason FROM log")
+
+
+def _role_log(s: SparkSession, d: str) -> DataFrame:
+    """Views assign a role and clicks take it away; signups make the role curator and some errors delete it."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    rows = s.read.parquet(f"{d}/events.parquet").withColumn("k", k).where("event_type in ('view', 'click', 'signup') or (event_type = 'error' and k = 7)")
+    method = F.when(F.col("event_type") == "view", "assignrole").when(F.col("event_type") == "click", "unassignrole").when(F.col("event_type") == "signup", "putrole").otherwise("deleterole")
+    role = F.when(~F.col("event_type").isin("view", "click"), "curator").when(F.col("k") % 3 == 0, "admin").when(F.col("k") % 3 == 1, "moderator").otherwise("curator")
+    return rows.select(F.col("event_id").alias("seq"), method.alias("method"), F.col("user_id").cast("string").alias("subject"), role.alias("role"), F.lit("").alias("reason"))
+
+
+_ROLES = """c AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS pubkey, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events),
+a AS (SELECT pubkey, CASE k % 3 WHEN 0 THEN 'admin' WHEN 1 THEN 'moderator' ELSE 'curator' END AS role, max(seq) AS seq, arg_max(event_type, seq) AS t FROM c WHERE event_type IN ('view', 'click') GROUP BY 1, 2),
+p AS (SELECT seq, event_type FROM c WHERE event_type = 'signup' OR (event_type = 'error' AND k = 7)),
+held AS (SELECT pubkey, role FROM a WHERE t = 'view' AND (role <> 'curator' OR ((SELECT arg_max(p.event_type, p.seq) FROM p WHERE p.seq < a.seq) = 'signup' AND NOT EXISTS (SELECT 1 FROM p WHERE p.event_type = 'error' AND p.seq > a.seq))))"""
+_add("role_assignments", lambda s, d: admission.fold_roles(admission.accepted_control(_role_log(s, d))), f"WITH {_ROLES} SELECT * FROM held")
+_add("management_levels", lambda s, d: admission.management_levels(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("pubkey")).distinct(), admission.fold_roles(_role_log(s, d)), ("3",)), f"WITH {_ROLES} SELECT pubkey, CASE WHEN pubkey = '3' OR pubkey IN (SELECT pubkey FROM held WHERE role = 'admin') THEN 'admin' WHEN pubkey IN (SELECT pubkey FROM held WHERE role = 'moderator') THEN 'moderator' ELSE 'none' END AS level FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS pubkey FROM events)")
+_add("answers", lambda s, d: admission.answers(plain_log(s, d).select("lev_id", F.when(F.col("kind") == 0, "replaced").when(F.col("kind") == 1, "written").when(F.col("kind") == 7, "deleted").otherwise("strange").alias("status"))), f"WITH {LOG} SELECT lev_id, CASE kind WHEN 0 THEN 'replaced' WHEN 1 THEN 'written' WHEN 7 THEN 'deleted' ELSE 'strange' END AS status, kind IN (0, 1) AS ok, CASE kind WHEN 0 THEN 'replaced: have newer event' WHEN 7 THEN 'blocked: event deleted' ELSE '' END AS message FROM log")
+
 # -- maintenance
 _drop = lambda s, d: maintain.expected_index(tagged_log(s, d)).where("lev_id % 100 != 7").unionByName(s.createDataFrame([("id", "gone", -1), ("kind", "9", -2)], "index_name string, key string, lev_id bigint"))
 _add("integrity_missing", lambda s, d: maintain.check_integrity(tagged_log(s, d), _drop(s, d)).where("problem = 'missing'"), f"WITH {LOG}, m AS (SELECT * FROM log WHERE lev_id % 100 = 7) SELECT 'id' AS index_name, id AS key, lev_id, 'missing' AS problem FROM m UNION ALL SELECT 'pubkey', pubkey, lev_id, 'missing' FROM m UNION ALL SELECT 'kind', CAST(kind AS VARCHAR), lev_id, 'missing' FROM m UNION ALL SELECT 'created_at', CAST(created_at AS VARCHAR), lev_id, 'missing' FROM m UNION ALL SELECT 'tag', 't=' || k, lev_id, 'missing' FROM m UNION ALL SELECT 'tag', 't=' || u, lev_id, 'missing' FROM m UNION ALL SELECT 'tag', 'd=' || k, lev_id, 'missing' FROM m WHERE kind = 30023")
 _add("integrity_extra", lambda s, d: maintain.check_integrity(tagged_log(s, d), _drop(s, d)).where("problem = 'extra'"), "SELECT 'id' AS index_name, 'gone' AS key, CAST(-1 AS BIGINT) AS lev_id, 'extra' AS problem UNION ALL SELECT 'kind', '9', -2, 'extra'")
 _add("payload_stats", lambda s, d: maintain.payload_stats(source.documents_log(s, d)), "SELECT count(*) AS records, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(max(strlen(text)) AS INT) AS largest FROM documents")
-_add("payload_join", lambda s, d: maintain.check_payloads(source.events_log(s, d), source.events_log(s, d).where("lev_id % 50 != 3").select("lev_id")), f"WITH {LOG} SELECT lev_id, 'no payload' AS problem FROM log WHERE lev_id % 50 = 3")
-_add("log_digest", lambda s, d: maintain.log_digest(source.events_log(s, d), "id"))
-_add("metrics_last_n", lambda s, d: query.latest_n(source.events_log(s, d), 50, "lev_id").select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log ORDER BY lev_id DESC LIMIT 50")
-_add("tree_list", lambda s, d: subscriptions.tree_counts(tagged_log(s, d), {"notes": parse_group([{"kinds": [1]}]), "u1": parse_group([{"#t": ["u1"]}])}).select("tree", "n"), f"WITH {LOG} SELECT 'notes' AS tree, count(*) AS n FROM log WHERE kind = 1 UNION ALL SELECT 'u1', count(*) FROM log WHERE u = 'u1'")
+_add("payload_join", lambda s, d: maintain.check_payloads(plain_log(s, d), plain_log(s, d).where("lev_id % 50 != 3").select("lev_id")), f"WITH {LOG} SELECT lev_id, 'no payload' AS problem FROM log WHERE lev_id % 50 = 3")
+_LEVELS = ", ".join(f"l{i + 1} AS (SELECT k >> 13 AS k, sha256(string_agg(h, '' ORDER BY k, h)) AS h, sum(n) AS n FROM l{i} GROUP BY 1)" for i in range(5))
+_add("log_digest", lambda s, d: maintain.log_digest(plain_log(s, d), "id"), f"WITH {LOG}, l0 AS (SELECT lev_id AS k, sha256(lev_id || ':' || strlen(id) || ':' || id) AS h, 1 AS n FROM log), {_LEVELS} SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(h, '' ORDER BY k, h)) AS digest FROM l5")
+_HELD = lambda s, d: plain_log(s, d).where("lev_id % 50 != 3").select("lev_id", F.concat(F.lit("p"), "k").alias("payload"))
+_add("payload_read", lambda s, d: maintain.with_payload(plain_log(s, d), _HELD(s, d)).select("lev_id", "payload"), f"WITH {LOG} SELECT lev_id, 'p' || k AS payload FROM log WHERE lev_id % 50 <> 3")
+_add("integrity_totals", lambda s, d: maintain.integrity_totals(maintain.check_integrity(tagged_log(s, d), _drop(s, d))), f"""WITH {LOG}, m AS (SELECT * FROM log WHERE lev_id % 100 = 7)
+SELECT 'id' AS index_name, count(*) AS missing, 1 AS extra FROM m UNION ALL SELECT 'pubkey', count(*), 0 FROM m UNION ALL SELECT 'kind', count(*), 1 FROM m UNION ALL SELECT 'created_at', count(*), 0 FROM m UNION ALL SELECT 'tag', CAST(sum(CASE WHEN kind = 30023 THEN 3 ELSE 2 END) AS BIGINT), 0 FROM m""")
+_add("index_rebuilt", lambda s, d: maintain.check_integrity(tagged_log(s, d), maintain.rebuilt_index(tagged_log(s, d))).agg(F.count("*").alias("problems")), "SELECT CAST(0 AS BIGINT) AS problems")
+_add("delete_by_search", lambda s, d: maintain.delete_matching(source.documents_log(s, d), parse_group([{"search": "license the"}, {"search": "zzzznotaword"}]))[0].select("lev_id"), f"WITH {WORDS} SELECT doc_id AS lev_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM term WHERE term IN ('license', 'the') GROUP BY doc_id HAVING count(*) = 2)")
+_add("metrics_last_n", lambda s, d: query.latest_n(plain_log(s, d), 50, "lev_id").select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log ORDER BY lev_id DESC LIMIT 50")
+_add("tree_list", lambda s, d: subscriptions.tree_counts(tagged_log(s, d), {"notes": parse_group([{"kinds": [1]}]), "u1": parse_group([{"#t": ["u1"]}])}), _fingerprint_sql("SELECT id, 'notes' AS tree FROM log WHERE kind = 1 UNION ALL SELECT id, 'u1' FROM log WHERE u = 'u1'", "tree"))
 _add("second_log_latest", lambda s, d: query.keep_latest(_orders(s, d), ["pubkey", "kind"]).select("lev_id", "pubkey", "kind"), "SELECT o_orderkey AS lev_id, CAST(o_custkey AS VARCHAR) AS pubkey, o_orderpriority AS kind FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY epoch(o_orderdate) DESC, CAST(o_orderkey AS VARCHAR)) AS n FROM orders) WHERE n = 1")
 
 
@@ -357,22 +427,22 @@ def _addresses(s: SparkSession, d: str) -> DataFrame:
     kind, author, name = codec.address_parts(F.col("x"))
     author_text = F.when(F.col("lev_id") % 4 == 0, F.upper("pubkey")).otherwise(F.col("pubkey"))
     address = F.concat((F.col("lev_id") * 100).cast("string"), F.lit(":"), author_text, F.lit(":a:"), F.col("k"))
-    return source.events_log(s, d).select("lev_id", address.alias("x")).select("lev_id", kind.alias("kind"), author.alias("author"), name.alias("d"))
+    return plain_log(s, d).select("lev_id", address.alias("x")).select("lev_id", kind.alias("kind"), author.alias("author"), name.alias("d"))
 
 
 _OK = "lev_id * 100 <= 65535 AND regexp_matches(x, '^[0-9]+:[0-9a-f]{64}:')"
 _add("address_parse", _addresses, f"WITH {LOG}, a AS (SELECT lev_id, k, pubkey, CAST(lev_id * 100 AS VARCHAR) || ':' || CASE WHEN lev_id % 4 = 0 THEN upper(pubkey) ELSE pubkey END || ':a:' || k AS x FROM log) SELECT lev_id, CASE WHEN {_OK} THEN lev_id * 100 END AS kind, CASE WHEN {_OK} THEN pubkey END AS author, CASE WHEN {_OK} THEN 'a:' || k END AS d FROM a")
 _add("relay_urls", lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", codec.relay_url(F.concat(F.lit(" wss://"), F.upper("url"), F.lit("// "))).alias("relay")), "SELECT page_id, rtrim(lower(url), '/') AS relay FROM pages")
-_add("npub", lambda s, d: source.events_log(s, d).select("pubkey").distinct().select("pubkey", codec.npub_column("pubkey").alias("npub")).withColumn("back", codec.decode_npub_column("npub")))
+_add("npub", lambda s, d: plain_log(s, d).select("pubkey").distinct().select("pubkey", codec.npub_column("pubkey").alias("npub")).withColumn("back", codec.decode_npub_column("npub")))
 _add("canonical_json", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", codec.canonical_json_column("props").alias("text")), "SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS text FROM events")
 
 
 def _ids(s: SparkSession, d: str) -> DataFrame:
-    rows = source.events_log(s, d).select("lev_id", F.to_json(F.struct("pubkey", "created_at", "kind", "tags", "content")).alias("x"))
+    rows = plain_log(s, d).select("lev_id", F.to_json(F.struct("pubkey", "created_at", "kind", "tags", "content")).alias("x"))
     return rows.select("lev_id", codec.event_id_column("x").alias("event_hash"))
 
 
-_add("event_id", lambda s, d: _ids(s, d), f"""WITH {LOG} SELECT lev_id, sha256('[0,"' || pubkey || '",' || created_at || ',' || kind || ',[' || CASE WHEN kind = 30023 THEN '["d","' || k || '"],' ELSE '' END || '["t","' || k || '"]],""]') AS event_hash FROM log WHERE lev_id < 1000""")
+_add("event_id", lambda s, d: _ids(s, d), f"""WITH {LOG} SELECT lev_id, sha256('[0,"' || pubkey || '",' || created_at || ',' || kind || ',[' || CASE WHEN kind = 30023 THEN '["d","' || k || '"],' ELSE '' END || '["t","' || k || '"]],""]') AS event_hash FROM log""")
 
 # -- streams
 _STREAM = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType()), T.StructField("value", T.DoubleType()), T.StructField("props", T.StringType())])
@@ -403,14 +473,26 @@ _add("stream_match", lambda s, d: _run(s, live.live_matches(_stream(s, d), subsc
 
 def _handed(s: SparkSession, d: str) -> DataFrame:
     filters = parse_group([{"kinds": [0], "limit": 500}])
-    log = source.events_log(s, d)
+    log = plain_log(s, d)
     history, later = live.hand_over(log, filters, 2000)
     return history.select("lev_id").union(_run(s, later(_stream(s, d)).select("lev_id"), "later"))
 
 
 _add("stream_handoff", _handed, f"WITH {LOG} SELECT lev_id FROM log WHERE kind = 0 AND lev_id > 2000 UNION ALL SELECT lev_id FROM (SELECT lev_id FROM log WHERE kind = 0 AND lev_id <= 2000 ORDER BY created_at DESC, lev_id DESC LIMIT 500)")
-_add("token_bucket", lambda s, d: live.rate_limited_batch(source.events_log(s, d).withColumn("at", F.col("created_at").cast("double")), "pubkey", 0.0001, 3))
-_add("upload_feed", lambda s, d: live.to_upload(source.events_log(s, d), source.events_log(s, d).where("lev_id % 2 = 0"), 700).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE lev_id > 700 AND lev_id % 2 <> 0")
+
+
+def _searched_live(s: SparkSession, d: str) -> DataFrame:
+    """A search handed over from history to a stream of the documents."""
+    filters = parse_group([{"search": "license", "limit": 5}])
+    log = source.documents_log(s, d)
+    history, later = live.hand_over(log, filters, 100)
+    stream = s.readStream.schema(s.read.parquet(f"{d}/documents.parquet").schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    return history.select("lev_id").union(_run(s, later(source.as_documents_log(stream)).select("lev_id"), "found"))
+
+
+_add("stream_search_handoff", _searched_live, f"WITH {WORDS} SELECT DISTINCT doc_id AS lev_id FROM word WHERE term = 'license' AND doc_id > 100 UNION ALL SELECT doc_id FROM (SELECT doc_id FROM term WHERE term = 'license' AND doc_id <= 100 ORDER BY doc_id DESC LIMIT 5)")
+_add("token_bucket", lambda s, d: live.rate_limited_batch(plain_log(s, d).withColumn("at", F.col("created_at").cast("double")), "pubkey", 0.0001, 3))
+_add("upload_feed", lambda s, d: live.to_upload(plain_log(s, d), plain_log(s, d).where("lev_id % 2 = 0"), 700).select(*COLUMNS), f"WITH {LOG} SELECT lev_id, created_at, kind FROM log WHERE lev_id > 700 AND lev_id % 2 <> 0")
 
 
 def queries() -> dict:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.codec import CodecError, from_lower_hex, parse_address, parse_strict
-from ..functions.terms import SearchQuery, parse_search
+from ..functions.terms import SearchQuery, all_terms, indexed_terms, parse_search
 
 NO_UNTIL = (1 << 64) - 1
 MAX_LIMIT, MAX_COUNT_LIMIT, MAX_TAGS, MAX_AND, MAX_SET_BYTES, MAX_VALUE_BYTES = 500, 1_000_001, 3, 16, 65_535, 255
@@ -55,9 +55,9 @@ def _unsigned(value, what: str, most: int = NO_UNTIL) -> int:
 
 def _items(value, what: str) -> list:
     if not isinstance(value, list):
-        raise FilterError(f"{what} not an array")
+        raise FilterError(f"{what} is not a list")
     if not value:
-        raise FilterError(f"{what} array must not be empty")
+        raise FilterError(f"{what} has no items")
     return value
 
 
@@ -65,7 +65,7 @@ def _texts(value, what: str, identifiers: bool) -> tuple[str, ...]:
     """A set of strings: sorted by bytes, without repeats, of bounded size; identifiers are 64 lower-case hex digits."""
     items = _items(value, what)
     if not all(isinstance(x, str) for x in items):
-        raise FilterError(f"{what} item not a string")
+        raise FilterError(f"{what} holds something other than text")
     try:
         sizes = {x: len(from_lower_hex(x)) if identifiers else len(x.encode()) for x in items}
     except CodecError as e:
@@ -73,7 +73,7 @@ def _texts(value, what: str, identifiers: bool) -> tuple[str, ...]:
     if any(n != 32 if identifiers else n > MAX_VALUE_BYTES for n in sizes.values()):
         raise FilterError(f"{what} item has a wrong size")
     if sum(sizes.values()) > MAX_SET_BYTES:
-        raise FilterError(f"{what}: total items too large")
+        raise FilterError(f"{what} holds more than {MAX_SET_BYTES} bytes")
     return tuple(sorted(sizes, key=str.encode))
 
 
@@ -96,7 +96,7 @@ def parse_filter(source: str | dict, max_limit: int = MAX_LIMIT, max_tags: int =
         elif key[:1] in ("#", "&"):
             _items(value, key)
             if not re.fullmatch("[A-Za-z]", key[1:]):
-                raise FilterError("unindexed tag filter")
+                raise FilterError(f"{key} does not name a one-letter tag")
             found["any_tags" if key[0] == "#" else "all_tags"][key[1]] = _texts(value, key, key[1] in "ep")
         elif key in ("since", "until"):
             found[key] = _unsigned(value, key)
@@ -108,15 +108,15 @@ def parse_filter(source: str | dict, max_limit: int = MAX_LIMIT, max_tags: int =
             try:
                 found[key] = parse_search(value)
             except ValueError as e:
-                raise FilterError(f"error parsing search: {e}") from None
+                raise FilterError(f"search: {e}") from None
         else:
-            raise FilterError(f"unrecognised filter item: {key}")
+            raise FilterError(f"no condition is named {key}")
     left = {k: tuple(v for v in vs if v not in found["all_tags"].get(k, ())) for k, vs in found["any_tags"].items()}
     found["any_tags"] = {k: vs for k, vs in left.items() if vs}
     if len({*found["any_tags"], *found["all_tags"]}) > max_tags:
-        raise FilterError("too many tags in filter")
+        raise FilterError(f"more than {max_tags} tag names")
     if sum(map(len, found["all_tags"].values())) > max_and:
-        raise FilterError("too many AND entries in filter")
+        raise FilterError(f"more than {max_and} required tag values")
     return Filter(**found)
 
 
@@ -154,6 +154,14 @@ def predicate(f: Filter, live: bool = False) -> Column:
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def stored_predicate(f: Filter) -> Column:
+    """All of a filter over stored events: its search is matched by the indexed terms of their content."""
+    if not f.search:
+        return predicate(f)
+    terms = indexed_terms(all_terms(F.col("content")))
+    return reduce(lambda a, b: a & b, [F.array_contains(terms, t) for t in f.search.terms], predicate(f))
+
+
 def group_predicate(filters: list[Filter], live: bool = False) -> Column:
     """Whether any filter matches. Outside live matching a filter with a search matches nothing."""
     return reduce(lambda a, b: a | b, [predicate(f, live) if live or f.search is None else F.lit(False) for f in filters], F.lit(False))
@@ -191,15 +199,15 @@ class Validator:
 
     def check(self, filters: list[Filter]) -> None:
         if not self.min_filters <= len(filters) <= self.max_filters:
-            raise FilterError(f"invalid number of filters: {len(filters)}")
+            raise FilterError(f"{len(filters)} filters are too few or too many")
         for f in filters:
             if len(f.kinds or ()) > self.max_kinds:
-                raise FilterError(f"too many kinds in filter: {len(f.kinds)}")
+                raise FilterError(f"{len(f.kinds)} kinds are more than {self.max_kinds}")
             if self.allowed_kinds and (bad := next((k for k in f.kinds or () if k not in self.allowed_kinds), None)) is not None:
                 raise FilterError(f"kind not allowed: {bad}")
             single = [f.authors, *(tags.get(x) for tags in (f.any_tags, f.all_tags) for x in "pe")]
             if self.scoped and not any(s is not None and len(s) == 1 for s in single):
-                raise FilterError("filter must have exactly one author, p tag, or e tag")
+                raise FilterError("not scoped to one author, p tag or e tag")
 
 
 def fully_restricted(filters: list[Filter], restricted: set[int]) -> bool:
@@ -245,5 +253,5 @@ SUBSCRIPTION_ID = re.compile(r'[\x20-\x21\x23-\x5B\x5D-\x7E]{1,64}')
 def check_subscription_id(text: str) -> str:
     """1 to 64 printable ASCII characters other than quote and backslash."""
     if not SUBSCRIPTION_ID.fullmatch(text):
-        raise FilterError("invalid subscription id")
+        raise FilterError("not a subscription name")
     return text

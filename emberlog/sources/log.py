@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.codec import CodecError, event_id, from_lower_hex, parse_strict, stored_json
+from ..functions.codec import CodecError, event_id, from_lower_hex, parse_strict, stored_json, verify_signature
 
 LOG_COLUMNS = ("lev_id", "created_at", "pubkey", "id", "kind", "tags", "idx_tags", "content")
 MAX_EVENT_BYTES, MAX_TAGS, MAX_TAG_BYTES = 1 << 20, 2000, 1024
@@ -27,8 +27,8 @@ def indexed(tags: Column) -> Column:
     return F.array_distinct(good)
 
 
-def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a log: k is tag t, and tag d of addressable events."""
+def events_log(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The events table as a log: k is tag t, and tag d of addressable events; columns named in ``keep`` pass through."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     kind = F.coalesce(*[F.when(F.col("event_type") == name, k) for name, k in KINDS.items()])
     k = F.get_json_object("props", "$.k")
@@ -39,6 +39,7 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")), 256).alias("id"),
         kind.alias("kind"),
         k.alias("k"),
+        *keep,
     )
     tags = F.when(F.col("kind") == 30023, F.array(F.array(F.lit("d"), F.col("k")), F.array(F.lit("t"), F.col("k")))).otherwise(F.array(F.array(F.lit("t"), F.col("k"))))
     rows = rows.withColumn("tags", tags)
@@ -47,7 +48,11 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def documents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table as the content side of a log: kind 1, author by source, time by doc_id."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return as_documents_log(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def as_documents_log(docs: DataFrame) -> DataFrame:
+    """The same of any rows with the columns of documents, a stream's too."""
     return docs.select(
         F.col("doc_id").alias("lev_id"), F.col("doc_id").alias("created_at"), F.sha2("source", 256).alias("pubkey"), F.sha2(F.concat(F.lit("d"), F.col("doc_id").cast("string")), 256).alias("id"),
         F.lit(1).alias("kind"), F.array(F.array(F.lit("l"), F.col("lang"))).alias("tags"), F.array(F.struct(F.lit("l").alias("name"), F.col("lang").alias("value"))).alias("idx_tags"), F.coalesce("text", F.lit("")).alias("content"),
@@ -57,8 +62,8 @@ def documents_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENT = T.StructType([T.StructField(n, t) for n, t in (("id", T.StringType()), ("pubkey", T.StringType()), ("created_at", T.LongType()), ("kind", T.IntegerType()), ("tags", T.ArrayType(T.ArrayType(T.StringType()))), ("content", T.StringType()), ("sig", T.StringType()))])
 
 
-def check_event(line: str) -> tuple[str | None, str | None]:
-    """(stored form, null) of a well-formed event whose id is right, or (null, reason)."""
+def check_event(line: str, verify: bool = False) -> tuple[str | None, str | None]:
+    """(stored form, null) of a well-formed event whose id is right (and, with ``verify``, whose signature is), or (null, reason)."""
     try:
         e = parse_strict(line)
         if not isinstance(e, dict):
@@ -83,22 +88,30 @@ def check_event(line: str) -> tuple[str | None, str | None]:
             raise CodecError("event too large")
         if event_id(e) != e["id"]:
             raise CodecError("bad event id")
+        if verify and not verify_signature(e["pubkey"], e["id"], e["sig"]):
+            raise CodecError("bad signature")
         return text, None
     except CodecError as error:
         return None, str(error)
 
 
-def _checked(lines):
-    import pandas as pd
+def _checker(verify: bool):
+    def checked(lines):
+        import pandas as pd
+
+        return pd.DataFrame([check_event(x, verify) for x in lines], columns=["payload", "reason"])
+
+    return checked
 
-    return pd.DataFrame([check_event(x) for x in lines], columns=["payload", "reason"])
 
+def read_jsonl(spark: SparkSession, path: str, max_line_bytes: int = 2 * MAX_EVENT_BYTES, verify: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(log without lev_id, rejected lines with reasons) of JSON lines; a line over the bound is rejected unread.
 
-def read_jsonl(spark: SparkSession, path: str, max_line_bytes: int = 2 * MAX_EVENT_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(log without lev_id, rejected lines with reasons) of JSON lines; a line over the bound is rejected unread."""
+    ``verify`` checks signatures too, which is some milliseconds a line.
+    """
     lines = spark.read.text(path).where("trim(value) != ''")
     fits = lines.where(F.octet_length("value") <= max_line_bytes)
-    check = F.pandas_udf(_checked, "payload string, reason string")
+    check = F.pandas_udf(_checker(verify), "payload string, reason string")
     checked = fits.select("value", check("value").alias("c")).select("value", "c.*")
     events = checked.where("reason is null").select("payload", F.from_json("payload", EVENT).alias("e")).select("e.*", "payload").withColumn("idx_tags", indexed(F.col("tags")))
     rejected = checked.where("reason is not null").select("value", "reason").union(lines.where(F.octet_length("value") > max_line_bytes).select(F.substring("value", 1, 200), F.lit("line too large")))

@@ -12,11 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.codec import is_ephemeral
+from ..functions.terms import live_terms
 from ..operators.query import run_group
 from ..operators.subscriptions import advanced_marks, match
 
-EVENTS_PER_BATCH = 512
-
 
 def file_log(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """A log that grows by files, as a stream."""
@@ -46,11 +45,19 @@ def deliver(stream: DataFrame, subscriptions: DataFrame, out: str, checkpoint: s
 
 
 def hand_over(log: DataFrame, filters, stored_up_to: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """(history, live): history holds arrivals up to a number, live takes any later log or stream from the next one on: no gap, no repeat."""
+    """(history, live): history holds arrivals up to a number, live takes any later log or stream from the next one on: no gap, no repeat.
+
+    Live events are matched as standing queries match them: a search by all of the content's terms.
+    """
     from ..plans.filters import group_predicate
 
-    history = run_group(log.where(F.col("lev_id") <= stored_up_to), filters)
-    return history, lambda later: later.where((F.col("lev_id") > stored_up_to) & group_predicate(filters))
+    def later_of(later: DataFrame) -> DataFrame:
+        rows = later.where(F.col("lev_id") > stored_up_to)
+        if any(f.search for f in filters):
+            return rows.withColumn("terms", live_terms(F.col("content"))).where(group_predicate(filters, live=True)).select(*later.columns)
+        return rows.where(group_predicate(filters, live=True))
+
+    return run_group(log.where(F.col("lev_id") <= stored_up_to), filters), later_of
 
 
 class TokenBucket(StatefulProcessor):
