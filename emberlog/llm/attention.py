@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-STEP, CONTEXT, WIDTH, GROUPS, SUBS, BUCKETS = 32, 16, 12, 16, 32, 2048
+STEP, CONTEXT, WIDTH, GROUPS, SUBS, BUCKETS = 32, 8, 12, 16, 32, 2048
 CLASSES = GROUPS * SUBS
 LENGTH = STEP + CONTEXT
 #: Causal mask: place CONTEXT + i sees itself and the places before it.
@@ -75,7 +75,7 @@ def _weights(scores: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Attention from scaled scores (windows, STEP, LENGTH), in their place; not divided by its sums."""
     np.minimum(scores, MOST, out=scores)
     np.exp(scores, out=scores)
-    scores *= MASK
+    scores[:, :, CONTEXT:] *= MASK[:, CONTEXT:]  # all places of the context are seen
     if not seen.all():
         scores *= np.where(seen, np.float32(1), np.float32(1e-30))[:, None, :]  # never quite 0: a place with nothing to see sees itself
     return scores
