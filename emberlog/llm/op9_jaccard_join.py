@@ -241,10 +241,11 @@ def _candidates(sets: DataFrame, scratch: Scratch, bucket: int, levels: int) ->
     else it is split by paths not used on the way to it. What is still too large after ``levels`` splits is cut into tiles and every
     tile meets every other: no pair is left out.
     """
-    rows = scratch.write(sets.select("node", F.explode("paths").alias("p")).select("node", "p", F.array("p").alias("used")), "rows")
+    rows = sets.select("node", F.explode("paths").alias("p")).select("node", "p", F.array("p").alias("used"))
+    n_rows = sets.agg(F.sum(F.size("paths"))).first()[0] or 0
     found, edges = [], []
     for level in range(levels + 1):
-        counts = scratch.write(rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"), "counts", rows.count())
+        counts = scratch.write(rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 1"), "counts", n_rows)
         total = counts.agg(F.sum("n")).first()[0] or 0
         met = scratch.write(join_hot(rows, counts, "p", "n", total), "met", total)
         found.append(met.where(F.col("n") <= bucket).select("p", F.lit(0).alias("i"), F.lit(0).alias("j"), "node"))
@@ -265,7 +266,8 @@ def _candidates(sets: DataFrame, scratch: Scratch, bucket: int, levels: int) ->
         order = F.slice(F.array_sort(F.transform(F.array_except("paths", "used"), lambda q: F.struct(F.xxhash64(F.col("p"), q).alias("h"), q.alias("q")))), 1, CHILDREN)
         rows = hot.join(sets.select("node", "paths"), "node").select("node", "used", F.explode(order).alias("next"))
         rows = rows.select("node", F.array_sort(F.concat("used", F.array("next.q"))).alias("used"))
-        rows = scratch.write(rows.withColumn("p", F.xxhash64("used")).dropDuplicates(["node", "p"]).select("node", "p", "used"), "split", CHILDREN * n_hot)
+        n_rows = CHILDREN * n_hot
+        rows = scratch.write(rows.withColumn("p", F.xxhash64("used")).dropDuplicates(["node", "p"]).select("node", "p", "used"), "split", n_rows)
     edges.append(_connected(reduce(DataFrame.unionByName, found), sets))
     return reduce(DataFrame.unionByName, edges)
 
@@ -334,7 +336,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
         sets = signed.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("rep"), F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
         sets = scratch.write(sets.withColumn("node", F.monotonically_increasing_id()), "sets", signed.count())  # numbers are fixed by writing them
         n_sets = sets.count()
-        groups = scratch.write(components(_candidates(sets, scratch, bucket, levels), scratch, n_sets * runs_for(recall)), "groups", n_sets)
+        groups = components(_candidates(sets, scratch, bucket, levels), scratch, n_sets * runs_for(recall))
         members = groups.join(sets.select("node", "rep", "copies", "size"), "node")
         members = scratch.write(members.select("node", "root", "copies", "size", F.col("rep.doc_id").alias("doc_id"), F.col("rep.h").alias("h")), "members", n_sets)
         sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") * 8 / tile_bytes)).cast("int").alias("tiles"))

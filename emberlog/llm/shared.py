@@ -17,7 +17,7 @@ BATCH_BYTES = 4 << 20
 #: Row groups of written tables: small, as a task holds one for each table it writes.
 ROW_GROUP_BYTES = 32 << 20
 #: Small tables of a computation of many steps: a file for each partition would cost more than the rows do.
-ROWS_PER_FILE, LEAST_FILES = 200_000, 8
+ROWS_PER_FILE, LEAST_FILES = 200_000, 3
 
 
 def shared_dir(spark: SparkSession) -> str:
