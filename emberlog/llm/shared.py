@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BATCH_BYTES = 4 << 20
 #: Row groups of written tables: small, as a task holds one for each table it writes.
 ROW_GROUP_BYTES = 32 << 20
+#: On a local or mounted file system the checksummed form makes a second file for each and forks a process for each file's mode.
+PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 #: Small tables of a computation of many steps: a file for each partition would cost more than the rows do.
 ROWS_PER_FILE, LEAST_FILES = 200_000, 3
 
@@ -49,7 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    df.write.options(**PLAIN_FILES).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     where, files = files_of(spark, path)
     files.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,7 +81,7 @@ class Scratch:
         path = f"{self.path}/{name}-{uuid.uuid4().hex}"
         if rows is not None and (files := max(LEAST_FILES, -(-rows // ROWS_PER_FILE))) < partitions(self.spark):
             df = df.coalesce(files)
-        df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+        df.write.options(**PLAIN_FILES).option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 
