@@ -78,3 +78,13 @@ def test_event_id_hashes_every_event(spark, tmp_path):
         text = json.dumps([0, hashlib.sha256(str(user).encode()).hexdigest(), at, 30023 if kind == "purchase" else 1, tags, ""], separators=(",", ":"))
         want[i] = hashlib.sha256(text.encode()).hexdigest()
     assert {r.lev_id: r.event_hash for r in catalog.queries()["event_id"](spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["stream_match", "stream_handoff", "stream_search_handoff"])
+def test_streams_of_tables_in_several_files(name, spark, tmp_path, duck):
+    """A table that is a folder is read whole, as one that is a file."""
+    for t in ("events", "documents"):
+        spark.read.parquet(f"{FOLDER}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    df = catalog.queries()[name](spark, str(tmp_path))
+    columns = sorted(df.columns)
+    assert sorted(map(tuple, df.select(*columns).collect())) == sorted(duck.sql(f"select {', '.join(columns)} from ({catalog.oracle()[name]})").fetchall())
