@@ -225,3 +225,36 @@ def test_bounds_of_the_moderation_state(spark):
     reports = spark.createDataFrame([("a", "r"), ("b", "r")], "target string, reporter string")
     state_of = admission.fold_control(spark.createDataFrame([(1, "banevent", "a", "")], "seq int, method string, subject string, reason string"))
     assert [r.target for r in admission.open_reports(reports, state_of).collect()] == ["b"]
+
+
+def test_roles_of_a_long_control_log(spark):
+    """Random logs against a plain loop, and one whose assignments times its role rows are 5 * 10^9."""
+    import random
+    import threading
+
+    for seed in range(5):
+        rng = random.Random(seed)
+        rows = [(i, rng.choice(["assignrole", "assignrole", "unassignrole", "putrole", "deleterole"]), rng.choice("xyz"), rng.choice(["admin", "r1", "r2", "r3"]), "") for i in range(60)]
+        exists, held = {"admin"}, set()
+        for _, method, who, role, _ in rows:
+            if method == "putrole":
+                exists.add(role)
+            elif method == "deleterole":
+                exists -= {role} - {"admin"}
+                held = {h for h in held if h[1] != role}
+            elif method == "unassignrole":
+                held.discard((who, role))
+            elif role in exists:
+                held.add((who, role))
+            else:
+                held.discard((who, role))  # the last word counts
+        control = spark.createDataFrame(rows, "seq int, method string, subject string, role string, reason string")
+        assert {tuple(r) for r in admission.fold_roles(control).collect()} == held
+    puts = spark.range(50_000).selectExpr("id as seq", "'putrole' as method", "'' as subject", "'curator' as role")
+    assigned = spark.range(50_000, 150_000).selectExpr("id as seq", "'assignrole' as method", "cast(id as string) as subject", "'curator' as role")
+    stop = threading.Timer(30, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        assert admission.fold_roles(puts.union(assigned)).count() == 100_000
+    finally:
+        stop.cancel()
