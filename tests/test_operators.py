@@ -258,3 +258,14 @@ def test_roles_of_a_long_control_log(spark):
         assert admission.fold_roles(puts.union(assigned)).count() == 100_000
     finally:
         stop.cancel()
+
+
+def test_a_role_is_one_record_whoever_makes_it(spark):
+    """1,100 authors make one role, then others have one each: the bound counts roles."""
+    rows = [(i, "putrole", f"u{i}", "curator", "") for i in range(1100)] + [(1100 + i, "putrole", "u0", f"r{i}", "") for i in range(1001)] + [(5000, "banpubkey", "y", None, None)]
+    control = spark.createDataFrame(rows, "seq int, method string, subject string, role string, reason string")
+    kept = admission.accepted_control(control)
+    assert kept.columns == control.columns
+    assert sorted(r.seq for r in kept.collect()) == [*range(2099), 5000]
+    no_roles = control.drop("role").where("method = 'banpubkey'")
+    assert [r.seq for r in admission.accepted_control(no_roles).collect()] == [5000]
