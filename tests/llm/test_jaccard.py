@@ -84,3 +84,18 @@ def test_components(spark):
         got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a int, b int"), scratch).collect()}
         assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
         assert components(spark.createDataFrame([], "a int, b int"), scratch).count() == 0
+
+
+def test_join_of_hot_keys_makes_only_matches(spark):
+    """Rows without a partner are in no join's output, whatever the keys' type; hot, light, missing and null keys."""
+    from pyspark.sql import functions as F
+
+    from emberlog.llm.shared import join_hot
+
+    keys = [1] * 5000 + [*range(2, 3000)] + [None] * 7
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, i long")
+    table = rows.where("k % 3 = 1").groupBy("k").agg(F.count("*").alias("n"))
+    for key in (F.col("k"), F.struct("k"), F.col("k").cast("string").cast("binary")):
+        out = join_hot(rows.withColumn("x", key), table.withColumn("x", key).drop("k"), "x", "n", len(keys))
+        assert "LeftAnti" not in out._jdf.queryExecution().toString()
+        assert sorted((r.k, r.i, r.n) for r in out.collect()) == sorted((k, i, 5000 if k == 1 else 1) for i, k in enumerate(keys) if k and k % 3 == 1)
