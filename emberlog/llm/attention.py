@@ -81,21 +81,30 @@ def _weights(scores: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return scores
 
 
-def _sub_logits(h: np.ndarray, runs: list[tuple[int, int, int]], sub: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def _sub_logits(h: np.ndarray, runs: list[tuple[int, int, int]], sub: np.ndarray, bias: np.ndarray | None = None) -> np.ndarray:
     """Logits of the classes of each row's group; rows are sorted by group."""
     out = np.empty((len(h), SUBS), np.float32)
     for g, a, b in runs:
         np.matmul(h[a:b], sub[g], out=out[a:b])
-        out[a:b] += bias[g]
+        if bias is not None:
+            out[a:b] += bias[g]
     return np.minimum(out, MOST, out=out)
 
 
+def _with_bias(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """``out`` and ``sub`` with their biases as a last row, which a last 1 of each place's vector meets."""
+    return np.concatenate([w["out"], w["bias"][None]]), np.concatenate([w["sub"], w["sub_bias"][:, None]], axis=1)
+
+
 class Trainer:
     """Weights, with what Adam remembers of them from step to step."""
 
     def __init__(self, weights: dict[str, np.ndarray], vocabulary: Vocabulary, rate: float = 0.01):
-        self.w, self.v, self.rate, self.steps = {k: x.copy() for k, x in weights.items()}, vocabulary, rate, 0
-        self.first, self.second = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+        self.v, self.rate, self.steps = vocabulary, rate, 0
+        self.flat = np.concatenate([weights[k].ravel() for k in NAMES])
+        self.first, self.second = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        cuts = np.cumsum([weights[k].size for k in NAMES])[:-1]
+        self.w = {k: x.reshape(weights[k].shape) for k, x in zip(NAMES, np.split(self.flat, cuts), strict=True)}  # views
 
     def learn(self, windows: np.ndarray, batch: int = 128) -> float:
         """One pass over windows (n, LENGTH + 1; -1 where there is nothing); the mean loss on the way."""
@@ -118,8 +127,10 @@ class Trainer:
         own = x[:, CONTEXT:].reshape(-1, WIDTH)
         q = (own @ (w["match"] * scale)).reshape(n, STEP, WIDTH)
         att = _weights(np.matmul(q, x.transpose(0, 2, 1)), seen)
-        att /= _sums(att)[:, :, None]
-        mean = np.matmul(att, x).reshape(-1, WIDTH)
+        divisor = _sums(att)[:, :, None]
+        mean = np.matmul(att, x)
+        mean /= divisor
+        mean = mean.reshape(-1, WIDTH)
         h = mean @ w["value"]
         h += own
 
@@ -151,10 +162,15 @@ class Trainer:
             g["sub_bias"][i] = np.ones(b - a, np.float32) @ p2[a:b]
         dh[order] += d2
         g["value"] = mean.T @ dh
-        dmean = (dh @ w["value"].T).reshape(n, STEP, WIDTH)
+        dmean = dh @ w["value"].T
+        # A score's gradient is its weight times (its value's product less the mean's); the sums divide what is small.
+        less = _sums(dmean * mean).reshape(n, STEP, 1)
+        less /= divisor
+        dmean = dmean.reshape(n, STEP, WIDTH)
+        dmean /= divisor
         dx = np.matmul(att.transpose(0, 2, 1), dmean)
         ds = np.matmul(dmean, x.transpose(0, 2, 1))
-        ds -= np.einsum("wsl,wsl->ws", ds, att)[:, :, None]
+        ds -= less
         ds *= att
         dx += np.matmul(ds.transpose(0, 2, 1), q)
         dq = np.matmul(ds, x).reshape(-1, WIDTH)
@@ -162,34 +178,40 @@ class Trainer:
         dh += dq @ (w["match"] * scale).T
         dx[:, CONTEXT:] += dh.reshape(n, STEP, WIDTH)
         g["place"] = dx.sum(0)
-        where = buckets.ravel()
-        order = np.argsort(where.astype(np.uint16), kind="stable")
-        where = where[order]
-        starts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        g["embed"] = np.zeros_like(w["embed"])
-        g["embed"][where[starts]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], starts, axis=0)
+        where = (buckets.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+        g["embed"] = np.bincount(where, dx.ravel(), BUCKETS * WIDTH).reshape(BUCKETS, WIDTH).astype(dx.dtype)
         return loss, len(at), g
 
     def move(self, gradients: dict[str, np.ndarray]) -> None:
         self.steps += 1
-        for name, g in gradients.items():
-            first, second = self.first[name], self.second[name]
-            first *= np.float32(0.9)
-            first += np.float32(0.1) * g
-            second *= np.float32(0.99)
-            second += np.float32(0.01) * g * g
-            size = np.sqrt(second / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8)
-            self.w[name] -= np.float32(self.rate / (1 - 0.9**self.steps)) * first / size
+        g = np.concatenate([gradients[k].ravel() for k in NAMES])
+        self.first *= np.float32(0.9)
+        self.first += np.float32(0.1) * g
+        self.second *= np.float32(0.99)
+        g *= g
+        g *= np.float32(0.01)
+        self.second += g
+        size = np.sqrt(self.second / np.float32(1 - 0.99**self.steps))
+        size += np.float32(1e-8)
+        np.divide(self.first, size, out=size)
+        size *= np.float32(self.rate / (1 - 0.9**self.steps))
+        self.flat -= size
 
 
 class Scorer:
     """Queries of every bucket are looked up, not multiplied; attention and classes are batched over windows."""
 
-    AT_ONCE = 256
+    AT_ONCE = 128
 
     def __init__(self, w: dict, vocabulary: Vocabulary):
-        self.v, self.w, match = vocabulary, w, w["match"] * np.float32(WIDTH**-0.5)
+        self.v, match = vocabulary, w["match"] * np.float32(WIDTH**-0.5)
         self.queries, self.query_places = w["embed"] @ match, w["place"][CONTEXT:] @ match
+        # Vectors end with a 1: sums of the attention and biases then come with the products.
+        self.embed, self.place = np.ones((BUCKETS, WIDTH + 1), np.float32), np.zeros((LENGTH, WIDTH + 1), np.float32)
+        self.embed[:, :WIDTH], self.place[:, :WIDTH] = w["embed"], w["place"]
+        self.value = np.zeros((WIDTH + 1, WIDTH + 1), np.float32)
+        self.value[:WIDTH, :WIDTH] = w["value"]
+        self.out, self.sub = _with_bias(w)
 
     def log10(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """log10 probability of every row's ids (which end with the row's end id), each given the row's ids before it."""
@@ -209,24 +231,23 @@ class Scorer:
         for lo in range(0, len(start), self.AT_ONCE):
             place = start[lo : lo + self.AT_ONCE, None] + np.arange(LENGTH)
             bucket = buckets[place]
-            x, q = self.w["embed"][bucket], self.queries[bucket[:, CONTEXT:]]
-            x += self.w["place"]
+            x, q = self.embed[bucket], self.queries[bucket[:, CONTEXT:]]
+            x += self.place
             q += self.query_places
-            att = _weights(np.matmul(q, x.transpose(0, 2, 1)), real[place])
+            att = _weights(np.matmul(q, x[:, :, :WIDTH].transpose(0, 2, 1)), real[place])
             h = np.matmul(att, x)
-            h /= _sums(att)[:, :, None]
-            h = (h.reshape(-1, WIDTH) @ self.w["value"]).reshape(len(place), STEP, WIDTH)
+            h /= h[:, :, WIDTH:].copy()
+            h = (h.reshape(-1, WIDTH + 1) @ self.value).reshape(len(place), STEP, WIDTH + 1)
             h += x[:, CONTEXT:]
             target = targets[place[:, CONTEXT:]].ravel()
             classes = self.v.classes[np.maximum(target, 0)]
             group = classes // SUBS
             order = np.argsort(group.astype(np.uint8), kind="stable")
             order = order[target[order] >= 0]
-            h, group, sub_class = h.reshape(-1, WIDTH)[order], group[order], classes[order] % SUBS
-            p = h @ self.w["out"]
-            p += self.w["bias"]
+            h, group, sub_class = h.reshape(-1, WIDTH + 1)[order], group[order], classes[order] % SUBS
+            p = h @ self.out
             np.minimum(p, MOST, out=p)
-            p2 = _sub_logits(h, _segments(group), self.w["sub"], self.w["sub_bias"])
+            p2 = _sub_logits(h, _segments(group), self.sub)
             i = np.arange(len(order))
             picked = p[i, group] + p2[i, sub_class] + self.v.share[target[order]]
             np.exp(p, out=p)

@@ -137,3 +137,20 @@ def test_every_training_id_is_a_target(spark):
             plain = [[-1] * attention.CONTEXT + [op.START_ID, *ids[e - n : e].tolist()] + [-1] * attention.STEP for n, e in zip(lengths, ends, strict=True)]
             assert windows.tolist() == [p[at : at + attention.LENGTH + 1] for p, n in zip(plain, lengths, strict=True) for at in range(0, n, attention.STEP)]
     assert got == want and sum(got.values()) > 1000
+
+
+def test_steps_move_the_weights_as_plain_adam():
+    """Three steps of the trainer, whose weights are one array, against Adam written out for each matrix."""
+    rng = np.random.default_rng(9)
+    v = attention.Vocabulary(rng.integers(0, 60, 700), 699)
+    start = attention.initial(v)
+    trainer, plain = attention.Trainer(start, v), {k: x.astype(np.float64) for k, x in start.items()}
+    first, second = ({k: np.zeros_like(x) for k, x in plain.items()} for _ in range(2))
+    assert np.shares_memory(trainer.w["embed"], trainer.flat)
+    for step in range(1, 4):
+        gradients = trainer.step(rng.integers(0, 700, (6, attention.LENGTH + 1)).astype(np.int32))[2]
+        trainer.move({k: g.copy() for k, g in gradients.items()})
+        for k, g in gradients.items():
+            first[k], second[k] = 0.9 * first[k] + 0.1 * g, 0.99 * second[k] + 0.01 * g.astype(np.float64) ** 2
+            plain[k] -= trainer.rate * first[k] / (1 - 0.9**step) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
+    assert all(np.allclose(trainer.w[k], plain[k], atol=1e-4) for k in attention.NAMES)
