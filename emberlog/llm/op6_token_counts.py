@@ -23,6 +23,8 @@ from .shared import table
 from .tokencache import STAND_IN, CachedTokenizer, HashTable, pretokens, worker
 
 FILE, LIMIT = "byte_bpe_50k.json", 512
+#: Texts with a longer pre-token (bytes) go to the library whole: from 512 bytes on, strings of two letters can be written whose hashes agree.
+LONGEST = 256
 
 
 def vocabulary_pieces(tokenizer: CachedTokenizer) -> list[bytes]:
@@ -80,6 +82,7 @@ def _block_counts(own: CachedTokenizer, frequent: HashTable, first: int, last: i
             odd[np.searchsorted(offsets, at, "right") - 1] = True
             at = text.find(mark, at + 1)
     rows = np.searchsorted(offsets, starts, "right") - 1
+    odd[rows[ends - starts > LONGEST]] = True
     plain = ~odd[rows]
     starts, ends, rows = starts[plain], ends[plain], rows[plain]
     keys = span_hashes(data, starts, ends)
@@ -87,7 +90,8 @@ def _block_counts(own: CachedTokenizer, frequent: HashTable, first: int, last: i
     lengths = frequent.find(keys).astype(np.int64)
     rare = np.flatnonzero(lengths < 0)
     if len(rare):
-        lengths[rare] = own.lengths[own.entries_of(data, starts[rare], ends[rare])]
+        entry = own.entries_of(data, starts[rare], ends[rare])  # may start the table anew: its lengths only after that
+        lengths[rare] = own.lengths[entry]
     counts = np.bincount(rows, lengths, n).astype(np.int64)
     for r in np.flatnonzero(odd):
         counts[r] = len(own.whole(text[offsets[r] : offsets[r + 1]]))

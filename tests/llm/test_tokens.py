@@ -4,11 +4,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.fs
 import pytest
 
 from emberlog.llm import op5_packing, op6_token_counts, op7_sstable
-from emberlog.llm.tokencache import CachedTokenizer
+from emberlog.llm.arrowtext import blocks, span_hashes
+from emberlog.llm.tokencache import CachedTokenizer, HashTable
 
 DOCS = [(3, "Hello world, it's 12 o'clock"), (1, None), (2, ""), (None, "null id"), (2, "same id"), (2, "same id"), (7, "é 日本 <|endoftext|> x"), (9, "long text goes on " * 3000), (-5, "minus")]
 
@@ -30,6 +32,30 @@ def test_counts(spark, docs):
     assert op6_token_counts.count_tokens(docs.limit(0), public_tokenizers.path(op6_token_counts.FILE)).count() == 0
 
 
+def block_counts(own, texts):
+    """op6's counts of texts by one worker's table, without a first tier, and the library's."""
+    got = [c for block in blocks(pa.array(texts)) for c in op6_token_counts._block_counts(own, HashTable(1), *block)]
+    return got, [len(own.library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_counts_after_a_full_table():
+    """A table that starts anew, or grows for one text, changes no count."""
+    own, rng = CachedTokenizer(public_tokenizers.path(op6_token_counts.FILE), "byte", 50), np.random.default_rng(5)
+    for words in [*rng.integers(1, 30, 60).tolist(), 200, 20, 20, 300]:
+        got, want = block_counts(own, [" ".join("".join(rng.choice(list("qxzjkvw9"), rng.integers(3, 9))) for _ in range(words))])
+        assert got == want
+
+
+def test_counts_of_pretokens_with_equal_hashes():
+    """Swapped letters of a Thue-Morse word: a polynomial modulo 2^64 has one value for both."""
+    turns = [i.bit_count() & 1 for i in range(1024)]
+    texts = ["".join("ae"[i ^ j] for i in turns) for j in (0, 1)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    assert len(set(span_hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    got, want = block_counts(CachedTokenizer(public_tokenizers.path(op6_token_counts.FILE), "byte", 50), texts)
+    assert got == want and want[0] != want[1]
+
+
 def test_shards(spark, docs, tmp_path):
     ids = ids_of(op7_sstable.FILE)
     manifest = op7_sstable.write_shards(docs, f"file://{tmp_path}/sst", public_tokenizers.path(op7_sstable.FILE), shards=3)
